@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parvis.llm import leakage, quality
+from parvis.llm import boilerplate, leakage, quality
 from parvis.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,18 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark, d):
+    """Lines of each page that belong to its own body."""
+    return boilerplate.find_body_lines(table(spark, d, "church_pages"))
+
+
+@query
+def p2_bodies(spark, d):
+    """The body of each page."""
+    return boilerplate.extract_body(table(spark, d, "church_pages"))
+
+
 @query
 def p9_found(spark, d):
     """(document, item) where more than half of the item stands in the document."""
