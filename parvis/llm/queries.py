@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parvis.llm import boilerplate, leakage, packing, quality
-from parvis.session import table
+from parvis.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,13 +33,13 @@ def p2_bodies(spark, d):
 @query
 def p8_packed(spark, d):
     """The container of every document or piece of one: doc_id, piece, tokens, container."""
-    return packing.pack(packing.token_counts(table(spark, d, "documents"))).withColumnRenamed("size", "tokens")
+    return packing.pack(cut(packing.token_counts(table(spark, d, "documents")))).withColumnRenamed("size", "tokens")
 
 
 @query
 def p8_fill(spark, d):
     """Containers by how full they are, in twentieths."""
-    packed = packing.pack(packing.token_counts(table(spark, d, "documents"))).where("container is not null")
+    packed = packing.pack(cut(packing.token_counts(table(spark, d, "documents")))).where("container is not null")
     full = packed.groupBy("container").agg(F.sum("size").alias("tokens"))
     return full.groupBy(F.floor(F.col("tokens") * 20 / packing.CAPACITY).alias("twentieth")).agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
 
