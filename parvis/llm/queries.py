@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parvis.llm import boilerplate, leakage, packing, quality
+from parvis.llm import boilerplate, leakage, packing, plots, quality
 from parvis.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def p2_bodies(spark, d):
     return boilerplate.extract_body(table(spark, d, "church_pages"))
 
 
+@query
+def p3_found(spark, d):
+    """Rows of the two tables whose addresses denote the same plot."""
+    places = plots.gazetteer_rows(table(spark, d, "geonames"))
+    left = cut(plots.read_addresses(table(spark, d, "place_candidates"), places, key="place_row_id", text="address"))
+    right = cut(plots.read_addresses(table(spark, d, "jma_churches"), places, key="jma_row_id", text="住所", postcode="郵便番号"))
+    return plots.same_plots(left, right).select(F.col("left_key").alias("place_row_id"), F.col("right_key").alias("jma_row_id"))
+
+
 @query
 def p8_packed(spark, d):
     """The container of every document or piece of one: doc_id, piece, tokens, container."""
