@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parvis.llm import boilerplate, leakage, packing, plots, quality
+from parvis.llm import boilerplate, congregations, leakage, linkage, packing, plots, quality
 from parvis.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,50 @@ def p3_found(spark, d):
     return plots.same_plots(left, right).select(F.col("left_key").alias("place_row_id"), F.col("right_key").alias("jma_row_id"))
 
 
+def _sightings(spark, d, other):
+    """Cut sightings of place_candidates and of another table, completed."""
+    places = plots.gazetteer_rows(table(spark, d, "geonames"))
+    words = congregations.denomination_words(table(spark, d, "denominations"))
+    left = congregations.sightings(table(spark, d, "place_candidates"), places, words, key="place_row_id", name="name", address="address", entity="googleCid", location="location", website="websiteUrl")
+    if other == "jma_churches":
+        right = congregations.sightings(table(spark, d, other), places, words, key="jma_row_id", name="教会名", address="住所", postcode="郵便番号")
+    else:
+        right = congregations.sightings(table(spark, d, other), places, words, key="church_row_id", name="name", address="address", entity="id", location="location", website="websiteUrl")
+    left, right = congregations.located(cut(left), cut(right))
+    return cut(left), cut(right)
+
+
+def _linked(spark, d):
+    left, right = _sightings(spark, d, "churches")
+    le, re_ = congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right)))
+    pairs = linkage.link(cut(le), cut(re_)).select("a", "b", F.col("confidence").alias("score"))
+    return pairs, left, right
+
+
+@query
+def p1_found(spark, d):
+    """Rows of place_candidates and churches that describe the same congregation."""
+    pairs, left, right = _linked(spark, d)
+    rows = congregations.to_rows(pairs.where("score >= 0.5"), left, right)
+    return rows.select(F.col("left_key").alias("place_row_id"), F.col("right_key").alias("church_row_id"))
+
+
+@query
+def p1_confidence(spark, d):
+    """Candidate pairs of entities by confidence, in tenths."""
+    pairs, _, _ = _linked(spark, d)
+    return pairs.groupBy(F.round("score", 1).alias("confidence")).agg(F.count("*").alias("pairs"))
+
+
+@query
+def p6_found(spark, d):
+    """Rows of the two tables that name the same congregation."""
+    left, right = _sightings(spark, d, "jma_churches")
+    le, re_ = congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right)))
+    pairs = congregations.same_names(cut(le), cut(re_)).where("score >= 0.5")
+    return congregations.to_rows(pairs, left, right).select(F.col("left_key").alias("place_row_id"), F.col("right_key").alias("jma_row_id"))
+
+
 @query
 def p8_packed(spark, d):
     """The container of every document or piece of one: doc_id, piece, tokens, container."""
