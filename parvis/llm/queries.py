@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parvis.llm import boilerplate, congregations, leakage, linkage, packing, plots, quality
+from parvis.llm import boilerplate, congregations, leakage, linkage, packing, plots, quality, survivors
 from parvis.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,37 @@ def p1_confidence(spark, d):
     return pairs.groupBy(F.round("score", 1).alias("confidence")).agg(F.count("*").alias("pairs"))
 
 
+@query
+def p4_found(spark, d):
+    """Best values of the rows that share a map id."""
+    chosen = survivors.place_survivors(table(spark, d, "place_candidates"), table(spark, d, "denominations"))
+    return chosen.select(F.col("group").alias("googleCid"), "field", "value")
+
+
+ORACLES["p4_found"] = r"""
+WITH r AS (
+  SELECT *, CASE WHEN regexp_matches(resolvedAt, '^\d{4}-\d{2}-\d{2}') THEN try_cast(resolvedAt AS TIMESTAMPTZ) END AS t,
+    lower(trim(denominationHint)) AS hint,
+    regexp_extract(lower(trim(websiteUrl)), '^https?://([a-z0-9\-]+(\.[a-z0-9\-]+)+)', 1) AS host
+  FROM place_candidates WHERE googleCid IS NOT NULL),
+g AS (SELECT googleCid FROM r GROUP BY 1 HAVING count(*) > 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY googleCid ORDER BY t IS NULL, t DESC, ingested_at DESC, place_row_id DESC) AS k FROM r WHERE googleCid IN (SELECT googleCid FROM g)),
+w AS (SELECT googleCid, 'websiteUrl' AS field, arg_min(websiteUrl, k) AS value FROM o
+  WHERE host != '' AND NOT regexp_matches(host, '(^|\.)(google|goo|facebook|fb|instagram|twitter|x|youtube|youtu|line|tiktok|threads)\.[a-z.]+$') GROUP BY 1),
+m AS (SELECT denominationId, lower(denominationId) AS hint FROM denominations UNION SELECT denominationId, lower(name) FROM denominations),
+h AS (SELECT googleCid, 'denominationHint' AS field, arg_min(m.denominationId, k) AS value FROM o JOIN m USING (hint) GROUP BY 1),
+l AS (SELECT DISTINCT googleCid, 'sourceLists' AS field, trim(v) AS value FROM (SELECT googleCid, unnest(sourceLists) AS v FROM o) WHERE trim(v) != '')
+SELECT * FROM w UNION ALL SELECT * FROM h UNION ALL SELECT * FROM l
+"""
+
+
+@query
+def p4_records(spark, d):
+    """One surviving record per map id."""
+    chosen = survivors.place_survivors(table(spark, d, "place_candidates"), table(spark, d, "denominations"))
+    return survivors.records(chosen).withColumnRenamed("group", "googleCid").withColumn("sourceLists", F.array_join("sourceLists", "|"))
+
+
 @query
 def p6_found(spark, d):
     """Rows of the two tables that name the same congregation."""
