@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parvis.llm import boilerplate, congregations, leakage, linkage, packing, plots, quality, survivors
+from parvis.llm import boilerplate, congregations, leakage, linkage, mojibake, packing, plots, quality, survivors
 from parvis.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,19 @@ def _sightings(spark, d, other):
     return cut(left), cut(right)
 
 
+@query
+def p5_found(spark, d):
+    """Values that are garbled by a wrong encoding."""
+    found = mojibake.repair(table(spark, d, "social_accounts"), ["accountName", "description"], key="account_row_id")
+    return found.select(F.col("key").alias("account_row_id"), "field")
+
+
+@query
+def p5_restored(spark, d):
+    """Garbled values and what they were."""
+    return mojibake.repair(table(spark, d, "social_accounts"), ["accountName", "description"], key="account_row_id").withColumnRenamed("key", "account_row_id")
+
+
 def _linked(spark, d):
     left, right = _sightings(spark, d, "churches")
     le, re_ = congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right)))
