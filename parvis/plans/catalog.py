@@ -1,10 +1,4 @@
-"""Registered queries of the core and their SQL."""
+"""All registered queries of the core; importing the modules registers them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from parvis.plans import geo  # noqa: F401
+from parvis.plans.registry import ORACLES, QUERIES  # noqa: F401
