@@ -122,7 +122,7 @@ class Garbled:
             for n, where in hits.items():
                 p = PAIRS[n]
                 check = _single_span if p.unit else _multi_span
-                total = len({start for start, _ in where})
+                total = len({start for start, _ in where}) + (text[where[0][0] : where[0][0] + 2] in ("вЂ", "‚Ä"))  # no words begin so
                 found += [s for group in _join(where, 1 if p.unit else 5) if (s := check(text, group, p, total))]
             found += _foreign_letters(text)
             found += [Span(m.start(), m.end(), "euc-jp", "cp932", m[0].encode("cp932").decode("euc-jp", "replace"), False) for m in _EUC_MARK.finditer(text)]
