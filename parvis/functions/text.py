@@ -26,15 +26,20 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def trim_all(c: Column) -> Column:
+    """Without outer white space of any width."""
+    return F.regexp_replace(c, "^[\\s\u3000\u00A0]+|[\\s\u3000\u00A0]+$", "")
+
+
 def exact_key(c: Column) -> Column:
     """Key of exact-name search: trimmed, lower case, blanks collapsed; without blanks where kana or Han occur."""
-    plain = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
+    plain = F.regexp_replace(F.lower(trim_all(c)), r"\s+", " ")
     return F.when(plain.rlike(KANA_OR_HAN), F.regexp_replace(plain, r"\s+", "")).otherwise(plain)
 
 
 def query_fold(c: Column) -> Column:
     """Fold of query text: ideographic blanks and full-width ASCII to ASCII, lower case, blanks collapsed."""
-    return F.regexp_replace(F.lower(F.translate(F.trim(c), "　" + WIDE, " " + NARROW)), r"\s+", " ")
+    return F.regexp_replace(F.lower(F.translate(trim_all(c), "　" + WIDE, " " + NARROW)), r"\s+", " ")
 
 
 def to_hiragana(c: Column) -> Column:

@@ -8,11 +8,12 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 HIDDEN = {"script", "style", "noscript", "template"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 ASSETS = re.compile(r"\.(jpe?g|png|gif|webp|svg|ico|css|js|pdf|zip|mp3|mp4|mov|avi|docx?|xlsx?|pptx?)$", re.I)
-_SCHEMA = "title string, text string, heading string, links array<string>"
+_SCHEMA = T.StructType([*[T.StructField(n, T.StringType()) for n in ("title", "text", "heading")], T.StructField("links", T.ArrayType(T.StringType()))])
 
 
 class _Page(HTMLParser):
@@ -67,7 +68,7 @@ def parse(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(x) for x in html], columns=["title", "text", "heading", "links"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def same_host_links(base: pd.Series, links: pd.Series) -> pd.Series:
     """Absolute links to the page's own host, without fragments and assets, each once in order."""
 
