@@ -102,8 +102,8 @@ def _cost(i: int, x: str | None, j: int, y: str | None) -> float:
         return 0.1 if i == j else 0.6
     if x == y:
         return 0.0 if i == j else 0.6
-    if i == j == 3 and A.within_one(x, y):
-        return 0.3
+    if i == j == 3 and A.within_one(x, y) and (len(x) != len(y) or sorted(x) == sorted(y)):
+        return 0.3  # a slip; another character in its place makes another town
     if i == j == 3 and (x.startswith(y) or y.startswith(x)) and abs(len(x) - len(y)) <= 2 and min(len(x), len(y)) > 1:
         return 0.4
     return 2.0

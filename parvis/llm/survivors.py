@@ -67,10 +67,14 @@ def union_values(rows: DataFrame, *, group: str, values: str, field: str) -> Dat
 
 
 def place_survivors(candidates: DataFrame, denominations: DataFrame) -> DataFrame:
-    """(group, field, value) for every map id on two or more rows: websiteUrl, denominationHint and each of sourceLists."""
+    """(group, field, value) for every map id on two or more rows: websiteUrl, denominationHint and each of sourceLists.
+
+    Null map ids form no group; a field without a usable value has no row; repeated rows count as rows; other columns are ignored.
+    """
     hint = F.lower(trimmed(F.col("denominationHint")))
     meanings = denominations.select(F.col("denominationId").alias("meant"), F.explode(F.array(F.lower(trimmed(F.col("denominationId"))), F.lower(trimmed(F.col("name"))))).alias("hint")).where("hint is not null").groupBy("hint").agg(F.min("meant").alias("meant"))
-    rows = candidates.withColumn("hint", hint).join(meanings, "hint", "left")
+    own = candidates.select("place_row_id", "googleCid", "websiteUrl", "resolvedAt", "ingested_at", "sourceLists", hint.alias("hint"))
+    rows = own.join(meanings, "hint", "left")
     site = web_address(F.col("websiteUrl"))
     fields = {"websiteUrl": (site, F.lower(trimmed(site))), "denominationHint": (F.col("meant"), F.col("meant"))}
     long = votes(rows, fields, group="googleCid", time=readable_time(F.col("resolvedAt")), second_time=F.col("ingested_at"), key=F.col("place_row_id"))
