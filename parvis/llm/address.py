@@ -31,9 +31,11 @@ class Address(NamedTuple):
     town: str | None
     numbers: str | None
     latin: bool
+    unit: str | None = None
 
 
 EMPTY = Address(None, None, None, None, None, None, False)
+_UNIT = re.compile(r"(?<![\d-])(B?\d{1,4})\s*(?:F\b|階|号室)", re.I)
 
 
 def fold_name(text: str) -> str:
@@ -155,8 +157,10 @@ def parse(text: str | None, postcode: str | None, places: Gazetteer) -> Address:
     if found:
         given = found[1] + found[2]
         s = (s[: found.start()] + " " + s[found.end() :]).strip()
+    unit = _UNIT.search(s)
+    unit = unit[1].upper() if unit else None
     if not _CJK.search(s):
-        return _latin(s, given, places)
+        return _latin(s, given, places)._replace(unit=unit)
     s = s.translate(VARIANTS)
     if re.search(r"[,、]", s):
         parts = [p.strip() for p in re.split(r"[,、]", s) if p.strip()]
@@ -202,7 +206,7 @@ def parse(text: str | None, postcode: str | None, places: Gazetteer) -> Address:
     town = re.sub(r"^(大字|字)", "", rest) or None
     if not number:
         town = None
-    return Address(given, prefecture, municipality, ward, town, numbers, False)
+    return Address(given, prefecture, municipality, ward, town, numbers, False, unit)
 
 
 def _latin(s: str, postcode: str | None, places: Gazetteer) -> Address:

@@ -291,10 +291,11 @@ def automaton() -> Garbled:
     return Garbled()
 
 
-def repair(rows: DataFrame, fields: list[str], *, key: str) -> DataFrame:
+def repair(rows: DataFrame, fields: list[str], *, key: str, restore: bool = True) -> DataFrame:
     """(key, field, garbled, original, spans, lost): one row per garbled value; null and blank values have none.
 
     ``original`` is the value with its garbled spans replaced; ``lost`` says that some of its bytes are gone.
+    Without ``restore`` the originals aren't worked out (null).
     """
     kind = rows.schema[key].dataType.simpleString()
 
@@ -306,7 +307,7 @@ def repair(rows: DataFrame, fields: list[str], *, key: str) -> DataFrame:
             for j, field in enumerate(fields):
                 for i, text in enumerate(batch.column(j + 1).to_pylist()):
                     if text and (spans := known.spans(text)):
-                        plain, lost = known.restore(text)
+                        plain, lost = known.restore(text) if restore else (None, None)
                         out.append((keys[i].as_py(), field, text, plain, len(spans), lost))
             if out:
                 c = list(zip(*out))

@@ -37,13 +37,13 @@ def read_addresses(rows: DataFrame, places: tuple, *, key: str, text: str, postc
         known = A.gazetteer(sent.value)
         for batch in batches:
             read = [A.parse(t, z, known) for t, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = list(zip(*read)) if read else [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns[:6]), pa.array(columns[6], pa.bool_())], ["key", *FIELDS, "latin"])
+            columns = list(zip(*read)) if read else [()] * 8
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns[:6]), pa.array(columns[6], pa.bool_()), pa.array(columns[7], pa.string())], ["key", *FIELDS, "latin", "unit"])
 
     zipped = F.col(postcode).cast("string") if postcode else F.lit(None).cast("string")
     kind = rows.schema[key].dataType.simpleString()
     own = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), zipped.alias("postcode"))
-    return own.mapInArrow(scan, f"key {kind}, " + ", ".join(f"{f} string" for f in FIELDS) + ", latin boolean")
+    return own.mapInArrow(scan, f"key {kind}, " + ", ".join(f"{f} string" for f in FIELDS) + ", latin boolean, unit string")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -137,17 +137,18 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
 
-def same_plots(left: DataFrame, right: DataFrame) -> DataFrame:
+def same_plots(left: DataFrame, right: DataFrame, *, unit_veto: bool = False) -> DataFrame:
     """(left key, right key) of rows whose addresses denote the same plot; both sides as read_addresses gives them.
 
     Rows without a street and numbers are in no pair. Equal readings are compared once, whatever their number; the keys are
-    joined back at the end, where a hot address is split by adaptive skew joins.
+    joined back at the end, where a hot address is split by adaptive skew joins. With ``unit_veto`` rows that name different
+    floors or rooms are no pair.
     """
     both = complete(left.unionByName(right))
     identity = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\0")) for f in FIELDS], "latin")
     forms = both.withColumn("form", identity)
-    a = left.where("town is not null and numbers is not null").select(F.col("key").alias("left_key"), identity.alias("a"))
-    b = right.where("town is not null and numbers is not null").select(F.col("key").alias("right_key"), identity.alias("b"))
+    a = left.where("town is not null and numbers is not null").select(F.col("key").alias("left_key"), F.col("unit").alias("u1"), identity.alias("a"))
+    b = right.where("town is not null and numbers is not null").select(F.col("key").alias("right_key"), F.col("unit").alias("u2"), identity.alias("b"))
     index = _index(forms)
     mine = index.join(a.select(F.col("a").alias("form")).distinct(), "form", "left_semi").withColumnRenamed("form", "a")
     theirs = index.join(b.select(F.col("b").alias("form")).distinct(), "form", "left_semi").withColumnRenamed("form", "b")
@@ -156,4 +157,7 @@ def same_plots(left: DataFrame, right: DataFrame) -> DataFrame:
     wide = candidates.join(forms.select(F.col("form").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns]), "a").join(forms.select(F.col("form").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns]), "b")
     wide = wide.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in columns])
     pairs = wide.mapInArrow(_judge, "a bigint, b bigint")
-    return a.join(pairs, "a").join(b, "b").select("left_key", "right_key")
+    rows = a.join(pairs, "a").join(b, "b")
+    if unit_veto:
+        rows = rows.where("u1 is null or u2 is null or u1 = u2")
+    return rows.select("left_key", "right_key")

@@ -37,6 +37,9 @@ def test_same_plots(spark):
     a = plots.read_addresses(spark.createDataFrame([(k, t, "x") for k, t in left], "k bigint, a string, town string"), AREAS, key="k", text="a")
     b = plots.read_addresses(spark.createDataFrame(right, "k bigint, a string, z string"), AREAS, key="k", text="a", postcode="z")
     assert sorted(tuple(r) for r in plots.same_plots(a, b).collect()) == [(1, 11), (1, 11), (5, 11), (6, 11)]
+    floor = plots.read_addresses(spark.createDataFrame([(8, "霧崎県高沢市幸町5-34-70 2F"), (9, "霧崎県高沢市幸町5-34-70 3階")], "k bigint, a string"), AREAS, key="k", text="a")
+    assert {r["left_key"] for r in plots.same_plots(floor, b).collect()} == {8, 9}
+    assert {r["left_key"] for r in plots.same_plots(floor, b, unit_veto=True).collect()} == {9}
     assert plots.same_plots(a.where("false"), b).count() == 0 and plots.same_plots(a, b.where("false")).count() == 0
 
 
