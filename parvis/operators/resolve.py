@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parvis.functions import similarity
 
 
+MOST_RULES = 100_000
+
+
 def blocked_pairs(left: DataFrame, right: DataFrame, *, key: str, blocks: Callable[[], Column]) -> DataFrame:
     """(a, b): keys of rows that share a block key; ``blocks`` gives an array of keys, nulls are left out."""
     a = left.select(F.col(key).alias("a"), F.explode(F.array_distinct(F.array_compact(blocks()))).alias("block"))
@@ -60,9 +63,11 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
 def rule_matches(rows: DataFrame, rules: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, rule) where every matching rule agrees; rules (rule, term, veto BOOLEAN). Terms under three characters are ignored.
 
-    Rule lists are small and written by hand; they are met by containment, the one join that needs a nested loop.
+    Rule lists are written by hand; more than MOST_RULES are refused. They are met by containment, the one join that needs a nested loop.
     """
     usable = rules.where("length(term) >= 3 or veto")
+    if usable.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     met = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(usable), F.expr("instr(text, term) > 0"))
     per_rule = met.groupBy("key", "rule").agg(F.max(F.col("veto")).alias("vetoed")).where("not vetoed")
     return per_rule.groupBy("key").agg(F.min("rule").alias("rule"), F.max("rule").alias("last")).where("rule = last").drop("last")

@@ -463,7 +463,7 @@ def evidence_cascade(spark, d):
     dn = table(spark, d, "denominations")
     ids = dn.select(F.col("denominationId").alias("by_id"), F.lower("denominationId").alias("h"))
     names = dn.select(F.col("denominationId").alias("by_name"), F.lower("name").alias("h2"))
-    joined = p.join(F.broadcast(ids), "h", "left").join(F.broadcast(names), p["h"] == F.col("h2"), "left")
+    joined = p.join(ids, "h", "left").join(names, p["h"] == F.col("h2"), "left")
     value, confidence, source = cascade([("hint id", F.col("by_id"), F.lit(1.0)), ("hint name", F.col("by_name"), F.lit(0.95)), ("lutheran word", F.when(F.col("name").contains("ルーテル"), F.lit("dn-lanternluth")), F.lit(0.85))])
     return joined.select("place_row_id", value.alias("denominationId"), confidence.alias("confidence"), source.alias("source"))
 

@@ -16,7 +16,7 @@ def church_details(spark, d):
     c = table(spark, d, "churches").select("church_row_id", "id", "denominationId")
     dn = table(spark, d, "denominations").select("denominationId", F.col("englishName").alias("denomination"))
     p = table(spark, d, "church_pages").groupBy(F.col("churchId").alias("id")).agg(F.count("*").alias("pages"), F.countDistinct(U.host(F.col("url"))).alias("hosts"))
-    return c.join(F.broadcast(dn), "denominationId", "left").join(p, "id", "left").select("church_row_id", "denomination", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("hosts", F.lit(0)).alias("hosts"))
+    return c.join(dn, "denominationId", "left").join(p, "id", "left").select("church_row_id", "denomination", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("hosts", F.lit(0)).alias("hosts"))
 
 
 oracle("church_details", r"""

@@ -55,7 +55,7 @@ def saved_places(spark: SparkSession, folder: str, lists: list[str] | None = Non
     known = F.array(*[F.lit(h) for names in heads.values() for h in names])
     is_head = F.array_contains(known, plain(F.col("_c0"))) & F.exists(F.array(*[plain(F.col(c)) for c in cells]), lambda x: x == "url")
     head = raw.where(is_head).groupBy("list").agg(F.first(F.array(*[plain(F.col(c)) for c in cells])).alias("head"))
-    joined = raw.where(~is_head).join(F.broadcast(head), "list")
+    joined = raw.where(~is_head).join(head, "list")
 
     def pick(names: tuple[str, ...]) -> Column:
         out = F.lit(None).cast("string")
