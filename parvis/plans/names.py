@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parvis.functions import address as A, naming as N, similarity, text as X, url as U
+from parvis.functions import address as A, localise as L, naming as N, similarity, text as X, url as U
 from parvis.operators import official, social
 from parvis.plans.registry import oracle, query
 from parvis.plans.resolve import identity_pairs
 from parvis.session import table
+from parvis.sources import directories as D, exports
 
 
 @query
@@ -179,3 +180,45 @@ oracle("similar_names", f"""
 WITH f AS (SELECT id, arg_min(name, church_row_id) AS f FROM churches GROUP BY id), p AS (SELECT church_row_id, name AS x, f AS y, CASE WHEN least(length(name), length(f)) >= 4 THEN 2 ELSE 1 END AS n FROM churches JOIN f USING (id)),
 g AS (SELECT church_row_id, {_G.format('x')} AS a, {_G.format('y')} AS b FROM p)
 SELECT church_row_id, round(CAST(2.0 * len(list_intersect(a, b)) / greatest(len(a) + len(b), 1) AS DOUBLE), 6) AS dice FROM g""")
+
+
+@query
+def title_parts(spark, d):
+    """Scripts that the titles of places are written in."""
+    p = table(spark, d, "place_candidates").select(L.decompose_title("name").alias("p"))
+    return p.groupBy("p.pattern").agg(F.count("*").alias("places"))
+
+
+@query
+def site_pages(spark, d):
+    """One page per church and language."""
+    c = table(spark, d, "churches").groupBy("id").agg(F.min_by("name", "church_row_id").alias("name"), F.min_by("englishName", "church_row_id").alias("en"))
+    return exports.page_models(c, ["ja", "en", "ko", "pt", "id"], key="id", name=F.col("name"), localised={"en": F.col("en")}).withColumnRenamed("key", "id")
+
+
+oracle("site_pages", """
+WITH c AS (SELECT id, arg_min(name, church_row_id) AS name, arg_min(englishName, church_row_id) AS en FROM churches GROUP BY id), l AS (SELECT unnest(['ja','en','ko','pt','id']) AS language)
+SELECT id, language, '/' || language || '/churches/' || id || '/' AS path, CASE WHEN language = 'en' THEN coalesce(en, name) ELSE name END AS title FROM c, l""")
+
+
+@query
+def migrated_translations(spark, d):
+    """Outcomes of filling Chinese area names from Japanese ones, municipalities' names being protected."""
+    g = table(spark, d, "geonames").select(F.col("translations")["zh-Hans"].alias("now"), (F.col("type") == "WARD").alias("protected"), X.to_simplified(F.col("name")).alias("fresh"))
+    _, outcome = L.migrate(F.nullif("now", F.lit("")), F.col("protected"), F.col("fresh"))
+    return g.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("areas"))
+
+
+oracle("migrated_translations", f"""
+WITH g AS (SELECT nullif(translations['zh-Hans'], '') AS now, type = 'WARD' AS p, translate(name, '{X.TRADITIONAL + X.SHINJITAI}', '{X.SIMPLIFIED + X.SHINJITAI_SIMPLE}') AS fresh FROM geonames)
+SELECT CASE WHEN coalesce(p, false) THEN 'protected' WHEN fresh IS NULL THEN 'no translation' WHEN now IS NOT DISTINCT FROM fresh THEN 'unchanged' WHEN now IS NULL THEN 'added' ELSE 'replaced' END AS outcome, count(*) AS areas FROM g GROUP BY 1""")
+
+
+@query
+def decoded_contents(spark, d):
+    """Page contents as bytes in two charsets, decoded by what the bytes say."""
+    p = table(spark, d, "church_pages").where("content is not null").select("page_id", "content", D.decode_page(F.encode(F.col("content"), "UTF-8")).alias("text"))
+    return p.agg(F.count("*").alias("pages"), F.count_if(F.col("text") == F.col("content")).alias("same"))
+
+
+oracle("decoded_contents", "SELECT count(*) AS pages, count(*) AS same FROM church_pages WHERE content IS NOT NULL")
