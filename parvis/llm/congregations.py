@@ -81,20 +81,29 @@ def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side(left), side(right)
 
 
-def _mode(rows: DataFrame, by: str, value: Column, name: str) -> DataFrame:
-    """The most frequent non-null value of each group, ties by value; two combinable aggregations."""
-    seen = rows.select(by, value.alias("v")).where("v is not null").groupBy(by, "v").agg(F.count("*").alias("n"))
-    return seen.groupBy(by).agg(F.max_by("v", F.struct("n", "v")).alias(name))
-
-
 def entities(rows: DataFrame) -> DataFrame:
-    """One row per entity: the majority reading of its names, its area, town, plot, host and mean location."""
-    reading = F.when(F.col("core").isNotNull(), F.struct("core", "mark"))
-    spot = F.when(F.col("core").isNotNull() & F.col("place").isNotNull(), F.struct("place", "mark", "other_place", "other_mark"))
-    out = rows.groupBy("entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"), F.count("*").alias("rows"))
-    for value, name in ((reading, "r"), (spot, "s"), (F.col("latin_place"), "latin_place"), (F.col("kind"), "kind"), (F.col("area"), "area"), (F.col("town"), "town"), (F.col("plot"), "plot"), (F.col("host"), "host")):
-        out = out.join(_mode(rows, "entity", value, name), "entity", "left")
-    return out.select("entity", F.col("r.core").alias("core"), F.col("r.mark").alias("said_mark"), F.coalesce("s.mark", "r.mark").alias("mark"), F.col("s.place").alias("place"), F.col("s.other_place").alias("other_place"), F.col("s.other_mark").alias("other_mark"), "latin_place", "kind", "area", "town", "plot", "host", "latitude", "longitude", "rows")
+    """One row per entity: the majority reading of its names, its area, town, plot, host and median location.
+
+    The values of all fields are counted in one pass over long rows, ties go to the greater value; three combinable
+    aggregations whatever the number of fields.
+    """
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    value = lambda *c: F.struct(*[x.alias(f"v{i}") for i, x in enumerate([*c, *[none] * (4 - len(c))])])
+    core = F.col("core").isNotNull()
+    fields = {"r": F.when(core, value(text("core"), text("mark"))), "s": F.when(core & F.col("place").isNotNull(), value(text("place"), text("mark"), text("other_place"), text("other_mark")))}
+    fields |= {f: F.when(F.col(f).isNotNull(), value(text(f))) for f in ("latin_place", "kind", "area", "town", "plot", "host")}
+    long = rows.select("entity", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("v")) for k, v in fields.items()])).alias("x")).select("entity", "x.field", "x.v").where("v is not null")
+    seen = long.groupBy("entity", "field", "v").agg(F.count("*").alias("n"))
+    best = seen.groupBy("entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    wide = best.groupBy("entity").agg(*[F.max(F.when(F.col("field") == k, F.col("v"))).alias(k) for k in fields])
+    base = rows.groupBy("entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"), F.count("*").alias("rows"))
+    full = base.join(wide, "entity", "left")
+    one = lambda f: F.col(f"{f}.v0").alias(f)
+    return full.select(
+        "entity", F.col("r.v0").alias("core"), F.col("r.v1").alias("said_mark"), F.coalesce("s.v1", "r.v1").alias("mark"), F.col("s.v0").alias("place"), F.col("s.v2").alias("other_place"), F.col("s.v3").alias("other_mark"),
+        one("latin_place"), one("kind"), one("area"), one("town"), F.col("plot.v0").cast("bigint").alias("plot"), one("host"), "latitude", "longitude", "rows",
+    )
 
 
 def with_native_places(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
