@@ -70,11 +70,14 @@ def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = plots.complete(left.select(*fields).unionByName(right.select(*fields)))
     identity = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\0")) for f in plots.FIELDS], "latin")
     areas = forms.select(identity.alias("form"), "municipality2", "ward2", "town2")
-    zips = forms.where("postcode is not null and municipality2 is not null").groupBy("postcode", "municipality2").agg(F.count("*").alias("n")).groupBy("postcode").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("zip_municipality"))
+    known = forms.where("postcode is not null and municipality2 is not null")
+    zips = known.groupBy("postcode", "municipality2").agg(F.count("*").alias("n")).groupBy("postcode").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("zip_municipality"))
+    # the first three digits stand for a municipality where nine in ten readings agree; that bears a wrong digit after them
+    heads = known.groupBy(F.substring("postcode", 1, 3).alias("head"), "municipality2").agg(F.count("*").alias("n")).groupBy("head").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("head_municipality"), (F.max("n") / F.sum("n")).alias("share")).where("share >= 0.9").drop("share")
 
     def side(rows: DataFrame) -> DataFrame:
-        full = rows.withColumn("form", identity).join(areas, "form", "left").join(zips, "postcode", "left")
-        area = F.coalesce("municipality2", "municipality", "zip_municipality")
+        full = rows.withColumn("form", identity).join(areas, "form", "left").join(zips, "postcode", "left").join(heads, F.substring("postcode", 1, 3) == F.col("head"), "left")
+        area = F.coalesce("municipality2", "municipality", "zip_municipality", "head_municipality")
         plot = F.when(F.col("municipality2").isNotNull() & F.col("town2").isNotNull() & F.col("numbers").isNotNull(), F.xxhash64("municipality2", "town2", "numbers"))
         return full.select("key", "entity", *NAME_FIELDS, area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "latitude", "longitude", "host")
 
@@ -87,30 +90,32 @@ def entities(rows: DataFrame) -> DataFrame:
     The values of all fields are counted in one pass over long rows, ties go to the greater value; three combinable
     aggregations whatever the number of fields.
     """
-    text = lambda c: F.col(c).cast("string")
-    none = F.lit(None).cast("string")
-    value = lambda *c: F.struct(*[x.alias(f"v{i}") for i, x in enumerate([*c, *[none] * (4 - len(c))])])
+    code = lambda *c: F.concat_ws(_SEP, *[F.coalesce(F.col(x).cast("string"), F.lit(_NONE)) for x in c])
+    part = lambda c, i: F.nullif(F.split_part(c, F.lit(_SEP), F.lit(i)), F.lit(_NONE))
     core = F.col("core").isNotNull()
-    fields = {"r": F.when(core, value(text("core"), text("mark"))), "s": F.when(core & F.col("place").isNotNull(), value(text("place"), text("mark"), text("other_place"), text("other_mark")))}
-    fields |= {f: F.when(F.col(f).isNotNull(), value(text(f))) for f in ("latin_place", "kind", "area", "town", "plot", "host")}
-    long = rows.select("entity", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("v")) for k, v in fields.items()])).alias("x")).select("entity", "x.field", "x.v").where("v is not null")
+    fields = {"r": F.when(core, code("core", "mark")), "s": F.when(core & F.col("place").isNotNull(), code("place", "mark", "other_place", "other_mark"))}
+    fields |= {f: F.col(f).cast("string") for f in ("latin_place", "kind", "area", "town", "plot", "host")}
+    long = rows.select("entity", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), v.alias("v")) for i, v in enumerate(fields.values())])).alias("x")).select("entity", "x.field", "x.v").where("v is not null")
     seen = long.groupBy("entity", "field", "v").agg(F.count("*").alias("n"))
     best = seen.groupBy("entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    wide = best.groupBy("entity").agg(*[F.max(F.when(F.col("field") == k, F.col("v"))).alias(k) for k in fields])
+    wide = best.groupBy("entity").agg(*[F.max(F.when(F.col("field") == i, F.col("v"))).alias(k) for i, k in enumerate(fields)])
     base = rows.groupBy("entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"), F.count("*").alias("rows"))
     full = base.join(wide, "entity", "left")
-    one = lambda f: F.col(f"{f}.v0").alias(f)
     return full.select(
-        "entity", F.col("r.v0").alias("core"), F.col("r.v1").alias("said_mark"), F.coalesce("s.v1", "r.v1").alias("mark"), F.col("s.v0").alias("place"), F.col("s.v2").alias("other_place"), F.col("s.v3").alias("other_mark"),
-        one("latin_place"), one("kind"), one("area"), one("town"), F.col("plot.v0").cast("bigint").alias("plot"), one("host"), "latitude", "longitude", "rows",
+        "entity", part(F.col("r"), 1).alias("core"), part(F.col("r"), 2).alias("said_mark"), F.coalesce(part(F.col("s"), 2), part(F.col("r"), 2)).alias("mark"), part(F.col("s"), 1).alias("place"), part(F.col("s"), 3).alias("other_place"), part(F.col("s"), 4).alias("other_mark"),
+        "latin_place", "kind", "area", "town", F.col("plot").cast("bigint").alias("plot"), "host", "latitude", "longitude", "rows",
     )
 
 
+_SEP, _NONE = "\x1f", "\x00"
+
+
 def with_native_places(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Romanised places rendered by the native place that entities with both mostly give; one row per romanised place."""
     both = left.select("latin_place", "place", "other_place").unionByName(right.select("latin_place", "place", "other_place"))
     plain = F.regexp_replace("latin_place", r"-(shi|machi|mura)$", "")
-    pairs = both.where("latin_place is not null and place is not null").select(plain.alias("latin_place"), F.explode(F.array_compact(F.array("place", "other_place"))).alias("p")).groupBy("latin_place", "p").agg(F.count("*").alias("n"))
+    pairs = both.where("latin_place is not null and place is not null").select(plain.alias("latin_place"), F.explode(F.array_compact(F.array("place", "other_place"))).alias("p"))
+    pairs = pairs.where(F.col("latin_place").rlike("(higashi|nishi|minami|kita)$") == F.col("p").rlike("[東西南北]$")).groupBy("latin_place", "p").agg(F.count("*").alias("n"))
     said = pairs.groupBy("latin_place").agg(F.max_by("p", F.struct("n", F.length("p"), "p")).alias("native"))
 
     def side(rows: DataFrame) -> DataFrame:

@@ -118,6 +118,11 @@ def p4_records(spark, d):
     return survivors.records(chosen).withColumnRenamed("group", "googleCid").withColumn("sourceLists", F.array_join("sourceLists", "|"))
 
 
+ORACLES["p4_records"] = f"""
+SELECT googleCid, max(value) FILTER (field = 'websiteUrl') AS websiteUrl, max(value) FILTER (field = 'denominationHint') AS denominationHint,
+ array_to_string(list_sort(coalesce(list(value) FILTER (field = 'sourceLists'), [])), '|') AS sourceLists FROM ({ORACLES['p4_found']}) GROUP BY 1"""
+
+
 @query
 def p6_found(spark, d):
     """Rows of the two tables that name the same congregation."""
