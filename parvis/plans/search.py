@@ -101,8 +101,8 @@ def tiered_search(spark, d):
 def located_search(spark, d):
     """A query that names a town: the town becomes a filter, the rest is searched."""
     areas = places.load(table(spark, d, "geonames"))
-    said = places.resolve("南橋市 平和", areas)
-    return _run(spark, d, search.Request("南橋市 平和", area_code=said.place.code if said.place else None, explicit_area=said.explicit, remainder=said.remainder, limit=50))
+    said = places.resolve("南橋市 キリスト", areas)
+    return _run(spark, d, search.Request("南橋市 キリスト", area_code=said.place.code if said.place else None, explicit_area=said.explicit, remainder=said.remainder, limit=50))
 
 
 @query
