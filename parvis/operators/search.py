@@ -65,6 +65,12 @@ def bm25(posted: DataFrame, stats: DataFrame, terms: list[str], weights: dict[st
     return (scored.where(F.col("found") == len(terms)) if need_all else scored).select("doc", "score")
 
 
+def exact_key(text: str) -> str:
+    """The exact-name key of a query, as functions.text.exact_key gives it for rows."""
+    plain = re.sub(r"\s+", " ", text.strip(" \t\r\n\x0b\x0c　\xa0").lower(), flags=re.ASCII)
+    return re.sub(r"\s+", "", plain, flags=re.ASCII) if re.search("[぀-ヿ㐀-鿿]", plain) else plain
+
+
 @dataclass
 class Request:
     """A search request; offset and limit as the service bounds them."""
@@ -110,7 +116,6 @@ def run(docs: DataFrame, posted: DataFrame, stats: DataFrame, request: Request,
     names anywhere come first, then what lies within the radius by distance. ``content`` adds tier 4 for Japanese queries when
     the first three give too few.
     """
-    from parvis.functions.text import exact_key
     from parvis.operators.spatial import haversine_km
 
     p = plan(request)
@@ -125,7 +130,7 @@ def run(docs: DataFrame, posted: DataFrame, stats: DataFrame, request: Request,
     elif request.point:
         reach = math.degrees(request.radius_km / 6371.0088)
         placed = base.where(F.col("latitude").between(request.point[0] - reach, request.point[0] + reach)).where(F.col("distance_km") <= request.radius_km)
-    key = base.sparkSession.range(1).select(exact_key(F.lit(request.query))).first()[0]
+    key = exact_key(request.query)
     named = placed if p["area_on_names"] else base
     tier1 = named.where(F.col("name_exact") == key).select("doc", F.lit(100.0 * 1_000_000).alias("score"), F.lit(1).alias("tier"), "distance_km")
     parts = [tier1]

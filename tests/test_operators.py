@@ -182,3 +182,10 @@ def test_tokens_agree_with_query_analysis(spark):
     for t in ("Hello, World 42", "東京 バプテスト教会", "교회 A", "", "光"):
         got = spark.createDataFrame([(t,)], "t string").select(search.tokens(F.col("t")).alias("x")).first()["x"]
         assert list(dict.fromkeys(got)) == search.analyse(t)
+
+
+def test_query_key_equals_row_key(spark):
+    from parvis.functions.text import exact_key
+
+    for t in ("　東京 教会 ", " Grace   Church ", "ＡＢ c", "a\u00a0b", "光 の　丘"):
+        assert search.exact_key(t) == spark.createDataFrame([(t,)], "t string").select(exact_key(F.col("t")).alias("k")).first()["k"]
