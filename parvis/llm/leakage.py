@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 _OTHER = re.compile(r"[\W_]+")
 RATE = 0.08
@@ -195,15 +196,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     out = None
     for b in range(blocks):
         rows = [(r.i, r.t) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()]
-        part = corpus.mapInArrow(_Scan(spark.sparkContext.broadcast(rows), rate), f"doc_id {kind[0]}, item_id {kind[1]}, passage_chars int, item_chars int, distance int")
+        part = corpus.mapInArrow(_Scan(spark.sparkContext.broadcast(rows), rate, to_arrow_type(items.schema[item_id].dataType)), f"doc_id {kind[0]}, item_id {kind[1]}, passage_chars int, item_chars int, distance int")
         out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("passage_chars", -F.col("distance"), "item_chars")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.passage_chars", "m.item_chars", (-F.col("m.col2")).alias("distance"))
 
 
 class _Scan:
-    def __init__(self, rows, rate: float) -> None:
-        self.rows, self.rate = rows, rate
+    def __init__(self, rows, rate: float, kind: pa.DataType) -> None:
+        self.rows, self.rate, self.kind = rows, rate, kind
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
@@ -214,5 +215,4 @@ class _Scan:
                 rows += [(ids[n].as_py(), *row) for row in index.search(text.as_py())]
             if rows:
                 columns = list(zip(*rows))
-                i = index.items
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], ids.type), pa.array(columns[1], pa.int64() if isinstance(next(iter(i)), int) else pa.string()), *(pa.array(c, pa.int32()) for c in columns[2:])], ["doc_id", "item_id", "passage_chars", "item_chars", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], ids.type), pa.array(columns[1], self.kind), *(pa.array(c, pa.int32()) for c in columns[2:])], ["doc_id", "item_id", "passage_chars", "item_chars", "distance"])

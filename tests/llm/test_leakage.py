@@ -68,3 +68,10 @@ def test_empty_tables(leaks):
     d, items = leaks
     assert leakage.find_leaks(d.where("false"), items).count() == 0
     assert leakage.find_leaks(d, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_keys_of_any_kind(spark, kind):
+    d = spark.createDataFrame([(1, ITEM), (2, "x")], "doc_id bigint, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+    assert [(str(r["doc_id"]), str(r["item_id"])) for r in leakage.find_leaks(d, items).collect()] == [("1", "7")]
