@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "parvis-checkpoint")
+        folder = tempfile.mkdtemp(prefix="parvis-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
