@@ -142,31 +142,31 @@ def forms(rows: DataFrame) -> DataFrame:
     part2 = F.when(c("plot").isNotNull() & (second != ""), F.xxhash64(F.lit("part"), "plot", second, "x.m", F.lit(2)))
     part3 = F.when(c("plot").isNotNull(), F.xxhash64(F.lit("part"), "plot", "core"))
     parts = [F.struct(F.lit("part").alias("how"), p.alias("h")) for p in (part1, part2, part3)]
-    out = each.select("entity", F.explode(F.array(*parts, F.struct(F.lit("full").alias("how"), full.alias("h")), F.struct(F.lit("bare").alias("how"), bare.alias("h")), F.struct(F.lit("wide").alias("how"), wide.alias("h")))).alias("f"), F.struct("place", "other_place").alias("spot"), "area", "plot")
-    return out.select("entity", "f.how", "f.h", blank("spot.place").alias("place"), blank("area").alias("area"), "plot").where("h is not null").distinct()
+    out = each.select("entity", F.explode(F.array(*parts, F.struct(F.lit("full").alias("how"), full.alias("h")), F.struct(F.lit("bare").alias("how"), bare.alias("h")), F.struct(F.lit("wide").alias("how"), wide.alias("h")))).alias("f"), F.struct("place", "other_place").alias("spot"), "area", "town")
+    return out.select("entity", "f.how", "f.h", blank("spot.place").alias("place"), blank("area").alias("area"), "town").where("h is not null").distinct()
 
 
 def rarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(hash, places, areas, plots): between how many different places and areas the entities of a form are spread, and on how
-    many plots the left ones without a place stand; few is telling."""
+    """(hash, places, areas, towns): between how many different places and areas the entities of a form are spread, and in how
+    many towns the left ones stand; few is telling."""
     bare, wide = F.col("how") == "bare", F.col("how") == "wide"
     named = F.nullif("place", F.lit(""))
     both = left.withColumn("own", F.lit(True)).unionByName(right.withColumn("own", F.lit(False)))
     return both.groupBy("h").agg(
-        F.size(F.collect_set(F.when(bare, named))).alias("places"), F.size(F.collect_set(F.when(wide, F.nullif("area", F.lit(""))))).alias("areas"), F.size(F.collect_set(F.when(bare & F.col("own") & named.isNull(), F.col("plot")))).alias("plots")
+        F.size(F.collect_set(F.when(bare, named))).alias("places"), F.size(F.collect_set(F.when(wide, F.nullif("area", F.lit(""))))).alias("areas"), F.size(F.collect_set(F.when(F.col("how").isin("bare", "full") & F.col("own"), F.col("town")))).alias("towns")
     )
 
 
 def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left entity, right entity) that name the same congregation, with a score by the rarity of the rewriting they share.
 
-    A form with place and area is enough. A form without place is, where the area has one place and one plot only for it, or the
+    A form with place and area is enough, unless it stands in several towns and both towns are known and differ. A form without place is, where the area has one place and one town only for it, or the
     plots or towns agree. A form without area is, where it occurs in one area only. Contradicting places or kinds rule a pair out.
     """
     lf, rf = forms(left), forms(right)
     spread = rarity(lf, rf)
     met = lf.select("h", "how", F.col("entity").alias("a")).join(rf.select("h", F.col("entity").alias("b")), "h").join(spread, "h")
-    met = met.groupBy("a", "b").agg(F.max((F.col("how") != "part").cast("int")).alias("whole"), F.max((F.col("how") == "full").cast("int")).alias("full"), F.min(F.when(F.col("how") == "bare", F.greatest("places", "plots"))).alias("places"), F.min(F.when(F.col("how") == "wide", F.col("areas"))).alias("areas"))
+    met = met.groupBy("a", "b").agg(F.max((F.col("how") != "part").cast("int")).alias("whole"), F.max((F.col("how") == "full").cast("int")).alias("full"), F.max(F.when(F.col("how") == "full", F.col("towns"))).alias("full_towns"), F.min(F.when(F.col("how") == "bare", F.greatest("places", "towns"))).alias("places"), F.min(F.when(F.col("how") == "wide", F.col("areas"))).alias("areas"))
     cols = ["core", "area", "town", "plot", "place", "other_place", "kind", "latitude", "longitude"]
     pair = met.join(left.select(F.col("entity").alias("a"), *[F.col(x).alias(f"a_{x}") for x in cols]), "a").join(right.select(F.col("entity").alias("b"), *[F.col(x).alias(f"b_{x}") for x in cols]), "b")
     c = F.col
@@ -184,7 +184,7 @@ def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
         .when(other_area & ~same_plot, 0.0)
         .when(same_plot, F.when(clash, 0.75).otherwise(0.97))
         .when(clash, 0.1)
-        .when(c("full") == 1, 0.9)
+        .when(c("full") == 1, F.when((c("full_towns") > 1) & c("a_plot").isNotNull() & c("b_plot").isNotNull() & ~same_town, 0.45).otherwise(0.9))
         .when(other_kind, 0.2)
         .when(same_town, 0.8)
         .when(c("places") <= 1, 0.6)
