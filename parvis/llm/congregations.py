@@ -79,7 +79,7 @@ def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
         full = rows.withColumn("form", identity).join(areas, "form", "left").join(zips, "postcode", "left").join(heads, F.substring("postcode", 1, 3) == F.col("head"), "left")
         area = F.coalesce("municipality2", "municipality", "zip_municipality", "head_municipality")
         plot = F.when(F.col("municipality2").isNotNull() & F.col("town2").isNotNull() & F.col("numbers").isNotNull(), F.xxhash64("municipality2", "town2", "numbers"))
-        return full.select("key", "entity", *NAME_FIELDS, area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "latitude", "longitude", "host")
+        return full.select("key", "entity", *NAME_FIELDS, area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "numbers", "latitude", "longitude", "host")
 
     return side(left), side(right)
 
@@ -94,7 +94,7 @@ def entities(rows: DataFrame) -> DataFrame:
     part = lambda c, i: F.nullif(F.split_part(c, F.lit(_SEP), F.lit(i)), F.lit(_NONE))
     core = F.col("core").isNotNull()
     fields = {"r": F.when(core, code("core", "mark")), "s": F.when(core & F.col("place").isNotNull(), code("place", "mark", "other_place", "other_mark"))}
-    fields |= {f: F.col(f).cast("string") for f in ("latin_place", "kind", "area", "town", "plot", "host")}
+    fields |= {f: F.col(f).cast("string") for f in ("latin_place", "kind", "area", "town", "plot", "numbers", "host")}
     long = rows.select("entity", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), v.alias("v")) for i, v in enumerate(fields.values())])).alias("x")).select("entity", "x.field", "x.v").where("v is not null")
     seen = long.groupBy("entity", "field", "v").agg(F.count("*").alias("n"))
     best = seen.groupBy("entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
@@ -103,7 +103,7 @@ def entities(rows: DataFrame) -> DataFrame:
     full = base.join(wide, "entity", "left")
     return full.select(
         "entity", part(F.col("r"), 1).alias("core"), part(F.col("r"), 2).alias("said_mark"), F.coalesce(part(F.col("s"), 2), part(F.col("r"), 2)).alias("mark"), part(F.col("s"), 1).alias("place"), part(F.col("s"), 3).alias("other_place"), part(F.col("s"), 4).alias("other_mark"),
-        "latin_place", "kind", "area", "town", F.col("plot").cast("bigint").alias("plot"), "host", "latitude", "longitude", "rows",
+        "latin_place", "kind", "area", "town", F.col("plot").cast("bigint").alias("plot"), "numbers", "host", "latitude", "longitude", "rows",
     )
 
 
@@ -157,6 +157,12 @@ def rarity(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def same_numbers(a: str, b: str) -> Column:
+    """Street numbers of two or more figures that agree within one area: one plot even where the town carries a slip."""
+    n = F.col(f"{a}_numbers")
+    return F.coalesce((F.col(f"{a}_area") == F.col(f"{b}_area")) & (n == F.col(f"{b}_numbers")) & n.contains("-"), F.lit(False))
+
+
 def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left entity, right entity) that name the same congregation, with a score by the rarity of the rewriting they share.
 
@@ -167,10 +173,10 @@ def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
     spread = rarity(lf, rf)
     met = lf.select("h", "how", F.col("entity").alias("a")).join(rf.select("h", F.col("entity").alias("b")), "h").join(spread, "h")
     met = met.groupBy("a", "b").agg(F.max((F.col("how") != "part").cast("int")).alias("whole"), F.max((F.col("how") == "full").cast("int")).alias("full"), F.max(F.when(F.col("how") == "full", F.col("towns"))).alias("full_towns"), F.min(F.when(F.col("how") == "bare", F.greatest("places", "towns"))).alias("places"), F.min(F.when(F.col("how") == "wide", F.col("areas"))).alias("areas"))
-    cols = ["core", "area", "town", "plot", "place", "other_place", "kind", "latitude", "longitude"]
+    cols = ["core", "area", "town", "plot", "numbers", "place", "other_place", "kind", "latitude", "longitude"]
     pair = met.join(left.select(F.col("entity").alias("a"), *[F.col(x).alias(f"a_{x}") for x in cols]), "a").join(right.select(F.col("entity").alias("b"), *[F.col(x).alias(f"b_{x}") for x in cols]), "b")
     c = F.col
-    same_plot = F.coalesce(c("a_plot") == c("b_plot"), F.lit(False))
+    same_plot = F.coalesce(c("a_plot") == c("b_plot"), F.lit(False)) | same_numbers("a", "b")
     same_town = F.coalesce((c("a_town") == c("b_town")) & (c("a_area") == c("b_area")), F.lit(False))
     other_area = F.coalesce(c("a_area") != c("b_area"), F.lit(False))
     own_place = F.coalesce((c("a_place") == c("b_place")) | (c("a_place") == c("b_other_place")) | (c("a_other_place") == c("b_place")), F.lit(False))
