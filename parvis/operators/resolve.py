@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parvis.functions import similarity
 
@@ -40,6 +40,69 @@ def gram_candidates(left: DataFrame, right: DataFrame, *, key: str, text: str, m
     return top_per_group(shared, ["a"], [F.col("shared").desc(), F.col("b")], most).drop("rank")
 
 
+def containing_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y): all pairs of non-blank names of which one equals or contains the other; left (x), right (y).
+
+    An equi-join of the whole shorter name with the substrings of the longer one, in both directions. Only substrings are made
+    whose first two characters begin a shorter name, of the lengths that such names have.
+    """
+    left, right = left.where("x != ''").distinct(), right.where("y != ''").distinct()
+
+    def within(long: DataFrame, x: str, short: DataFrame, y: str) -> DataFrame:
+        tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        heads = short.groupBy(F.substring(y, 1, 2).alias("head")).agg(F.collect_set(F.length(y)).alias("lengths"))
+        starts = long.repartition(tasks, x).select(x, F.explode(F.sequence(F.lit(1), F.length(x))).alias("i"))
+        head = lambda n: F.substring(F.col(x), F.col("i"), F.lit(n))
+        starts = starts.select(x, "i", F.explode(F.array_distinct(F.array(head(1), head(2)))).alias("head")).join(heads, "head")
+        parts = starts.select(x, "i", F.explode(F.filter("lengths", lambda n: n <= F.length(x) - F.col("i") + 1)).alias("n"))
+        return parts.select(x, F.substring(F.col(x), F.col("i"), F.col("n")).alias(y)).join(short, y).select("x", "y")
+
+    return within(left, "x", right, "y").union(within(right, "y", left, "x")).distinct()
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(x, y, name_score): all pairs of names whose fuzzy score is at least ``least`` (over 0); left (x), right (y).
+
+    Candidates by an equi-join of the rarest grams of x, as many as leave no such pair out, with all grams of y. Of g grams a
+    dice score d needs d / (2 - d) * g shared, so one of any g - that + 1 is shared; k edits touch at most k characters and 2k
+    bigrams of x, so one of any k + 1 or 2k + 1 stays. Bigrams serve names of four characters or more, as in the score.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    from parvis.session import cut
+
+    left, right = cut(left.where("x != ''").distinct()), cut(right.where("y != ''").distinct())
+    bigram_edits = 4 * (2 * least - 1) >= 2  # else two names within the edits may share no bigram
+
+    def keys(side: DataFrame, name: str, kinds: list[tuple[str, int, Column]]) -> DataFrame:
+        tagged = lambda k: lambda g: F.struct(F.lit(k).alias("k"), g.alias("g"))
+        each = [F.when(use, F.transform(similarity.grams(F.col(name), n), tagged(k))) for k, n, use in kinds]
+        held = F.explode(F.array_compact(F.array(*each))).alias("keys")
+        return side.select(name, held).select(name, F.size("keys").alias(f"{name}_grams"), F.explode("keys").alias("key")).select(name, f"{name}_grams", "key.k", "key.g")
+
+    x, y = F.length("x"), F.length("y")
+    both, one = (lambda n: n >= 4), (lambda n: n < 4)
+    kinds = lambda n, own: [("s", 1, one(n) if own else F.lit(True)), ("l", 1, both(n) if own else one(n)), ("b", 2, both(n)), *([] if bigram_edits else [("e", 1, both(n))])]
+    xs, ys = keys(left, "x", kinds(x, True)), keys(right, "y", kinds(y, False))
+    held = xs.join(ys.groupBy("k", "g").agg(F.count("*").alias("n")), ["k", "g"], "left").fillna(0, ["n"])
+    edits = F.floor((1 - least) / least * x + 1e-9)
+    shared = F.ceil(least / (2 - least) * F.col("x_grams") - 1e-9)
+    by_dice, by_edit = F.col("x_grams") - shared + 1, F.when(F.col("k") == "b", 2 * edits + 1).otherwise(edits + 1)
+    needed = F.when(F.col("k") == "e", by_edit).when((F.col("k") == "b") & F.lit(not bigram_edits), by_dice).otherwise(F.greatest(by_dice, by_edit))
+    rank = F.row_number().over(Window.partitionBy("x", "k").orderBy("n", "g"))
+    few = held.withColumn("rank", rank).where(F.col("rank") <= needed)
+    in_reach = lambda a, b, share: F.least(a, b) >= share * F.greatest(a, b) - 1e-9
+    may = in_reach(x, y, least) | in_reach(F.col("x_grams"), F.col("y_grams"), least / (2 - least))  # edit | dice
+    met = few.join(ys, ["k", "g"]).where((F.col("k") == "e") | may).select("x", "y")
+    spread = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y").distinct()  # few bytes, but costly to score
+    made = lambda side, n: cut(side.where(F.trim(n) != "").select(n, similarity.grams(F.col(n), 1).alias(f"{n}1"), similarity.grams(F.col(n), 2).alias(f"{n}2")))
+    full = spread.join(made(left, "x"), "x").join(made(right, "y"), "y")
+    dice = lambda n: 2.0 * F.size(F.array_intersect(f"x{n}", f"y{n}")) / F.greatest(F.size(f"x{n}") + F.size(f"y{n}"), F.lit(1))
+    score = F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.greatest(F.when(F.least(x, y) >= 4, dice(2)).otherwise(dice(1)), similarity.edit(F.col("x"), F.col("y"))))  # similarity.fuzzy, grams made once a name
+    return full.select("x", "y", score.alias("name_score")).where(F.col("name_score") >= least)
+
+
+
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment of (a, b, score): in each round the pairs that are best for both sides are taken.
 

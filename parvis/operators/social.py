@@ -6,25 +6,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parvis.functions import similarity
 from parvis.operators.dedupe import top_per_group, winner_margin
-from parvis.operators.resolve import gram_candidates
+from parvis.operators.resolve import containing_names, gram_candidates, similar_names
+from parvis.session import cut
 
 
 def link_accounts(accounts: DataFrame, churches: DataFrame, links: DataFrame, *, shortlist: int = 3, threshold: float = 0.80, margin: float = 0.05, score: Column | None = None) -> DataFrame:
     """(account, church, source, score): every account by the first evidence that holds.
 
     accounts (account, name, url), churches (church, name), links (church, url), names in normal form, urls folded. A church
-    whose pages link to the account wins at 1.0; then names that are equal or contain each other; then, of the three best
-    shared-bigram candidates, the one whose score reaches the threshold and leads by the margin. ``score`` replaces the name
+    whose pages link to the account wins at 1.0; then all names that are equal or contain each other; then, of the three
+    churches with the best name scores of all, the one whose score reaches the threshold and leads by the margin. ``score`` replaces the name
     score by a model's, over columns x and y.
     """
     direct = accounts.join(links, "url").select("account", "church", F.lit("page link").alias("source"), F.lit(1.0).alias("score")).distinct()
+    direct = cut(direct)
     rest = accounts.join(direct.select("account").distinct(), "account", "left_anti")
-    grams = gram_candidates(rest.select(F.col("account").alias("key"), F.col("name").alias("t")), churches.select(F.col("church").alias("key"), F.col("name").alias("t")), key="key", text="t")
-    named = grams.join(rest.select(F.col("account").alias("a"), F.col("name").alias("x")), "a").join(churches.select(F.col("church").alias("b"), F.col("name").alias("y")), "b")
-    holds = named.where((F.length("x") > 1) & (F.length("y") > 1) & (F.contains("x", "y") | F.contains("y", "x")))
+    named, known = rest.select(F.col("account").alias("a"), F.col("name").alias("x")), churches.select(F.col("church").alias("b"), F.col("name").alias("y"))
+    holds = named.join(containing_names(named.select("x"), known.select("y")), "x").join(known, "y")
     containing = holds.select(F.col("a").alias("account"), F.col("b").alias("church"), F.lit("name").alias("source"), F.lit(1.0).alias("score"))
+    containing = cut(containing)
     open_ = named.join(containing.select(F.col("account").alias("a")).distinct(), "a", "left_anti")
-    scored = open_.withColumn("name_score", similarity.fuzzy(F.col("x"), F.col("y"))).where("name_score >= 0.25")
+    least = 0.25 if score is not None else max(0.25, threshold)  # without a model lower scores can't be accepted
+    scored = open_.join(similar_names(open_.select("x"), known.select("y"), least), "x").join(known, "y")
     few = top_per_group(scored, ["a"], [F.col("name_score").desc(), F.col("b")], shortlist).drop("rank").withColumn("score", score if score is not None else F.col("name_score")).where(F.col("score") >= threshold)
     won = winner_margin(few, ["a"], "score", ["b"], margin).select(F.col("a").alias("account"), F.col("b").alias("church"), F.lit("score").alias("source"), "score")
     return direct.unionByName(containing).unionByName(won)

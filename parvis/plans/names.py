@@ -128,8 +128,8 @@ def _norm(c):
 @query
 def account_links(spark, d):
     """Accounts linked to churches by page links, names, or close names."""
-    a = table(spark, d, "social_accounts").select(F.col("account_row_id").alias("account"), _norm(F.col("accountName")).alias("name"), U.link_fold(F.col("url")).alias("url")).where("length(name) > 1")
-    c = table(spark, d, "churches").groupBy("id").agg(F.min("church_row_id").alias("church"), F.min_by("name", "church_row_id").alias("n")).select("church", "id", _norm(F.col("n")).alias("name")).where("length(name) > 1")
+    a = table(spark, d, "social_accounts").select(F.col("account_row_id").alias("account"), _norm(F.col("accountName")).alias("name"), U.link_fold(F.col("url")).alias("url")).where("name != ''")
+    c = table(spark, d, "churches").groupBy("id").agg(F.min("church_row_id").alias("church"), F.min_by("name", "church_row_id").alias("n")).select("church", "id", _norm(F.col("n")).alias("name")).where("name != ''")
     links = table(spark, d, "church_pages").select(F.col("churchId").alias("id"), F.explode("outgoingLinks").alias("l")).join(c.select("id", "church"), "id").select("church", U.link_fold(F.col("l")).alias("url"))
     return social.link_accounts(a, c.drop("id"), links).select("account", "church", "source", F.round("score", 4).alias("score"))
 

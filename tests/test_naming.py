@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from parvis.functions import address as A, naming as N
-from parvis.operators import official, social
+from parvis.functions import address as A, naming as N, similarity
+from parvis.operators import official, resolve, social
 
 
 def one(spark, column, a):
@@ -79,6 +81,29 @@ def test_accounts_follow_the_cascade(spark):
     assert {(r["account"], r["kind"]) for r in social.merge_estimates(accounts, churches, least=0.7).collect()} == {(1, "exact"), (2, "estimated"), (3, "estimated")}
 
 
+def test_accounts_meet_every_church_by_name(spark):
+    """A short church name within a long account name, and a name carried by more churches than any shortlist."""
+    accounts = spark.createDataFrame([(1, "鬱鱒髙﨑菊本郷北命の里教会", "u1"), (2, "愛の園教会", "u2"), (3, "の丘光", "u3")], "account bigint, name string, url string")
+    crowd = [(100 + i, f"菊本郷北{chr(0x5000 + i)}の里教会") for i in range(90)] + [(300 + i, "愛の園教会") for i in range(90)]
+    churches = spark.createDataFrame([*crowd, (900, "命の里"), (901, "光の丘")], "church bigint, name string")
+    links = spark.createDataFrame([], "church bigint, url string")
+    got = {(r["account"], r["church"], r["source"]) for r in social.link_accounts(accounts, churches, links).collect()}
+    assert got == {(1, 900, "name"), *((2, 300 + i, "name") for i in range(90)), (3, 901, "score")}
+
+
+@pytest.mark.parametrize("least", [0.25, 0.5, 0.74, 0.8, 1.0])
+def test_name_joins_against_brute_force(spark, least):
+    r = random.Random(5)
+    words = lambda n: sorted({"".join(r.choice("あいうabc") for _ in range(r.choice([1, 2, 3, 3, 4, 5, 6, 8, 11, 15]))) for _ in range(n)})
+    xs, ys = words(120), words(120)
+    ys += [x[:i] + r.choice("あいうabc") + x[i + 1 :] for x in xs if len(x) > 3 for i in (r.randrange(len(x)),)]
+    left, right = spark.createDataFrame([(x,) for x in xs], "x string"), spark.createDataFrame([(y,) for y in ys], "y string")
+    every = left.distinct().crossJoin(right.distinct()).withColumn("s", similarity.fuzzy(F.col("x"), F.col("y")))
+    want = {(q["x"], q["y"]) for q in every.where(F.col("s") >= least).collect()}
+    assert {(q["x"], q["y"]) for q in resolve.similar_names(left, right, least).collect()} == want
+    assert {tuple(q) for q in resolve.containing_names(left, right).collect()} == {(x, y) for x in xs for y in set(ys) if x in y or y in x}
+
+
 def test_reconciliation_keeps_human_labels(spark):
     churches = spark.createDataFrame([(1, "A", None), (2, "A", "A"), (3, "B", None), (4, None, None), (5, "X", None)], "church bigint, denomination string, human string")
     matches = spark.createDataFrame([(1, 11, "A", 0.9), (2, 11, "A", 0.95), (4, 12, "B", 0.8), (3, 12, "B", 0.7)], "church bigint, entry bigint, denomination string, score double")
