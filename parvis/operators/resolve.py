@@ -103,6 +103,26 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 
 
+def identities(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, confidence): pairs of (key, name, address, postal) that share one of name_blocks and that the ladder of evidence holds for one.
+
+    Of the pairs of a block only those are made that a rung can hold for: with names 0.82 alike, of one postal code, or of one
+    address (only equal addresses reach 0.96). Grams that nearly all names share, such as the word for church, so cost nothing.
+    """
+    blocks = F.array_compact(name_blocks("name", "postal", "address"))
+    side = lambda rows, k: rows.withColumn("blocks", blocks).select(F.col("key").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("name", "address", "postal", "blocks")])
+    a, b = side(left, "a"), side(right, "b")
+    alike = similar_names(a.select(F.col("a_name").alias("x")), b.select(F.col("b_name").alias("y")), 0.82).select("x", "y")
+    met = a.join(b, F.col("a_postal") == F.col("b_postal")).select("a", "b")
+    met = met.union(a.join(alike, F.col("a_name") == F.col("x")).join(b, F.col("b_name") == F.col("y")).where(F.arrays_overlap("a_blocks", "b_blocks")).select("a", "b"))
+    met = met.union(a.join(b, (F.col("a_address") == F.col("b_address")) & (F.col("a_address") != "")).where(F.arrays_overlap("a_blocks", "b_blocks")).select("a", "b")).distinct()
+    pairs = met.join(a, "a").join(b, "b").where("a_postal is null or b_postal is null or a_postal = b_postal")
+    c = F.col
+    na, nb, aa, ab = c("a_name"), c("b_name"), c("a_address"), c("b_address")
+    score = similarity.identity_confidence(same_site=F.lit(False), postal_a=c("a_postal"), postal_b=c("b_postal"), same_name=(na == nb) & (na != ""), blank_address=(aa == "") | (ab == ""), name=similarity.fuzzy(na, nb), stem=similarity.stem_score(na, nb), address=similarity.address_score(aa, ab))
+    return pairs.select("a", "b", score.alias("confidence")).where("confidence is not null")
+
+
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment of (a, b, score): in each round the pairs that are best for both sides are taken.
 

@@ -125,13 +125,11 @@ SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s
 
 @query
 def identity_pairs(spark, d):
-    """Directory rows and churches of one postal block, with the confidence that they are one."""
+    """Directory rows and churches of one block (name, name grams, postal code, end of the address), with the confidence that they are one."""
     digits = lambda c: F.regexp_replace(F.regexp_extract(F.translate(c, "０１２３４５６７８９－", "0123456789-"), r"(\d{3}-?\d{4})", 1), "-", "")
-    j = table(spark, d, "jma_churches").select(F.col("jma_row_id").alias("a"), X.entity_name(F.col("教会名")).alias("na"), X.entity_address(F.coalesce("住所", F.lit(""))).alias("aa"), F.nullif(digits(F.coalesce("郵便番号", F.lit(""))), F.lit("")).alias("p"))
-    c = table(spark, d, "churches").select(F.col("church_row_id").alias("b"), X.entity_name(F.col("name")).alias("nb"), X.entity_address(F.coalesce("address", F.lit(""))).alias("ab"), F.nullif(digits(F.coalesce("address", F.lit(""))), F.lit("")).alias("p"))
-    pairs = j.join(c, "p").withColumn("name", similarity.fuzzy(F.col("na"), F.col("nb"))).withColumn("address", similarity.address_score(F.col("aa"), F.col("ab"))).withColumn("stem", similarity.stem_score(F.col("na"), F.col("nb")))
-    score = similarity.identity_confidence(same_site=F.lit(False), postal_a=F.col("p"), postal_b=F.col("p"), same_name=F.col("na") == F.col("nb"), blank_address=(F.col("aa") == "") | (F.col("ab") == ""), name=F.col("name"), stem=F.col("stem"), address=F.col("address"))
-    return pairs.select(F.col("a").alias("jma_row_id"), F.col("b").alias("church_row_id"), F.round(score, 4).alias("confidence")).where("confidence is not null")
+    j = table(spark, d, "jma_churches").select(F.col("jma_row_id").alias("key"), X.entity_name(F.col("教会名")).alias("name"), X.entity_address(F.coalesce("住所", F.lit(""))).alias("address"), F.nullif(digits(F.coalesce("郵便番号", F.lit(""))), F.lit("")).alias("postal"))
+    c = table(spark, d, "churches").select(F.col("church_row_id").alias("key"), X.entity_name(F.col("name")).alias("name"), X.entity_address(F.coalesce("address", F.lit(""))).alias("address"), F.nullif(digits(F.coalesce("address", F.lit(""))), F.lit("")).alias("postal"))
+    return resolve.identities(j, c).select(F.col("a").alias("jma_row_id"), F.col("b").alias("church_row_id"), F.round("confidence", 4).alias("confidence"))
 
 
 @query

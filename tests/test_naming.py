@@ -104,6 +104,19 @@ def test_name_joins_against_brute_force(spark, least):
     assert {tuple(q) for q in resolve.containing_names(left, right).collect()} == {(x, y) for x in xs for y in set(ys) if x in y or y in x}
 
 
+def test_identities_of_all_blocks(spark):
+    """Rows without a postal code meet by name and by address; two known codes that differ rule a pair out."""
+    at = "霧崎県高沢市幸町5-34-70"
+    schema = "key bigint, name string, address string, postal string"
+    left = [(1, "光の丘教会", "", None), (2, "星の谷教会", at, None), (3, "愛の園教会", at, "1000001"), (4, "虹の川教会", "", "1000002"), (5, "", "", None), (6, None, "", None)]
+    right = [(10, "光の丘教会", at + "8", "1000009"), (20, "星の谷の教会", at, "1000003"), (30, "愛の園教会", at, "1000004"), (40, "虹の川教会", "", "1000002"), (50, "", "", None), (60, "xyz", at, None)]
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = {(r["a"], r["b"]): r["confidence"] for r in resolve.identities(a, b).collect()}
+    pairs = resolve.blocked_pairs(a, b, key="key", blocks=lambda: resolve.name_blocks("name", "postal", "address"))
+    assert set(got) == {(1, 10), (2, 20), (4, 40)} and set(got) <= {tuple(r) for r in pairs.collect()}
+    assert got[1, 10] == got[4, 40] == 0.90 and got[2, 20] > 0.8
+
+
 def test_reconciliation_keeps_human_labels(spark):
     churches = spark.createDataFrame([(1, "A", None), (2, "A", "A"), (3, "B", None), (4, None, None), (5, "X", None)], "church bigint, denomination string, human string")
     matches = spark.createDataFrame([(1, 11, "A", 0.9), (2, 11, "A", 0.95), (4, 12, "B", 0.8), (3, 12, "B", 0.7)], "church bigint, entry bigint, denomination string, score double")
