@@ -1,22 +1,24 @@
 """Linking the spellings and records of one congregation across tables without a common id.
 
-Rows are read into name parts (names.py) and address parts (address.py, plots.py). Rows that a table itself ties together
-(same map id, same record id) form an entity whose parts are the majority of its rows. Entities of two tables meet by
-equi-joins on exploded forms; nothing is compared within a group pair by pair beyond what shares a form.
+Names are rewritten to every canonical form (names.py), addresses read into parts (address.py, plots.py). Rows that a table
+itself ties together (same map id, same record id, or equal in all that is read) form an entity. Entities of two tables meet
+by equi-joins on exploded forms, and a shared form counts by its rarity: the fewer places an area has for it, the surer it
+is. The address vetoes and breaks ties. A form that many places share is joined together with the place, town or plot, so
+that a hot form yields no more candidates than can pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parvis.llm import address as A, names as N, plots
 
-NAME_FIELDS = ("core", "mark", "place", "other_mark", "other_place", "latin_place", "kind")
 MOST_DENOMINATIONS = 10_000
+#: Forms of an area that stand for more places than this are joined together with place, town and plot only.
+SPREAD = 4
 
 
 def denomination_words(denominations: DataFrame) -> tuple[str, ...]:
@@ -24,48 +26,45 @@ def denomination_words(denominations: DataFrame) -> tuple[str, ...]:
     rows = denominations.select("name", "churchNameComponents").limit(MOST_DENOMINATIONS + 1).collect()
     if len(rows) > MOST_DENOMINATIONS:
         raise ValueError(f"more than {MOST_DENOMINATIONS} denominations")
-    return tuple(sorted({x for r in rows for x in [r[0], *(r[1] or ())] if x}, key=lambda x: (-len(x), x)))
+    return tuple(sorted({A.fold_name(x) for r in rows for x in [r[0], *(r[1] or ())] if x}, key=lambda x: (-len(x), x)))
 
 
-def sightings(rows: DataFrame, places: tuple, denominations: tuple[str, ...], *, key: str, name: str, address: str, postcode: str | None = None, entity: str | None = None, location: str | None = None, website: str | None = None) -> DataFrame:
-    """One row per input row: key, entity, name parts, address parts, latitude, longitude, host.
+#: Hosts that many unrelated records share: maps and social networks.
+SHARED_HOSTS = r"(^|\.)(google|goo|facebook|fb|instagram|twitter|x|youtube|youtu|line|tiktok|threads)\.[a-z.]+$"
+
 
-    The entity is the given column where it isn't null, else the row itself. Null and unreadable values give null parts.
+def sightings(rows: DataFrame, places: tuple, *, key: str, name: str, address: str, second: str | None = None, postcode: str | None = None, entity: str | None = None, location: str | None = None, website: str | None = None) -> DataFrame:
+    """One row per input row: key, entity, nid with name and second name, address parts, latitude, longitude, host.
+
+    The entity is the given column where it isn't blank, else all that is read of the row, so that exact copies are one entity.
+    Null and unreadable values give null parts.
     """
-    sent = rows.sparkSession.sparkContext.broadcast((places, denominations))
+    sent = rows.sparkSession.sparkContext.broadcast(places)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        areas, words = sent.value
-        known = A.gazetteer(areas)
+        known = A.gazetteer(sent.value)
         for batch in batches:
-            named = [N.read_name(x, words) for x in batch.column(1).to_pylist()]
-            read = [A.parse(t, z, known) for t, z in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            parts = [[getattr(n, f) for n in named] for f in NAME_FIELDS]
+            read = [A.parse(t, z, known) for t, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             where = [[r[i] for r in read] for i in range(7)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.string()) for c in parts), *(pa.array(c, pa.string()) for c in where[:6]), pa.array(where[6], pa.bool_()), *(batch.column(i) for i in range(4, 8))],
-                ["key", *NAME_FIELDS, *plots.FIELDS, "latin", "entity", "latitude", "longitude", "host"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(3, 10)), *(pa.array(c, pa.string()) for c in where[:6]), pa.array(where[6], pa.bool_())], ["key", "nid", "name", "second", "entity", "latitude", "longitude", "host", *plots.FIELDS, "latin"])
 
     kind = rows.schema[key].dataType.simpleString()
     text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     number = lambda f: F.col(f"{location}.{f}").cast("double") if location else F.lit(None).cast("double")
-    own = F.concat(F.lit("row:"), F.col(key).cast("string"))
     host = F.regexp_extract(F.lower(F.trim(text(website))), r"^(?:https?://)?(?:www\.)?([a-z0-9\-]+(?:\.[a-z0-9\-]+)+)", 1)
     host = F.when((host == "") | host.rlike(SHARED_HOSTS), None).otherwise(host)
     lat, lon = number("latitude"), number("longitude")
     inside = lat.between(20, 46) & lon.between(122, 154)
-    picked = rows.select(F.col(key).alias("key"), text(name).alias("name"), text(address).alias("address"), text(postcode).alias("zip"), F.coalesce(F.nullif(F.trim(text(entity)), F.lit("")), own).alias("entity"), F.when(inside, lat).alias("latitude"), F.when(inside, lon).alias("longitude"), host.alias("host"))
-    schema = f"key {kind}, " + ", ".join(f"{f} string" for f in (*NAME_FIELDS, *plots.FIELDS)) + ", latin boolean, entity string, latitude double, longitude double, host string"
+    read = rows.select(F.col(key).alias("key"), text(address).alias("address"), text(postcode).alias("zip"), text(name).alias("name"), text(second).alias("second"), F.trim(text(entity)).alias("own"), F.when(inside, lat).alias("latitude"), F.when(inside, lon).alias("longitude"), host.alias("host"))
+    content = F.concat(F.lit("row:"), F.sha2(F.to_json(F.struct("address", "zip", "name", "latitude", "longitude", "host")), 256))
+    picked = read.select("key", "address", "zip", F.when(F.trim("name") != "", F.xxhash64("name", F.coalesce("second", F.lit("")))).alias("nid"), "name", "second", F.coalesce(F.nullif("own", F.lit("")), content).alias("entity"), "latitude", "longitude", "host")
+    schema = f"key {kind}, nid bigint, name string, second string, entity string, latitude double, longitude double, host string, " + ", ".join(f"{f} string" for f in plots.FIELDS) + ", latin boolean"
     return picked.mapInArrow(scan, schema)
 
 
-#: Hosts that many unrelated records share: maps and social networks.
-SHARED_HOSTS = r"(^|\.)(google|goo|facebook|fb|instagram|twitter|x|youtube|youtu|line|tiktok|threads)\.[a-z.]+$"
-
-
-def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with municipality, town and plot completed from what the corpus says about postcodes."""
+def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides with municipality, town and plot completed from what the corpus says about postcodes, and the table
+    (what, word, value) of places: towns, and native towns of romanised ones."""
     fields = [*plots.FIELDS, "latin"]
     forms = plots.complete(left.select(*fields).unionByName(right.select(*fields)))
     identity = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\0")) for f in plots.FIELDS], "latin")
@@ -76,85 +75,87 @@ def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = known.groupBy(F.substring("postcode", 1, 3).alias("head"), "municipality2").agg(F.count("*").alias("n")).groupBy("head").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("head_municipality"), (F.max("n") / F.sum("n")).alias("share")).where("share >= 0.9").drop("share")
 
     def side(rows: DataFrame) -> DataFrame:
-        full = rows.withColumn("form", identity).join(areas, "form", "left").join(zips, "postcode", "left").join(heads, F.substring("postcode", 1, 3) == F.col("head"), "left")
+        full = rows.withColumn("form", identity).withColumn("parsed_town", F.col("town")).join(areas, "form", "left").join(zips, "postcode", "left").join(heads, F.substring("postcode", 1, 3) == F.col("head"), "left")
         area = F.coalesce("municipality2", "municipality", "zip_municipality", "head_municipality")
         plot = F.when(F.col("municipality2").isNotNull() & F.col("town2").isNotNull() & F.col("numbers").isNotNull(), F.xxhash64("municipality2", "town2", "numbers"))
-        return full.select("key", "entity", *NAME_FIELDS, area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "numbers", "latitude", "longitude", "host")
+        return full.select("key", "entity", "nid", "name", "second", area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "numbers", "latitude", "longitude", "host", F.when(F.col("latin"), F.col("parsed_town")).alias("latin_town"))
 
     return side(left), side(right)
 
 
-def entities(rows: DataFrame) -> DataFrame:
-    """One row per entity: the majority reading of its names, its area, town, plot, host and median location.
+def place_words(left: DataFrame, right: DataFrame, places: tuple) -> DataFrame:
+    """(what, word, value): "p" towns and areas that names may begin with, "q" native places of romanised ones.
 
-    The values of all fields are counted in one pass over long rows, ties go to the greater value; three combinable
-    aggregations whatever the number of fields.
+    Towns come from the addresses of all rows, romanised ones with the native town mostly read for them; areas come from the
+    gazetteer with and without their suffix.
+    """
+    spark = left.sparkSession
+    fixed = set()
+    for _, name, aliases, kind, _, english in places:
+        if not name:
+            continue
+        plain = N.hiragana(A.fold_name(name))
+        short = plain[:-1] if plain[-1] in "都道府県市区町村" and len(plain) > 2 else plain
+        for w in {plain, short}:
+            fixed.add(("p", w, short))
+        if kind != "WARD":
+            for x in (english, *(a for a in aliases or () if a and a.isascii())):
+                if x:
+                    fixed.add(("q", N.romaji(A._latin_area(x)).replace("-", ""), short))
+    gazetteer = spark.createDataFrame(sorted(fixed), "what string, word string, value string")
+    towns = left.select("town", "latin_town").unionByName(right.select("town", "latin_town")).where("town is not null").distinct()
+    own = _native(F.col("town"))
+    native = towns.where(~F.col("town").rlike(r"^[\x00-\x7f]+$")).select(F.lit("p").alias("what"), own.alias("word"), own.alias("value"))
+    spelled = F.array_distinct(F.array(F.col("latin_town"), F.regexp_replace("latin_town", "-(cho|machi|dori|mura|shi)$", "")))
+    said = towns.where(F.col("latin_town").isNotNull() & ~F.col("town").rlike(r"^[\x00-\x7f]+$")).select(F.explode(spelled).alias("w"), own.alias("value"))
+    said = said.select(F.lit("q").alias("what"), F.regexp_replace(N.romaji_column(F.col("w")), "[- ]", "").alias("word"), "value")
+    return native.unionByName(said).unionByName(gazetteer).groupBy("what", "word").agg(F.max("value").alias("value"))
+
+
+def _native(text: Column) -> Column:
+    """Katakana to hiragana, as names are folded; the small ke between place names stays."""
+    kata = "".join(chr(c) for c in range(0x30A1, 0x30F5))
+    return F.translate(text, kata, "".join(chr(ord(c) - 0x60) for c in kata))
+
+
+def lexicon(parsed: DataFrame, left: DataFrame, right: DataFrame, places: tuple) -> DataFrame:
+    """Places and learned readings; a reading of a place also makes the romanised word that place."""
+    known = place_words(left, right, places)
+    learned = N.learn_readings(parsed)
+    own = learned.join(known.where("what = 'p'").select("word", "value"), "word")
+    romanised = own.select(F.lit("q").alias("what"), F.col("reading").alias("word"), "value").where("length(value) > 1")
+    told = known.unionByName(romanised.join(known.where("what = 'q'").select("word"), "word", "left_anti").groupBy("what", "word").agg(F.max("value").alias("value")))
+    words = learned.join(known.where("what = 'p' and length(word) > 1").select("word"), "word", "left_anti").select(F.lit("w").alias("what"), F.col("reading").alias("word"), F.lit("").alias("value"))
+    return told.unionByName(learned.select(F.lit("r").alias("what"), "word", F.col("reading").alias("value"))).unionByName(words)
+
+
+def name_forms(rows: DataFrame, rewritten: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, place, key, raw, rule) of all rewritings of all names of an entity, and per entity its main key and kind.
+
+    A form without a place is left out where the entity has the same form with one.
     """
-    code = lambda *c: F.concat_ws(_SEP, *[F.coalesce(F.col(x).cast("string"), F.lit(_NONE)) for x in c])
-    part = lambda c, i: F.nullif(F.split_part(c, F.lit(_SEP), F.lit(i)), F.lit(_NONE))
-    core = F.col("core").isNotNull()
-    fields = {"r": F.when(core, code("core", "mark")), "s": F.when(core & F.col("place").isNotNull(), code("place", "mark", "other_place", "other_mark"))}
-    fields |= {f: F.col(f).cast("string") for f in ("latin_place", "kind", "area", "town", "plot", "numbers", "host")}
+    seen = rows.where("nid is not null").groupBy("entity", "nid").agg(F.count("*").alias("n"))
+    named = seen.join(rewritten, "nid")
+    each = named.groupBy("entity", "key", "raw", "rule", "place").agg(F.sum("n").alias("n"))
+    placed = each.where("place is not null").select("entity", "key").distinct().withColumn("placed", F.lit(True))
+    forms = each.join(placed, ["entity", "key"], "left").where("place is not null or placed is null").drop("placed")
+    main = named.where("first").groupBy("entity", "key").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max_by("key", F.struct("n", "key")).alias("main"))
+    kind = seen.join(kinds, "nid").where("kind is not null").groupBy("entity", "kind").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    return forms, main.join(kind, "entity", "full_outer")
+
+
+def entities(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per entity: main key and kind of its names, the majority of its area, town, plot, numbers and host, and its median
+    location. Ties go to the greater value. The values of all fields are counted in one pass over long rows."""
+    fields = {f: F.col(f).cast("string") for f in ("area", "town", "plot", "numbers", "host")}
     long = rows.select("entity", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), v.alias("v")) for i, v in enumerate(fields.values())])).alias("x")).select("entity", "x.field", "x.v").where("v is not null")
-    seen = long.groupBy("entity", "field", "v").agg(F.count("*").alias("n"))
-    best = seen.groupBy("entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    best = long.groupBy("entity", "field", "v").agg(F.count("*").alias("n")).groupBy("entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     wide = best.groupBy("entity").agg(*[F.max(F.when(F.col("field") == i, F.col("v"))).alias(k) for i, k in enumerate(fields)])
-    base = rows.groupBy("entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"), F.count("*").alias("rows"))
-    full = base.join(wide, "entity", "left")
-    return full.select(
-        "entity", part(F.col("r"), 1).alias("core"), part(F.col("r"), 2).alias("said_mark"), F.coalesce(part(F.col("s"), 2), part(F.col("r"), 2)).alias("mark"), part(F.col("s"), 1).alias("place"), part(F.col("s"), 3).alias("other_place"), part(F.col("s"), 4).alias("other_mark"),
-        "latin_place", "kind", "area", "town", F.col("plot").cast("bigint").alias("plot"), "numbers", "host", "latitude", "longitude", "rows",
-    )
-
-
-_SEP, _NONE = "\x1f", "\x00"
+    base = rows.groupBy("entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"))
+    return base.join(wide, "entity", "left").join(names, "entity", "left").withColumn("plot", F.col("plot").cast("bigint"))
 
 
-def with_native_places(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Romanised places rendered by the native place that entities with both mostly give; one row per romanised place."""
-    both = left.select("latin_place", "place", "other_place").unionByName(right.select("latin_place", "place", "other_place"))
-    plain = F.regexp_replace("latin_place", r"-(shi|machi|mura)$", "")
-    pairs = both.where("latin_place is not null and place is not null").select(plain.alias("latin_place"), F.explode(F.array_compact(F.array("place", "other_place"))).alias("p"))
-    pairs = pairs.where(F.col("latin_place").rlike("(higashi|nishi|minami|kita)$") == F.col("p").rlike("[東西南北]$")).groupBy("latin_place", "p").agg(F.count("*").alias("n"))
-    said = pairs.groupBy("latin_place").agg(F.max_by("p", F.struct("n", F.length("p"), "p")).alias("native"))
-
-    def side(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("latin_key", plain).join(said.withColumnRenamed("latin_place", "latin_key"), "latin_key", "left").withColumn("place", F.coalesce("place", "native")).drop("latin_key", "native")
-
-    return side(left), side(right)
-
-
-def forms(rows: DataFrame) -> DataFrame:
-    """(entity, kind of form, hash): every rewriting of the entity's name that others may share, within its area."""
-    c = F.col
-    blank = lambda x: F.coalesce(x, F.lit(""))
-    readings = F.array(
-        F.struct(c("mark").alias("m"), c("place").alias("p")),
-        F.struct(c("other_mark").alias("m"), c("other_place").alias("p")),
-        F.struct(c("said_mark").alias("m"), c("place").alias("p")),
-    )
-    each = rows.where("core is not null").withColumn("x", F.explode(F.array_distinct(readings))).where("x.m is not null")
-    full = F.when(c("x.p").isNotNull() & c("area").isNotNull(), F.xxhash64(F.lit("full"), "area", "core", "x.m", "x.p"))
-    bare = F.when(c("area").isNotNull(), F.xxhash64(F.lit("bare"), "area", "core", "x.m"))
-    wide = F.when(c("x.p").isNotNull(), F.xxhash64(F.lit("wide"), "core", "x.m", "x.p"))
-    first, second = F.split_part("core", F.lit("."), F.lit(1)), F.split_part("core", F.lit("."), F.lit(2))
-    part1 = F.when(c("plot").isNotNull(), F.xxhash64(F.lit("part"), "plot", first, "x.m"))
-    part2 = F.when(c("plot").isNotNull() & (second != ""), F.xxhash64(F.lit("part"), "plot", second, "x.m", F.lit(2)))
-    part3 = F.when(c("plot").isNotNull(), F.xxhash64(F.lit("part"), "plot", "core"))
-    parts = [F.struct(F.lit("part").alias("how"), p.alias("h")) for p in (part1, part2, part3)]
-    out = each.select("entity", F.explode(F.array(*parts, F.struct(F.lit("full").alias("how"), full.alias("h")), F.struct(F.lit("bare").alias("how"), bare.alias("h")), F.struct(F.lit("wide").alias("how"), wide.alias("h")))).alias("f"), F.struct("place", "other_place").alias("spot"), "area", "town")
-    return out.select("entity", "f.how", "f.h", blank("spot.place").alias("place"), blank("area").alias("area"), "town").where("h is not null").distinct()
-
-
-def rarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(hash, places, areas, towns): between how many different places and areas the entities of a form are spread, and in how
-    many towns the left ones stand; few is telling."""
-    bare, wide = F.col("how") == "bare", F.col("how") == "wide"
-    named = F.nullif("place", F.lit(""))
-    both = left.withColumn("own", F.lit(True)).unionByName(right.withColumn("own", F.lit(False)))
-    return both.groupBy("h").agg(
-        F.size(F.collect_set(F.when(bare, named))).alias("places"), F.size(F.collect_set(F.when(wide, F.nullif("area", F.lit(""))))).alias("areas"), F.size(F.collect_set(F.when(F.col("how").isin("bare", "full") & F.col("own"), F.col("town")))).alias("towns")
-    )
+PROFILE = ("main", "kind", "area", "town", "plot", "numbers", "host", "latitude", "longitude")
 
 
 def same_numbers(a: str, b: str) -> Column:
@@ -163,41 +164,91 @@ def same_numbers(a: str, b: str) -> Column:
     return F.coalesce((F.col(f"{a}_area") == F.col(f"{b}_area")) & (n == F.col(f"{b}_numbers")) & n.contains("-"), F.lit(False))
 
 
-def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left entity, right entity) that name the same congregation, with a score by the rarity of the rewriting they share.
+def _less_one(text: Column) -> Column:
+    """The text and the text less one character each."""
+    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))))
+
 
-    A form with place and area is enough, unless it stands in several towns and both towns are known and differ. A form without place is, where the area has one place and one town only for it, or the
-    plots or towns agree. A form without area is, where it occurs in one area only. Contradicting places or kinds rule a pair out.
+def meetings(left: DataFrame, right: DataFrame, left_forms: DataFrame, right_forms: DataFrame) -> DataFrame:
+    """(a, b, how, spread): entities that share a form. how: 4 key and place, 3 key, 2 key of different places, 1 a key with
+    one slip, 0 part of a key on one plot. spread: how many places of the area (areas, where one side has none) have the key.
+    """
+    at = ["entity", "area", "town", "plot"]
+    lf, rf = (f.join(e.select(*at), "entity") for f, e in ((left_forms, left), (right_forms, right)))
+    both = lf.withColumn("own", F.lit(True)).unionByName(rf.withColumn("own", F.lit(False)))
+    h = F.xxhash64("area", "rule", "key")
+    spots = both.where("area is not null").select(h.alias("h"), "place", F.when(F.col("own"), F.col("town")).alias("town"))
+    by = lambda c: spots.where(f"{c} is not null").select("h", c).distinct().groupBy("h").agg(F.count("*").alias("n"))
+    spread = by("place").unionByName(by("town")).groupBy("h").agg(F.max("n").alias("spread"))
+    la, ra = (f.where("area is not null").select(h.alias("h"), "entity", "place", "town", "plot", "rule", "raw").join(spread, "h", "left").withColumn("spread", F.coalesce("spread", F.lit(1))) for f in (lf, rf))
+
+    # a rare form meets as it is; one of many places together with what is to confirm it
+    def keyed(f: DataFrame) -> DataFrame:
+        more = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64("h", F.lit(c), c)) for c in ("place", "town", "plot")]))
+        return f.withColumn("k", F.explode(F.when(F.col("spread") <= SPREAD, F.array("h")).otherwise(more)))
+
+    agree = F.when(F.col("pa") == F.col("pb"), 4).when(F.col("pa").isNull() | F.col("pb").isNull(), 3).otherwise(2)
+    initial = (F.col("rule") != "initial") | F.col("ra").contains("i") & (F.length("ra") == 1) | F.col("rb").contains("i") & (F.length("rb") == 1)
+    exact = keyed(la).select("k", "rule", "spread", F.col("entity").alias("a"), F.col("place").alias("pa"), F.col("raw").alias("ra")).join(keyed(ra).select("k", F.col("entity").alias("b"), F.col("place").alias("pb"), F.col("raw").alias("rb")), "k").where(initial).select("a", "b", agree.alias("how"), "spread")
+
+    # sides without an area: the form, or form and place, must belong to one area only
+    w = F.xxhash64("rule", "key", "place")
+    one = both.where("area is not null and place is not null and rule = 'own'").select(w.alias("w"), "area").distinct().groupBy("w").agg(F.count("*").alias("n")).where("n = 1").select("w")
+    lw, rw = (f.where("place is not null and rule = 'own'").select(w.alias("w"), "entity", F.col("area").isNull().alias("no_area")) for f in (lf, rf))
+    wide = lw.select("w", F.col("entity").alias("a"), F.col("no_area").alias("na")).join(rw.select("w", F.col("entity").alias("b"), F.col("no_area").alias("nb")), "w").where("na or nb").join(one, "w", "left_semi").select("a", "b", F.lit(4).alias("how"), F.lit(1).cast("bigint").alias("spread"))
+
+    # one slip: keys and raw forms less a character, within the area; distinct words only, then back to the entities
+    def words(f: DataFrame) -> DataFrame:
+        own = f.where("area is not null and rule = 'own'")
+        return own.select("entity", "area", F.explode(F.array_distinct(F.array(F.struct(F.lit("k").alias("s"), F.col("key").alias("word")), F.struct(F.lit("r").alias("s"), F.col("raw").alias("word"))))).alias("x"), "place", "key").select("entity", "area", "x.s", "x.word", "place", "key").where("(s = 'k' and length(word) between 7 and 60) or (s = 'r' and length(word) between 3 and 60)")
+
+    wl, wr = words(lf), words(rf)
+    index = lambda f, n: f.select("area", "s", "word").distinct().select(F.struct("area", "s", "word").alias(n), F.explode(_less_one(F.col("word"))).alias("less")).select(n, F.xxhash64(f"{n}.area", f"{n}.s", "less").alias("h"))
+    x, y = F.col("x.word"), F.col("y.word")
+    letters = lambda c: F.sort_array(F.split(c, ""))
+    slipped = (F.abs(F.length(x) - F.length(y)) == 1) | ((F.length(x) == F.length(y)) & (letters(x) == letters(y)))
+    near = index(wl, "x").join(index(wr, "y"), "h").where(x != y).where(slipped).select("x", "y").distinct()
+    slip = near.select(F.col("x.area").alias("area"), F.col("x.s").alias("s"), x.alias("wx"), y.alias("wy"))
+    slip = slip.join(wl.select("area", "s", F.col("word").alias("wx"), F.col("entity").alias("a"), F.col("place").alias("pa")), ["area", "s", "wx"]).join(wr.select("area", "s", F.col("word").alias("wy"), F.col("entity").alias("b"), F.col("place").alias("pb")), ["area", "s", "wy"])
+    slip = slip.where("pa is null or pb is null or pa = pb").select("a", "b", F.lit(1).alias("how"), F.lit(1).cast("bigint").alias("spread"))
+
+    # beginnings and ends of keys on one plot
+    ends = F.array_distinct(F.array(F.xxhash64("plot", F.substring("key", 1, 6)), F.xxhash64("plot", F.lit("end"), F.expr("right(key, 6)"))))
+    pl, pr = (f.where("plot is not null and rule = 'own'").select("entity", F.explode(ends).alias("h")).distinct() for f in (lf, rf))
+    part = pl.select("h", F.col("entity").alias("a")).join(pr.select("h", F.col("entity").alias("b")), "h").select("a", "b", F.lit(0).alias("how"), F.lit(1).cast("bigint").alias("spread"))
+    every = exact.unionByName(wide).unionByName(slip).unionByName(part)
+    return every.groupBy("a", "b").agg(F.max("how").alias("how"), F.min(F.when(F.col("how") >= 2, F.col("spread"))).alias("spread"))
+
+
+def with_profiles(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    a = left.select(F.col("entity").alias("a"), *[F.col(x).alias(f"a_{x}") for x in PROFILE])
+    b = right.select(F.col("entity").alias("b"), *[F.col(x).alias(f"b_{x}") for x in PROFILE])
+    return pairs.join(a, "a").join(b, "b")
+
+
+def close_names() -> Column:
+    """Main keys that differ in few letters for their length."""
+    return F.coalesce(F.levenshtein("a_main", "b_main") <= F.greatest(F.length("a_main"), F.length("b_main")) * 0.34, F.lit(False))
+
+
+def same_names(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, score) of entities that meet: the chance that they name the same congregation.
+
+    The rarity of the rewriting gives the odds, one place against the other places of the area that share it; the address
+    multiplies them. Another area without the same plot rules a pair out.
     """
-    lf, rf = forms(left), forms(right)
-    spread = rarity(lf, rf)
-    met = lf.select("h", "how", F.col("entity").alias("a")).join(rf.select("h", F.col("entity").alias("b")), "h").join(spread, "h")
-    met = met.groupBy("a", "b").agg(F.max((F.col("how") != "part").cast("int")).alias("whole"), F.max((F.col("how") == "full").cast("int")).alias("full"), F.max(F.when(F.col("how") == "full", F.col("towns"))).alias("full_towns"), F.min(F.when(F.col("how") == "bare", F.greatest("places", "towns"))).alias("places"), F.min(F.when(F.col("how") == "wide", F.col("areas"))).alias("areas"))
-    cols = ["core", "area", "town", "plot", "numbers", "place", "other_place", "kind", "latitude", "longitude"]
-    pair = met.join(left.select(F.col("entity").alias("a"), *[F.col(x).alias(f"a_{x}") for x in cols]), "a").join(right.select(F.col("entity").alias("b"), *[F.col(x).alias(f"b_{x}") for x in cols]), "b")
+    pair = with_profiles(pairs, left, right)
     c = F.col
     same_plot = F.coalesce(c("a_plot") == c("b_plot"), F.lit(False)) | same_numbers("a", "b")
     same_town = F.coalesce((c("a_town") == c("b_town")) & (c("a_area") == c("b_area")), F.lit(False))
+    towns = c("a_town").isNotNull() & c("b_town").isNotNull()
     other_area = F.coalesce(c("a_area") != c("b_area"), F.lit(False))
-    own_place = F.coalesce((c("a_place") == c("b_place")) | (c("a_place") == c("b_other_place")) | (c("a_other_place") == c("b_place")), F.lit(False))
-    close = F.coalesce((F.length("a_place") > 1) & (F.levenshtein("a_place", "b_place") <= 1) & (F.length("a_place") != F.length("b_place")), F.lit(False))
-    clash = c("a_place").isNotNull() & c("b_place").isNotNull() & ~own_place & ~(close & same_plot)
     other_kind = F.coalesce(c("a_kind") != c("b_kind"), F.lit(False))
-    halves = F.split("a_core", "\\."), F.split("b_core", "\\.")
-    slip = (c("a_core") == c("b_core")) | ((halves[0][0] == halves[1][0]) & ((F.size(halves[0]) == 1) | (F.size(halves[1]) == 1))) | (F.levenshtein("a_core", "b_core") <= 2)
-    score = (
-        F.when(c("whole") == 0, F.when(same_plot & slip & ~clash, 0.7).otherwise(0.2))
-        .when(other_area & ~same_plot, 0.0)
-        .when(same_plot, F.when(clash, 0.75).otherwise(0.97))
-        .when(clash, 0.1)
-        .when(c("full") == 1, F.when((c("full_towns") > 1) & c("a_plot").isNotNull() & c("b_plot").isNotNull() & ~same_town, 0.45).otherwise(0.9))
-        .when(other_kind, 0.2)
-        .when(same_town, 0.8)
-        .when(c("places") <= 1, 0.6)
-        .when(c("areas") <= 1, 0.55)
-        .otherwise(0.3)
-    )
-    return pair.select("a", "b", score.alias("score"))
+    rare = 1 / F.coalesce("spread", F.lit(1))
+    odds = rare / (1.35 - rare)
+    odds = odds * F.when(c("how") == 4, 4.0).when(c("how") == 3, 1.0).when(c("how") == 2, 0.03).when(c("how") == 1, 0.25).otherwise(F.when(close_names(), 0.08).otherwise(0.005))
+    odds = odds * F.when(same_plot, 60.0).when(same_town, 10.0).when(towns, 0.4).otherwise(1.0) * F.when(other_kind, 0.25).otherwise(1.0)
+    return pair.select("a", "b", F.when(other_area & ~same_plot, 0.0).otherwise(odds / (1 + odds)).alias("score"))
 
 
 def to_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -205,3 +256,16 @@ def to_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select(F.col("entity").alias("a"), F.col("key").alias("left_key"))
     b = right.select(F.col("entity").alias("b"), F.col("key").alias("right_key"))
     return a.join(pairs, "a").join(b, "b").select("left_key", "right_key", "score")
+
+
+def meet(left: DataFrame, right: DataFrame, places: tuple, affiliations: tuple[str, ...], cut) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(left rows, right rows, left entities, right entities, meetings) of two tables of sightings. ``cut`` checkpoints."""
+    left, right = map(cut, located(left, right))
+    names = left.select("nid", "name", "second").unionByName(right.select("nid", "name", "second")).where("nid is not null").dropDuplicates(["nid"])
+    parsed = cut(N.parse_names(names, affiliations))
+    rewritten = cut(N.rewrite_names(parsed, lexicon(parsed, left, right, places)))
+    kinds = parsed.select("nid", "kind")
+    (lf, ln), (rf, rn) = name_forms(left, rewritten, kinds), name_forms(right, rewritten, kinds)
+    lf, rf = cut(lf), cut(rf)
+    le, re_ = cut(entities(left, ln)), cut(entities(right, rn))
+    return left, right, le, re_, cut(meetings(le, re_, lf, rf))

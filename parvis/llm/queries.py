@@ -39,17 +39,16 @@ def p3_found(spark, d):
     return plots.same_plots(left, right).select(F.col("left_key").alias("place_row_id"), F.col("right_key").alias("jma_row_id"))
 
 
-def _sightings(spark, d, other):
-    """Cut sightings of place_candidates and of another table, completed."""
+def _sighted(spark, d, other):
+    """Rows of place_candidates and of another table with completed addresses, their entities, and how their names meet."""
     places = plots.gazetteer_rows(table(spark, d, "geonames"))
     words = congregations.denomination_words(table(spark, d, "denominations"))
-    left = congregations.sightings(table(spark, d, "place_candidates"), places, words, key="place_row_id", name="name", address="address", entity="googleCid", location="location", website="websiteUrl")
+    left = congregations.sightings(table(spark, d, "place_candidates"), places, key="place_row_id", name="name", second="latinName", address="address", entity="googleCid", location="location", website="websiteUrl")
     if other == "jma_churches":
-        right = congregations.sightings(table(spark, d, other), places, words, key="jma_row_id", name="教会名", address="住所", postcode="郵便番号")
+        right = congregations.sightings(table(spark, d, other), places, key="jma_row_id", name="教会名", address="住所", postcode="郵便番号")
     else:
-        right = congregations.sightings(table(spark, d, other), places, words, key="church_row_id", name="name", address="address", entity="id", location="location", website="websiteUrl")
-    left, right = congregations.located(cut(left), cut(right))
-    return cut(left), cut(right)
+        right = congregations.sightings(table(spark, d, other), places, key="church_row_id", name="name", second="englishName", address="address", entity="id", location="location", website="websiteUrl")
+    return congregations.meet(cut(left), cut(right), places, words, cut)
 
 
 @query
@@ -66,10 +65,8 @@ def p5_restored(spark, d):
 
 
 def _linked(spark, d):
-    left, right = _sightings(spark, d, "churches")
-    le, re_ = congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right)))
-    pairs = linkage.link(cut(le), cut(re_)).select("a", "b", F.col("confidence").alias("score"))
-    return pairs, left, right
+    left, right, le, re_, met = _sighted(spark, d, "churches")
+    return linkage.link(met, le, re_).select("a", "b", F.col("confidence").alias("score")), left, right
 
 
 @query
@@ -126,9 +123,8 @@ SELECT googleCid, max(value) FILTER (field = 'websiteUrl') AS websiteUrl, max(va
 @query
 def p6_found(spark, d):
     """Rows of the two tables that name the same congregation."""
-    left, right = _sightings(spark, d, "jma_churches")
-    le, re_ = congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right)))
-    pairs = congregations.same_names(cut(le), cut(re_)).where("score >= 0.5")
+    left, right, le, re_, met = _sighted(spark, d, "jma_churches")
+    pairs = congregations.same_names(met, le, re_).where("score >= 0.5")
     return congregations.to_rows(pairs, left, right).select(F.col("left_key").alias("place_row_id"), F.col("right_key").alias("jma_row_id"))
 
 

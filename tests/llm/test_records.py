@@ -45,23 +45,65 @@ def test_same_plots(spark):
 
 D = ("灯火ルーテル教会", "灯ルーテル", "単立")
 
-
-@pytest.mark.parametrize("text,core,mark,place", [
-    ("高沢第一栄光の山ｷﾘｽﾄ教会", "eiko.yama", "daiichi", "高沢"), ("高澤第一えいこうのやまキリスト教會", "eiko.yama", "daiichi", "高沢"), ("Kita Hoshino To Christian Church, Konya", "hoshi.to", "kita", None), ("教会 第一光の鐘", "hikari.kane", "daiichi", None),
-    ("灯火ルーテル教会 朝日之岸教会★", "asahi.kishi", "", None), ("希望ノ舟キリス卜教会（北坂）", "kibo.fune", "", "北坂"), ("Shin Hituji-no-Tani Ch. / 新羊の谷教会", "hitsuji.tani", "shin", None), ("せいりゅうのの丘教会", "seiryu.oka", "", None), ("命教会", "inochi", "", None),
+# Names of real congregations; each must yield forms though no word list knows them.
+REAL = """東京バプテスト教会|日本基督教団 銀座教会|横浜グレースチャペル|本郷台キリスト教会|Tokyo Union Church|St. Alban's Anglican Church|Yodobashi Church|ウェスレアン・ホーリネス淀橋教会|カトリック麹町聖イグナチオ教会|日本基督教団富士見町教会|霊南坂教会|番町教会|信濃町教会
+高円寺教会|Shinjuku Shalom Church|新宿シャローム教会|東京カベナント教会|恵泉キリスト教会|久遠キリスト教会|大和カルバリーチャペル|Yamato Calvary Chapel|浅草教会|神田キリスト教会|聖アンデレ教会|聖オルバン教会|聖マーガレット教会|横浜海岸教会|Yokohama Union Church|神戸栄光教会
+大阪女学院教会|平安教会|京都ノートルダム教会|洛陽教会|札幌北光教会|札幌独立キリスト教会|仙台青葉荘教会|名古屋中央教会|広島流川教会|長崎銀屋町教会|沖縄バプテスト教会|那覇中央教会|函館ハリストス正教会|ニコライ堂|山手カトリック教会|Sacred Heart Cathedral|浦上教会|大浦天主堂
+鹿児島加治屋町教会|高知教会|松山城東教会|金沢元町教会|新潟教会|静岡草深教会|甲府教会|Franciscan Chapel Center""".replace("\n", "|").split("|")
+
+
+def test_every_real_name_has_forms():
+    assert len(REAL) >= 50
+    for name in REAL:
+        native, latin, spots, _ = N.parts(name, D)
+        forms = N.rewritings(native, latin, spots, {})
+        assert forms and all(len(f[1]) > 1 for f in forms), name
+    keys = {x: N.rewritings(*N.parts(x, D)[:3], {})[0][1] for x in REAL}
+    assert len(set(keys.values())) >= len(REAL) - 3  # 神戸栄光 and the like stay apart
+
+
+@pytest.mark.parametrize("a,b", [
+    ("新宿シャローム教会", "新宿しゃろーむ　キリスト教會"), ("Tokyo Union Church", "TOKYO-UNION CH."), ("St. Alban's Church", "Saint Albans Church"), ("日本基督教団 銀座教会", "宗教法人 銀座キリスト教会★"), ("ぶどうのき教会", "Budou-no-Ki Church"), ("しょうなんみなと教会", "Shonan Minato Church"),
+    ("横浜グレースチャペル", "横浜グレース千ャペル"), ("第1のぞみ教会", "第一ノゾミ教会 礼拝堂"), ("灯火ルーテル教会 北原教会", "灯火ルーテル会 北原教会"), ("Hosino To Church", "ほしのとう教会"), ("グレ一スチャペル", "グレースチャペル"),
 ])
-def test_names_are_read(text, core, mark, place):
-    n = N.read_name(text, D)
-    assert (n.core, n.mark, n.place) == (core, mark, place)
+def test_spellings_share_a_form(a, b):
+    one, other = ({f[1] for f in N.rewritings(*N.parts(x, D)[:3], {})} for x in (a, b))
+    assert one & other
+
+
+def test_rewriting_rules():
+    known = {"p": {"高沢": "高沢"}, "q": {"takasawa": "高沢"}, "r": {"栄光": "eiko", "第一": "daiiti", "山": "yama"}, "w": {"eiko": "", "yama": "", "daiiti": ""}}
+    native = N.rewritings(*N.parts("高沢第一栄光の山ｷﾘｽﾄ教会", D)[:3], known)
+    assert native[0][:2] == ("高沢", "daiitieikonoyama") and any(f[0] is None for f in native)
+    for text in ("Takasawa Daiichi Eiko-no-Yama Church", "Daiichi Eikono Yama Takasawa Ch.", "Daiiti Eiko no Yama Church, Takasawa"):
+        assert ("高沢", "daiitieikonoyama") in {f[:2] for f in N.rewritings(*N.parts(text, D)[:3], known)}, text
+    assert ("daiitieikonoyama") in {f[1] for f in N.rewritings(*N.parts("Somewhere Daiichi Eiko no Yama Church", D)[:3], known)}
+    initials = {f[1] for f in N.rewritings(*N.parts("John Henry Newman Chapel", D)[:3], {}) if f[3] == "initial"}
+    assert initials & {f[1] for f in N.rewritings(*N.parts("J. H. Newman Chapel", D)[:3], {}) if f[3] == "initial" and f[2] == "i"}
+    assert {f[1] for f in N.rewritings(*N.parts("Bob Miller Mission", D)[:3], {})} & {f[1] for f in N.rewritings(*N.parts("Robert Miller Mission", D)[:3], {})}
+    assert {f[1] for f in N.rewritings(*N.parts("Union Grace Tokyo", D)[:3], {}) if f[3] == "sorted"} & {f[1] for f in N.rewritings(*N.parts("Tokyo Union Grace", D)[:3], {}) if f[3] == "sorted"}
 
 
 def test_unreadable_names():
-    assert N.read_name(None, D) == N.NO_NAME and N.read_name("  ", D) == N.NO_NAME and N.read_name("xyz", D).core is None
+    for x in (None, "  ", "", "★★", "12345"):
+        assert N.rewritings(*N.parts(x, D)[:3], {}) == []
+    long = "教会" * 100_000
+    assert len(N.rewritings(*N.parts(long, D)[:3], {})) == 1
+
 
+def test_readings_are_learned_from_rows(spark):
+    rows = [(i, f"{p}{w}の{v}教会", f"{a.title()} no {b.title()} Church") for i, (p, w, v, a, b) in enumerate([("", "緑陰", "灯台", "ryokuin", "todai"), ("北", "緑陰", "門", "kita ryokuin", "mon"), ("", "緑陰", "灯台", "ryokuin", "todai"), ("北", "慈愛", "灯台", "kita jiai", "todai"), ("", "慈愛", "門", "jiai", "mon"), ("", "慈愛", "灯台", "jiai", "todai"), ("北", "緑陰", "灯台", "kita ryokuin", "todai"), ("", "慈愛", "門柱", "jiai", "monchu"), ("北", "慈愛", "門", "kita jiai", "mon"), ("東", "慈愛", "門", "higashi jiai", "mon")])]
+    parsed = N.parse_names(spark.createDataFrame(rows, "nid bigint, name string, second string"), D)
+    got = dict(map(tuple, N.learn_readings(parsed).collect()))
+    assert got["緑陰"] == "ryokuin" and got["慈愛"] == "ziai" and got["灯台"] == "todai" and got["北"] == "kita"
 
-def _sightings(spark, rows, entity):
-    d = spark.createDataFrame([(k, e, n, a, {"latitude": la, "longitude": lo}, w, "clash") for k, e, n, a, la, lo, w in rows], "k bigint, e string, n string, a string, l struct<latitude:double,longitude:double>, w string, core string")
-    return cut(congregations.sightings(d, AREAS, D, key="k", name="n", address="a", entity=entity, location="l", website="w"))
+
+def _meet(spark, left, right):
+    def rows(data):
+        d = spark.createDataFrame([(k, e, n, a, {"latitude": la, "longitude": lo}, w, "clash") for k, e, n, a, la, lo, w in data], "k bigint, e string, n string, a string, l struct<latitude:double,longitude:double>, w string, area string")
+        return cut(congregations.sightings(d, AREAS, key="k", name="n", address="a", entity="e", location="l", website="w"))
+
+    return congregations.meet(rows(left), rows(right), AREAS, D, cut)
 
 
 LEFT = [
@@ -72,14 +114,22 @@ RIGHT = [(21, "d1", "第一栄光の山キリスト教会（高沢）", "高沢
 
 
 def test_congregations_are_linked_by_name(spark):
-    left, right = congregations.located(_sightings(spark, LEFT, "e"), _sightings(spark, RIGHT, "e"))
-    left, right = cut(left), cut(right)
-    a, b = map(cut, congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right))))
-    pairs = congregations.same_names(a, b).where("score >= 0.5")
+    left, right, a, b, met = _meet(spark, LEFT, RIGHT)
+    pairs = congregations.same_names(met, a, b).where("score >= 0.5")
     got = sorted((r["left_key"], r["right_key"]) for r in congregations.to_rows(pairs, left, right).collect())
     assert got == [(1, 21), (1, 23), (2, 21), (2, 23), (3, 22)]
 
 
+def test_a_form_of_many_places_needs_the_place(spark):
+    towns = ["幸町", "港町", "本町", "泉町", "城町", "台町", "塩町", "鶴町"]
+    left = [(i, f"c{i}", f"{t}希望教会", f"霧崎県高沢市{t}1-2-{i + 1}", None, None, None) for i, t in enumerate(towns)]
+    right = [(100 + i, None, "希望教会", f"高沢市{t}1丁目2-{i + 1}", None, None, None) for i, t in enumerate(towns)] + [(200, None, "希望教会", "高沢市", None, None, None), (201, None, "希望教会", None, None, None, None)]
+    lr, rr, a, b, met = _meet(spark, left, right)
+    pairs = congregations.same_names(met, a, b).where("score >= 0.5")
+    assert sorted((r["left_key"], r["right_key"]) for r in congregations.to_rows(pairs, lr, rr).collect()) == [(i, 100 + i) for i in range(len(towns))]
+    assert met.where("how >= 2").count() <= 2 * len(towns)  # a hot form isn't expanded to all pairs
+
+
 def test_linkage_by_votes(spark):
     more_left, more_right = [], []
     for i, (w, t) in enumerate([("光", "幸町"), ("星", "港町"), ("愛", "本町"), ("虹", "泉町"), ("道", "城町"), ("羊", "台町"), ("麦", "塩町"), ("暁", "鶴町")]):
@@ -87,12 +137,10 @@ def test_linkage_by_votes(spark):
         more_left.append((100 + i, f"l{i}", f"{t}{w}の谷教会", f"霧崎県高沢市{t}1-2-{i + 1}", *at, None))
         more_right.append((200 + i, f"r{i}", f"{w}の谷教会" if i % 2 else f"{t}{w}の谷キリスト教会", f"高沢市{t}1丁目2-{i + 1}", *(at if i % 3 else (None, None)), None))
         more_right.append((300 + i, f"n{i}", f"別所{w}の谷伝道所", f"霧崎県高沢市別所{i + 3}-8-{i + 11}", at[0] + 0.2, at[1] + 0.2, None))
-    left, right = congregations.located(_sightings(spark, LEFT + more_left, "e"), _sightings(spark, RIGHT + more_right, "e"))
-    left, right = cut(left), cut(right)
-    a, b = map(cut, congregations.with_native_places(cut(congregations.entities(left)), cut(congregations.entities(right))))
-    got = {(r["a"], r["b"]) for r in linkage.link(a, b).where("confidence >= 0.5").collect()}
+    _, _, a, b, met = _meet(spark, LEFT + more_left, RIGHT + more_right)
+    got = {(r["a"], r["b"]) for r in linkage.link(met, a, b).where("confidence >= 0.5").collect()}
     assert got == {("c1", "d1"), ("c2", "d2"), *((f"l{i}", f"r{i}") for i in range(8))}
-    assert linkage.link(a.where("false"), b).count() == 0
+    assert linkage.link(met.where("false"), a.where("false"), b).count() == 0
 
 
 def test_label_model_learns_from_agreement():
