@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parvis.llm import address as A, names as N, plots
+from parvis.session import cut
 
 MOST_DENOMINATIONS = 10_000
 #: Forms of an area that stand for more places than this are joined together with place, town and plot only.
@@ -36,8 +37,8 @@ SHARED_HOSTS = r"(^|\.)(google|goo|facebook|fb|instagram|twitter|x|youtube|youtu
 def sightings(rows: DataFrame, places: tuple, *, key: str, name: str, address: str, second: str | None = None, postcode: str | None = None, entity: str | None = None, location: str | None = None, website: str | None = None) -> DataFrame:
     """One row per input row: key, entity, nid with name and second name, address parts, latitude, longitude, host.
 
-    The entity is the given column where it isn't blank, else all that is read of the row, so that exact copies are one entity.
-    Null and unreadable values give null parts.
+    The entity is a hash of the given column where it isn't blank, else of all that is read of the row, so that exact copies
+    are one entity. Null and unreadable values give null parts.
     """
     sent = rows.sparkSession.sparkContext.broadcast(places)
 
@@ -46,7 +47,7 @@ def sightings(rows: DataFrame, places: tuple, *, key: str, name: str, address: s
         for batch in batches:
             read = [A.parse(t, z, known) for t, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             where = [[r[i] for r in read] for i in range(7)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(3, 10)), *(pa.array(c, pa.string()) for c in where[:6]), pa.array(where[6], pa.bool_())], ["key", "nid", "name", "second", "entity", "latitude", "longitude", "host", *plots.FIELDS, "latin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(3, 10)), *(pa.array(c, pa.string()) for c in where[:6]), pa.array(where[6], pa.bool_())], ["key", "entity", "nid", "name", "second", "latitude", "longitude", "host", *plots.FIELDS, "latin"])
 
     kind = rows.schema[key].dataType.simpleString()
     text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
@@ -55,41 +56,41 @@ def sightings(rows: DataFrame, places: tuple, *, key: str, name: str, address: s
     host = F.when((host == "") | host.rlike(SHARED_HOSTS), None).otherwise(host)
     lat, lon = number("latitude"), number("longitude")
     inside = lat.between(20, 46) & lon.between(122, 154)
-    read = rows.select(F.col(key).alias("key"), text(address).alias("address"), text(postcode).alias("zip"), text(name).alias("name"), text(second).alias("second"), F.trim(text(entity)).alias("own"), F.when(inside, lat).alias("latitude"), F.when(inside, lon).alias("longitude"), host.alias("host"))
-    content = F.concat(F.lit("row:"), F.sha2(F.to_json(F.struct("address", "zip", "name", "latitude", "longitude", "host")), 256))
-    picked = read.select("key", "address", "zip", F.when(F.trim("name") != "", F.xxhash64("name", F.coalesce("second", F.lit("")))).alias("nid"), "name", "second", F.coalesce(F.nullif("own", F.lit("")), content).alias("entity"), "latitude", "longitude", "host")
-    schema = f"key {kind}, nid bigint, name string, second string, entity string, latitude double, longitude double, host string, " + ", ".join(f"{f} string" for f in plots.FIELDS) + ", latin boolean"
+    read = rows.select(F.col(key).alias("key"), text(address).alias("address"), text(postcode).alias("zip"), text(name).alias("name"), text(second).alias("second"), F.nullif(F.trim(text(entity)), F.lit("")).alias("own"), F.when(inside, lat).alias("latitude"), F.when(inside, lon).alias("longitude"), host.alias("host"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    content = F.xxhash64(*map(blank, ("address", "zip", "name", "latitude", "longitude", "host")))
+    nid = F.when(F.trim("name") != "", F.xxhash64("name", blank("second")))
+    picked = read.select("key", "address", "zip", F.when(F.col("own").isNull(), content).otherwise(F.xxhash64("own", F.lit("own"))).alias("entity"), nid.alias("nid"), "name", "second", "latitude", "longitude", "host")
+    schema = f"key {kind}, entity bigint, nid bigint, name string, second string, latitude double, longitude double, host string, " + ", ".join(f"{f} string" for f in plots.FIELDS) + ", latin boolean"
     return picked.mapInArrow(scan, schema)
 
 
-def located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both sides with municipality, town and plot completed from what the corpus says about postcodes, and the table
-    (what, word, value) of places: towns, and native towns of romanised ones."""
-    fields = [*plots.FIELDS, "latin"]
-    forms = plots.complete(left.select(*fields).unionByName(right.select(*fields)))
-    identity = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\0")) for f in plots.FIELDS], "latin")
-    areas = forms.select(identity.alias("form"), "municipality2", "ward2", "town2")
-    known = forms.where("postcode is not null and municipality2 is not null")
-    zips = known.groupBy("postcode", "municipality2").agg(F.count("*").alias("n")).groupBy("postcode").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("zip_municipality"))
-    # the first three digits stand for a municipality where nine in ten readings agree; that bears a wrong digit after them
-    heads = known.groupBy(F.substring("postcode", 1, 3).alias("head"), "municipality2").agg(F.count("*").alias("n")).groupBy("head").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("head_municipality"), (F.max("n") / F.sum("n")).alias("share")).where("share >= 0.9").drop("share")
+def both_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of both tables without their keys; ``own`` tells the left ones."""
+    return left.drop("key").withColumn("own", F.lit(True)).unionByName(right.drop("key").withColumn("own", F.lit(False)))
 
-    def side(rows: DataFrame) -> DataFrame:
-        full = rows.withColumn("form", identity).withColumn("parsed_town", F.col("town")).join(areas, "form", "left").join(zips, "postcode", "left").join(heads, F.substring("postcode", 1, 3) == F.col("head"), "left")
-        area = F.coalesce("municipality2", "municipality", "zip_municipality", "head_municipality")
-        plot = F.when(F.col("municipality2").isNotNull() & F.col("town2").isNotNull() & F.col("numbers").isNotNull(), F.xxhash64("municipality2", "town2", "numbers"))
-        return full.select("key", "entity", "nid", "name", "second", area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "numbers", "latitude", "longitude", "host", F.when(F.col("latin"), F.col("parsed_town")).alias("latin_town"))
 
-    return side(left), side(right)
+def located(rows: DataFrame) -> DataFrame:
+    """The rows with municipality, town and plot completed from what the corpus says about postcodes."""
+    forms = cut(plots.complete(rows.select(*plots.FIELDS, "latin")))
+    identity = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\0")) for f in plots.FIELDS], "latin")
+    areas = forms.select(identity.alias("form"), "municipality2", "town2")
+    known = forms.where("postcode is not null and municipality2 is not null").groupBy("postcode", "municipality2").agg(F.count("*").alias("n"))
+    zips = known.groupBy("postcode").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("zip_municipality"))
+    # the first three digits stand for a municipality where nine in ten readings agree; that bears a wrong digit after them
+    heads = known.groupBy(F.substring("postcode", 1, 3).alias("head"), "municipality2").agg(F.sum("n").alias("n")).groupBy("head").agg(F.max_by("municipality2", F.struct("n", "municipality2")).alias("head_municipality"), (F.max("n") / F.sum("n")).alias("share")).where("share >= 0.9").drop("share")
+    full = rows.withColumn("form", identity).withColumn("parsed", F.col("town")).join(areas, "form", "left").join(zips, "postcode", "left").join(heads, F.substring("postcode", 1, 3) == F.col("head"), "left")
+    area = F.coalesce("municipality2", "municipality", "zip_municipality", "head_municipality")
+    plot = F.when(F.col("municipality2").isNotNull() & F.col("town2").isNotNull() & F.col("numbers").isNotNull(), F.xxhash64("municipality2", "town2", "numbers"))
+    return full.select("own", "entity", "nid", area.alias("area"), F.col("town2").alias("town"), plot.alias("plot"), "numbers", "latitude", "longitude", "host", F.when(F.col("latin"), F.col("parsed")).alias("latin_town"))
 
 
-def place_words(left: DataFrame, right: DataFrame, places: tuple) -> DataFrame:
+def place_words(rows: DataFrame, places: tuple) -> DataFrame:
     """(what, word, value): "p" towns and areas that names may begin with, "q" native places of romanised ones.
 
     Towns come from the addresses of all rows, romanised ones with the native town mostly read for them; areas come from the
     gazetteer with and without their suffix.
     """
-    spark = left.sparkSession
     fixed = set()
     for _, name, aliases, kind, _, english in places:
         if not name:
@@ -102,14 +103,12 @@ def place_words(left: DataFrame, right: DataFrame, places: tuple) -> DataFrame:
             for x in (english, *(a for a in aliases or () if a and a.isascii())):
                 if x:
                     fixed.add(("q", N.romaji(A._latin_area(x)).replace("-", ""), short))
-    gazetteer = spark.createDataFrame(sorted(fixed), "what string, word string, value string")
-    towns = left.select("town", "latin_town").unionByName(right.select("town", "latin_town")).where("town is not null").distinct()
+    gazetteer = rows.sparkSession.createDataFrame(sorted(fixed), "what string, word string, value string")
     own = _native(F.col("town"))
-    native = towns.where(~F.col("town").rlike(r"^[\x00-\x7f]+$")).select(F.lit("p").alias("what"), own.alias("word"), own.alias("value"))
-    spelled = F.array_distinct(F.array(F.col("latin_town"), F.regexp_replace("latin_town", "-(cho|machi|dori|mura|shi)$", "")))
-    said = towns.where(F.col("latin_town").isNotNull() & ~F.col("town").rlike(r"^[\x00-\x7f]+$")).select(F.explode(spelled).alias("w"), own.alias("value"))
-    said = said.select(F.lit("q").alias("what"), F.regexp_replace(N.romaji_column(F.col("w")), "[- ]", "").alias("word"), "value")
-    return native.unionByName(said).unionByName(gazetteer).groupBy("what", "word").agg(F.max("value").alias("value"))
+    spelled = F.when(F.col("latin_town").isNotNull(), F.transform(F.array_distinct(F.array(F.col("latin_town"), F.regexp_replace("latin_town", "-(cho|machi|dori|mura|shi)$", ""))), lambda w: F.struct(F.lit("q").alias("what"), F.regexp_replace(N.romaji_column(w), "[- ]", "").alias("word"), own.alias("value"))))
+    said = F.array_compact(F.concat(F.array(F.struct(F.lit("p").alias("what"), own.alias("word"), own.alias("value"))), F.coalesce(spelled, F.array().cast("array<struct<what:string,word:string,value:string>>"))))
+    towns = rows.where(F.col("town").isNotNull() & ~F.col("town").rlike(r"^[\x00-\x7f]+$")).select("town", "latin_town").distinct().select(F.explode(said).alias("x")).select("x.*")
+    return towns.unionByName(gazetteer).groupBy("what", "word").agg(F.max("value").alias("value"))
 
 
 def _native(text: Column) -> Column:
@@ -118,41 +117,38 @@ def _native(text: Column) -> Column:
     return F.translate(text, kata, "".join(chr(ord(c) - 0x60) for c in kata))
 
 
-def lexicon(parsed: DataFrame, left: DataFrame, right: DataFrame, places: tuple) -> DataFrame:
-    """Places and learned readings; a reading of a place also makes the romanised word that place."""
-    known = place_words(left, right, places)
-    learned = N.learn_readings(parsed)
-    own = learned.join(known.where("what = 'p'").select("word", "value"), "word")
-    romanised = own.select(F.lit("q").alias("what"), F.col("reading").alias("word"), "value").where("length(value) > 1")
-    told = known.unionByName(romanised.join(known.where("what = 'q'").select("word"), "word", "left_anti").groupBy("what", "word").agg(F.max("value").alias("value")))
-    words = learned.join(known.where("what = 'p' and length(word) > 1").select("word"), "word", "left_anti").select(F.lit("w").alias("what"), F.col("reading").alias("word"), F.lit("").alias("value"))
-    return told.unionByName(learned.select(F.lit("r").alias("what"), "word", F.col("reading").alias("value"))).unionByName(words)
+def lexicon(parsed: DataFrame, rows: DataFrame, places: tuple) -> DataFrame:
+    """Places and learned readings; a reading of a place also makes the romanised word that place, any other is a plain word."""
+    known = cut(place_words(rows, places))
+    learned = N.learn_readings(parsed).join(known.where("what = 'p'").select("word", F.col("value").alias("place")), "word", "left")
+    place = F.col("place").isNotNull() & (F.length("word") > 1)
+    row = lambda what, word, value: F.struct(F.lit(what).alias("what"), F.col(word).alias("word"), value.alias("value"))
+    said = learned.select(F.explode(F.array(row("r", "word", F.col("reading")), F.when(place, row("q", "reading", F.col("place"))).otherwise(row("w", "reading", F.lit(""))))).alias("x")).select("x.*")
+    return known.unionByName(said).groupBy("what", "word").agg(F.max("value").alias("value"))
 
 
-def name_forms(rows: DataFrame, rewritten: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, place, key, raw, rule) of all rewritings of all names of an entity, and per entity its main key and kind.
+def name_forms(rows: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """(own, entity, key, raw, rule, place, first, n) of all rewritings of all names of an entity.
 
     A form without a place is left out where the entity has the same form with one.
     """
-    seen = rows.where("nid is not null").groupBy("entity", "nid").agg(F.count("*").alias("n"))
-    named = seen.join(rewritten, "nid")
-    each = named.groupBy("entity", "key", "raw", "rule", "place").agg(F.sum("n").alias("n"))
-    placed = each.where("place is not null").select("entity", "key").distinct().withColumn("placed", F.lit(True))
-    forms = each.join(placed, ["entity", "key"], "left").where("place is not null or placed is null").drop("placed")
-    main = named.where("first").groupBy("entity", "key").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max_by("key", F.struct("n", "key")).alias("main"))
-    kind = seen.join(kinds, "nid").where("kind is not null").groupBy("entity", "kind").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
-    return forms, main.join(kind, "entity", "full_outer")
+    seen = rows.where("nid is not null").groupBy("own", "entity", "nid").agg(F.count("*").alias("n"))
+    each = seen.join(rewritten, "nid").groupBy("own", "entity", "key", "raw", "rule", "place").agg(F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("first"))
+    placed = F.max(F.col("place").isNotNull()).over(Window.partitionBy("own", "entity", "key"))
+    return each.withColumn("placed", placed).where("place is not null or not placed").drop("placed")
 
 
-def entities(rows: DataFrame, names: DataFrame) -> DataFrame:
+def entities(rows: DataFrame, forms: DataFrame, kinds: DataFrame) -> DataFrame:
     """One row per entity: main key and kind of its names, the majority of its area, town, plot, numbers and host, and its median
     location. Ties go to the greater value. The values of all fields are counted in one pass over long rows."""
-    fields = {f: F.col(f).cast("string") for f in ("area", "town", "plot", "numbers", "host")}
-    long = rows.select("entity", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), v.alias("v")) for i, v in enumerate(fields.values())])).alias("x")).select("entity", "x.field", "x.v").where("v is not null")
-    best = long.groupBy("entity", "field", "v").agg(F.count("*").alias("n")).groupBy("entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    wide = best.groupBy("entity").agg(*[F.max(F.when(F.col("field") == i, F.col("v"))).alias(k) for i, k in enumerate(fields)])
-    base = rows.groupBy("entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"))
-    return base.join(wide, "entity", "left").join(names, "entity", "left").withColumn("plot", F.col("plot").cast("bigint"))
+    kinded = rows.join(kinds, "nid", "left")
+    fields = {f: F.col(f).cast("string") for f in ("area", "town", "plot", "numbers", "host", "kind")}
+    long = kinded.select("own", "entity", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), v.alias("v")) for i, v in enumerate(fields.values())])).alias("x")).select("own", "entity", "x.field", "x.v", F.lit(1).cast("bigint").alias("n")).where("v is not null")
+    main = forms.where("first > 0").select("own", "entity", F.lit(len(fields)).alias("field"), F.col("key").alias("v"), F.col("first").alias("n"))
+    best = long.unionByName(main).groupBy("own", "entity", "field", "v").agg(F.sum("n").alias("n")).groupBy("own", "entity", "field").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    wide = best.groupBy("own", "entity").agg(*[F.max(F.when(F.col("field") == i, F.col("v"))).alias(k) for i, k in enumerate([*fields, "main"])])
+    base = rows.groupBy("own", "entity").agg(F.percentile_approx("latitude", 0.5).alias("latitude"), F.percentile_approx("longitude", 0.5).alias("longitude"))
+    return base.join(wide, ["own", "entity"], "left").withColumn("plot", F.col("plot").cast("bigint"))
 
 
 PROFILE = ("main", "kind", "area", "town", "plot", "numbers", "host", "latitude", "longitude")
@@ -169,55 +165,56 @@ def _less_one(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))))
 
 
-def meetings(left: DataFrame, right: DataFrame, left_forms: DataFrame, right_forms: DataFrame) -> DataFrame:
-    """(a, b, how, spread): entities that share a form. how: 4 key and place, 3 key, 2 key of different places, 1 a key with
-    one slip, 0 part of a key on one plot. spread: how many places of the area (areas, where one side has none) have the key.
+def meetings(everyone: DataFrame, forms: DataFrame) -> DataFrame:
+    """(a, b, how, spread): left and right entities that share a form. how: 4 key and place, 3 key, 2 key of different places, 1 a
+    key with one slip, 0 part of a key on one plot. spread: how many places of the area have the key.
     """
-    at = ["entity", "area", "town", "plot"]
-    lf, rf = (f.join(e.select(*at), "entity") for f, e in ((left_forms, left), (right_forms, right)))
-    both = lf.withColumn("own", F.lit(True)).unionByName(rf.withColumn("own", F.lit(False)))
-    h = F.xxhash64("area", "rule", "key")
-    spots = both.where("area is not null").select(h.alias("h"), "place", F.when(F.col("own"), F.col("town")).alias("town"))
-    by = lambda c: spots.where(f"{c} is not null").select("h", c).distinct().groupBy("h").agg(F.count("*").alias("n"))
-    spread = by("place").unionByName(by("town")).groupBy("h").agg(F.max("n").alias("spread"))
-    la, ra = (f.where("area is not null").select(h.alias("h"), "entity", "place", "town", "plot", "rule", "raw").join(spread, "h", "left").withColumn("spread", F.coalesce("spread", F.lit(1))) for f in (lf, rf))
-
+    c = F.col
+    at = everyone.select("own", "entity", "area", "town", "plot")
+    full = cut(forms.select("own", "entity", "key", "raw", "rule", "place").join(at, ["own", "entity"]))
+    own = c("rule") == "own"
+    here = F.when(c("area").isNotNull(), F.xxhash64("area", "rule", "key"))
+    anywhere = F.when(own & c("place").isNotNull(), F.xxhash64(F.lit("anywhere"), "key", "place"))
+    held = full.select("own", "entity", "place", "town", "plot", "area", ((c("rule") != "initial") | (c("raw") == "i")).alias("plain"), F.explode(F.array(F.struct(F.lit(True).alias("here"), here.alias("h")), F.struct(F.lit(False).alias("here"), anywhere.alias("h")))).alias("x")).select("*", "x.here", "x.h").drop("x").where("h is not null")
+    # places of a form within the area, and areas of a form with its place
+    spread = held.groupBy("h").agg(F.count_distinct(F.when(c("here"), c("place"))).alias("places"), F.count_distinct(F.when(c("here") & c("own"), c("town"))).alias("towns"), F.count_distinct(F.when(~c("here"), c("area"))).alias("areas"))
+    wide = held.join(spread, "h").withColumn("spread", F.greatest("places", "towns", F.lit(1))).where("here or areas = 1")
     # a rare form meets as it is; one of many places together with what is to confirm it
-    def keyed(f: DataFrame) -> DataFrame:
-        more = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64("h", F.lit(c), c)) for c in ("place", "town", "plot")]))
-        return f.withColumn("k", F.explode(F.when(F.col("spread") <= SPREAD, F.array("h")).otherwise(more)))
-
-    agree = F.when(F.col("pa") == F.col("pb"), 4).when(F.col("pa").isNull() | F.col("pb").isNull(), 3).otherwise(2)
-    initial = (F.col("rule") != "initial") | F.col("ra").contains("i") & (F.length("ra") == 1) | F.col("rb").contains("i") & (F.length("rb") == 1)
-    exact = keyed(la).select("k", "rule", "spread", F.col("entity").alias("a"), F.col("place").alias("pa"), F.col("raw").alias("ra")).join(keyed(ra).select("k", F.col("entity").alias("b"), F.col("place").alias("pb"), F.col("raw").alias("rb")), "k").where(initial).select("a", "b", agree.alias("how"), "spread")
-
-    # sides without an area: the form, or form and place, must belong to one area only
-    w = F.xxhash64("rule", "key", "place")
-    one = both.where("area is not null and place is not null and rule = 'own'").select(w.alias("w"), "area").distinct().groupBy("w").agg(F.count("*").alias("n")).where("n = 1").select("w")
-    lw, rw = (f.where("place is not null and rule = 'own'").select(w.alias("w"), "entity", F.col("area").isNull().alias("no_area")) for f in (lf, rf))
-    wide = lw.select("w", F.col("entity").alias("a"), F.col("no_area").alias("na")).join(rw.select("w", F.col("entity").alias("b"), F.col("no_area").alias("nb")), "w").where("na or nb").join(one, "w", "left_semi").select("a", "b", F.lit(4).alias("how"), F.lit(1).cast("bigint").alias("spread"))
-
-    # one slip: keys and raw forms less a character, within the area; distinct words only, then back to the entities
-    def words(f: DataFrame) -> DataFrame:
-        own = f.where("area is not null and rule = 'own'")
-        return own.select("entity", "area", F.explode(F.array_distinct(F.array(F.struct(F.lit("k").alias("s"), F.col("key").alias("word")), F.struct(F.lit("r").alias("s"), F.col("raw").alias("word"))))).alias("x"), "place", "key").select("entity", "area", "x.s", "x.word", "place", "key").where("(s = 'k' and length(word) between 7 and 60) or (s = 'r' and length(word) between 3 and 60)")
-
-    wl, wr = words(lf), words(rf)
-    index = lambda f, n: f.select("area", "s", "word").distinct().select(F.struct("area", "s", "word").alias(n), F.explode(_less_one(F.col("word"))).alias("less")).select(n, F.xxhash64(f"{n}.area", f"{n}.s", "less").alias("h"))
-    x, y = F.col("x.word"), F.col("y.word")
-    letters = lambda c: F.sort_array(F.split(c, ""))
-    slipped = (F.abs(F.length(x) - F.length(y)) == 1) | ((F.length(x) == F.length(y)) & (letters(x) == letters(y)))
-    near = index(wl, "x").join(index(wr, "y"), "h").where(x != y).where(slipped).select("x", "y").distinct()
-    slip = near.select(F.col("x.area").alias("area"), F.col("x.s").alias("s"), x.alias("wx"), y.alias("wy"))
-    slip = slip.join(wl.select("area", "s", F.col("word").alias("wx"), F.col("entity").alias("a"), F.col("place").alias("pa")), ["area", "s", "wx"]).join(wr.select("area", "s", F.col("word").alias("wy"), F.col("entity").alias("b"), F.col("place").alias("pb")), ["area", "s", "wy"])
-    slip = slip.where("pa is null or pb is null or pa = pb").select("a", "b", F.lit(1).alias("how"), F.lit(1).cast("bigint").alias("spread"))
-
+    confirmed = F.array_compact(F.array(*[F.when(c(x).isNotNull(), F.xxhash64("h", F.lit(x), x)) for x in ("place", "town", "plot")]))
+    keyed = wide.select("own", "entity", "place", "plain", "here", c("area").isNull().alias("lost"), F.when(c("here"), c("spread")).otherwise(1).alias("spread"), F.explode(F.when(c("here") & (c("spread") > SPREAD), confirmed).otherwise(F.array("h"))).alias("k"))
     # beginnings and ends of keys on one plot
     ends = F.array_distinct(F.array(F.xxhash64("plot", F.substring("key", 1, 6)), F.xxhash64("plot", F.lit("end"), F.expr("right(key, 6)"))))
-    pl, pr = (f.where("plot is not null and rule = 'own'").select("entity", F.explode(ends).alias("h")).distinct() for f in (lf, rf))
-    part = pl.select("h", F.col("entity").alias("a")).join(pr.select("h", F.col("entity").alias("b")), "h").select("a", "b", F.lit(0).alias("how"), F.lit(1).cast("bigint").alias("spread"))
-    every = exact.unionByName(wide).unionByName(slip).unionByName(part)
-    return every.groupBy("a", "b").agg(F.max("how").alias("how"), F.min(F.when(F.col("how") >= 2, F.col("spread"))).alias("spread"))
+    part = full.where(own & c("plot").isNotNull()).select("own", "entity", F.lit(None).cast("string").alias("place"), F.lit(True).alias("plain"), F.lit(None).cast("boolean").alias("here"), F.lit(False).alias("lost"), F.lit(None).cast("bigint").alias("spread"), F.explode(ends).alias("k")).distinct()
+    keys = cut(keyed.unionByName(part))
+    side = lambda f, s: f.select("k", "here", *[c(x).alias(f"{s}_{x}") for x in ("entity", "place", "plain", "lost", "spread")])
+    met = side(keys.where("own"), "a").join(side(keys.where("not own"), "b").drop("here"), "k").where("(a_plain or b_plain) and (here is null or here or a_lost or b_lost)")
+    agree = F.when(c("here").isNull(), 0).when(c("a_place") == c("b_place"), 4).when(c("a_place").isNull() | c("b_place").isNull(), 3).otherwise(2)
+    met = met.select(c("a_entity").alias("a"), c("b_entity").alias("b"), agree.alias("how"), F.least("a_spread", "b_spread").alias("spread"))
+    every = met.unionByName(slips(full))
+    return every.groupBy("a", "b").agg(F.max("how").alias("how"), F.min(F.when(c("how") >= 2, c("spread"))).alias("spread"))
+
+
+def slips(full: DataFrame) -> DataFrame:
+    """(a, b, how 1, spread 1) of entities of one area with a key or a raw form that differ by one character left out, added or
+    swapped with its neighbour. Only words unknown to the other side count as slips.
+
+    The index holds hashes of the distinct words less one character; the words themselves are compared only where these meet.
+    """
+    c = F.col
+    told = F.array(F.struct(F.lit("k").alias("s"), c("key").alias("word")), F.struct(F.lit("r").alias("s"), c("raw").alias("word")))
+    words = full.where("area is not null and rule = 'own'").select("own", "entity", "area", "place", F.explode(told).alias("x")).select("own", "entity", "area", "place", "x.s", "x.word")
+    words = words.where("length(word) <= 60 and (s = 'k' and length(word) >= 7 or s = 'r' and length(word) >= 3 and word rlike '[^\\x00-\\x7f]')").withColumn("w", F.xxhash64("area", "s", "word"))
+    known = cut(words.groupBy("w", "area", "s", "word").agg(F.max("own").alias("left"), F.min("own").alias("all_left")).select("w", "area", "s", "word", "left", (~c("all_left")).alias("right")))
+    index = known.select("w", "left", "right", F.explode(F.transform(_less_one(c("word")), lambda x: F.xxhash64("area", "s", x))).alias("h"))
+    x, y = index.where("left").select(c("w").alias("x"), (~c("right")).alias("x_alone"), "h"), index.where("right").select(c("w").alias("y"), (~c("left")).alias("y_alone"), "h")
+    near = x.join(y, "h").where("x != y and (x_alone or y_alone)").select("x", "y").distinct()
+    word = lambda n: known.select(c("w").alias(n), c("word").alias(f"{n}_word"))
+    letters = lambda w: F.sort_array(F.split(w, ""))
+    one = (F.abs(F.length("x_word") - F.length("y_word")) == 1) | ((F.length("x_word") == F.length("y_word")) & (letters(c("x_word")) == letters(c("y_word"))))
+    near = near.join(word("x"), "x").join(word("y"), "y").where(one).select("x", "y")
+    side = lambda f, n, s: f.select(c("w").alias(n), c("entity").alias(s), c("place").alias(f"p{s}")).distinct()
+    found = near.join(side(words.where("own"), "x", "a"), "x").join(side(words.where("not own"), "y", "b"), "y").where("pa is null or pb is null or pa = pb")
+    return found.select("a", "b", F.lit(1).alias("how"), F.lit(1).cast("bigint").alias("spread"))
 
 
 def with_profiles(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -258,14 +255,14 @@ def to_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(pairs, "a").join(b, "b").select("left_key", "right_key", "score")
 
 
-def meet(left: DataFrame, right: DataFrame, places: tuple, affiliations: tuple[str, ...], cut) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(left rows, right rows, left entities, right entities, meetings) of two tables of sightings. ``cut`` checkpoints."""
-    left, right = map(cut, located(left, right))
-    names = left.select("nid", "name", "second").unionByName(right.select("nid", "name", "second")).where("nid is not null").dropDuplicates(["nid"])
+def meet(left: DataFrame, right: DataFrame, places: tuple, affiliations: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(left entities, right entities, meetings) of two tables of sightings. Tables in between are checkpointed."""
+    rows = cut(located(both_sides(left, right)))
+    name = ["nid", "name", "second"]
+    names = left.select(*name).unionByName(right.select(*name)).where("nid is not null").groupBy("nid").agg(F.max("name").alias("name"), F.max("second").alias("second"))
     parsed = cut(N.parse_names(names, affiliations))
-    rewritten = cut(N.rewrite_names(parsed, lexicon(parsed, left, right, places)))
-    kinds = parsed.select("nid", "kind")
-    (lf, ln), (rf, rn) = name_forms(left, rewritten, kinds), name_forms(right, rewritten, kinds)
-    lf, rf = cut(lf), cut(rf)
-    le, re_ = cut(entities(left, ln)), cut(entities(right, rn))
-    return left, right, le, re_, cut(meetings(le, re_, lf, rf))
+    rewritten = N.rewrite_names(parsed, cut(lexicon(parsed, rows, places)))
+    forms = cut(name_forms(rows, rewritten))
+    everyone = cut(entities(rows, forms, parsed.select("nid", "kind")))
+    met = cut(meetings(everyone, forms))
+    return everyone.where("own"), everyone.where("not own"), met

@@ -16,9 +16,10 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parvis.llm.address import VARIANTS, fold_name, within_one
+from parvis.session import cut
 
 # Kinds of congregations, native and romanised, legal forms and confessions (fixed values of the domain, longest match first).
 KINDS = {
@@ -325,11 +326,11 @@ def learn_readings(parsed: DataFrame, least: int = 3, share: float = 0.2) -> Dat
         F.transform("s", lambda s: F.struct(s.alias("s"), F.lit("").alias("t"))),
         F.transform("t", lambda t: F.struct(F.lit("").alias("s"), t.alias("t"))),
     )
-    n = pairs.select(F.explode(one).alias("x")).groupBy("x.s", "x.t").agg(F.count("*").alias("n"))
-    met = n.where(f"s != '' and t != '' and n >= {least}").join(n.where("t = ''").select("s", F.col("n").alias("ns")), "s").join(n.where("s = ''").select("t", F.col("n").alias("nt")), "t")
+    n = cut(pairs.select(F.explode(one).alias("x")).groupBy("x.s", "x.t").agg(F.count("*").alias("n")).where(f"n >= {least}"))
+    met = n.where("s != '' and t != ''").join(n.where("t = ''").select("s", F.col("n").alias("ns")), "s").join(n.where("s = ''").select("t", F.col("n").alias("nt")), "t")
     met = met.withColumn("dice", 2 * F.col("n") / (F.col("ns") + F.col("nt"))).where(F.col("dice") >= share)
     # the longest piece that goes with the word nearly as well as the best one
-    good = met.join(met.groupBy("t").agg(F.max("dice").alias("most")), "t").where("dice >= 0.85 * most")
+    good = met.withColumn("most", F.max("dice").over(Window.partitionBy("t"))).where("dice >= 0.85 * most")
     best = good.groupBy("t").agg(F.max_by(F.struct("s", "dice"), F.struct(F.length("s"), "dice", "s")).alias("b"))
     return best.groupBy(F.col("b.s").alias("word")).agg(F.max_by("t", F.struct("b.dice", "t")).alias("reading"))
 

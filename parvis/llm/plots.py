@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parvis.llm import address as A
+from parvis.session import cut
 
 FIELDS = ("postcode", "prefecture", "municipality", "ward", "town", "numbers")
 MOST_PLACES = 200_000
@@ -57,10 +58,11 @@ def complete(read: DataFrame) -> DataFrame:
     A romanised town is rendered by what the native readings of its postcodes mostly call it. Both tables of majorities have
     one row per postcode and per romanised town and are joined, not broadcast by hand.
     """
-    forms = read.where("town is not null and numbers is not null").groupBy(*FIELDS, "latin").agg(F.count("*").alias("n"))
+    forms = cut(read.where("town is not null and numbers is not null").groupBy(*FIELDS, "latin").agg(F.count("*").alias("n")))
     native = forms.where("not latin and postcode is not null")
     towns = native.groupBy("postcode", "town").agg(F.sum("n").alias("n"), F.max_by("municipality", F.when(F.col("municipality").isNotNull(), F.col("n"))).alias("municipality"), F.max_by("ward", F.when(F.col("ward").isNotNull(), F.col("n"))).alias("ward"))
     best = towns.groupBy("postcode").agg(F.max_by(F.struct("municipality", "ward", "town", "n"), F.struct(F.col("municipality").isNotNull(), "n", "town")).alias("z")).select("postcode", F.col("z.municipality").alias("zm"), F.col("z.ward").alias("zw"), F.col("z.town").alias("zt"), F.col("z.n").alias("zn"))
+    best = cut(best)
     latin = forms.where("latin and postcode is not null").join(best, "postcode").groupBy("town", "zt").agg(F.sum("n").alias("n"))
     said = latin.groupBy("town").agg(F.max_by("zt", F.struct("n", "zt")).alias("lt"))
     with_best = forms.join(best, "postcode", "left").join(said.withColumn("latin", F.lit(True)), ["town", "latin"], "left")
@@ -144,7 +146,7 @@ def same_plots(left: DataFrame, right: DataFrame, *, unit_veto: bool = False) ->
     joined back at the end, where a hot address is split by adaptive skew joins. With ``unit_veto`` rows that name different
     floors or rooms are no pair.
     """
-    both = complete(left.unionByName(right))
+    both = cut(complete(left.unionByName(right)))
     identity = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\0")) for f in FIELDS], "latin")
     forms = both.withColumn("form", identity)
     a = left.where("town is not null and numbers is not null").select(F.col("key").alias("left_key"), F.col("unit").alias("u1"), identity.alias("a"))

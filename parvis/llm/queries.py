@@ -40,7 +40,7 @@ def p3_found(spark, d):
 
 
 def _sighted(spark, d, other):
-    """Rows of place_candidates and of another table with completed addresses, their entities, and how their names meet."""
+    """Sightings of place_candidates and of another table, their entities, and how their names meet."""
     places = plots.gazetteer_rows(table(spark, d, "geonames"))
     words = congregations.denomination_words(table(spark, d, "denominations"))
     left = congregations.sightings(table(spark, d, "place_candidates"), places, key="place_row_id", name="name", second="latinName", address="address", entity="googleCid", location="location", website="websiteUrl")
@@ -48,7 +48,8 @@ def _sighted(spark, d, other):
         right = congregations.sightings(table(spark, d, other), places, key="jma_row_id", name="教会名", address="住所", postcode="郵便番号")
     else:
         right = congregations.sightings(table(spark, d, other), places, key="church_row_id", name="name", second="englishName", address="address", entity="id", location="location", website="websiteUrl")
-    return congregations.meet(cut(left), cut(right), places, words, cut)
+    left, right = cut(left), cut(right)
+    return left, right, *congregations.meet(left, right, places, words)
 
 
 @query

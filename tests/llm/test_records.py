@@ -103,7 +103,8 @@ def _meet(spark, left, right):
         d = spark.createDataFrame([(k, e, n, a, {"latitude": la, "longitude": lo}, w, "clash") for k, e, n, a, la, lo, w in data], "k bigint, e string, n string, a string, l struct<latitude:double,longitude:double>, w string, area string")
         return cut(congregations.sightings(d, AREAS, key="k", name="n", address="a", entity="e", location="l", website="w"))
 
-    return congregations.meet(rows(left), rows(right), AREAS, D, cut)
+    left, right = rows(left), rows(right)
+    return left, right, *congregations.meet(left, right, AREAS, D)
 
 
 LEFT = [
@@ -137,9 +138,10 @@ def test_linkage_by_votes(spark):
         more_left.append((100 + i, f"l{i}", f"{t}{w}の谷教会", f"霧崎県高沢市{t}1-2-{i + 1}", *at, None))
         more_right.append((200 + i, f"r{i}", f"{w}の谷教会" if i % 2 else f"{t}{w}の谷キリスト教会", f"高沢市{t}1丁目2-{i + 1}", *(at if i % 3 else (None, None)), None))
         more_right.append((300 + i, f"n{i}", f"別所{w}の谷伝道所", f"霧崎県高沢市別所{i + 3}-8-{i + 11}", at[0] + 0.2, at[1] + 0.2, None))
-    _, _, a, b, met = _meet(spark, LEFT + more_left, RIGHT + more_right)
-    got = {(r["a"], r["b"]) for r in linkage.link(met, a, b).where("confidence >= 0.5").collect()}
-    assert got == {("c1", "d1"), ("c2", "d2"), *((f"l{i}", f"r{i}") for i in range(8))}
+    left, right, a, b, met = _meet(spark, LEFT + more_left, RIGHT + more_right)
+    linked = linkage.link(met, a, b).where("confidence >= 0.5").withColumn("score", F.col("confidence"))
+    got = {(r["left_key"], r["right_key"]) for r in congregations.to_rows(linked, left, right).collect()}
+    assert got == {(1, 21), (1, 23), (2, 21), (2, 23), (3, 22), *((100 + i, 200 + i) for i in range(8))}
     assert linkage.link(met.where("false"), a.where("false"), b).count() == 0
 
 
