@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -48,6 +48,9 @@ _LOOKALIKE = {"千": "チ", "卜": "ト", "一": "ー", "ニ": "ニ", "二": "
 _SOLID = re.compile(r"[\s・･、,,.。\-_~〜★☆✿†◆◇●○■□♪※☕♡♥]+")
 
 
+_ORNAMENT = re.compile(r"[†※\u2190-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff]")
+
+
 def hiragana(text: str) -> str:
     return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヴ" else c for c in text)
 
@@ -127,32 +130,39 @@ def fold(text: str) -> str:
         s = re.sub(rf"(?<=[ァ-ヶー])[{like}](?=[ァ-ヶー{like}])|(?<=[ァ-ヶー])千(?![一-鿿])|(?<=[ァ-ヶー])卜|[千卜](?=[ャュョァィェォー])|(?<=[ャュョ])一", lambda m: _LOOKALIKE[m[0]], s)
     s = s.replace("ャベル", "ャペル")
     s = re.sub(r"第([1-9])", lambda m: "第" + "〇一二三四五六七八九"[int(m[1])], s)
-    s = re.sub(r"\b(1st|I)\s?(?=[぀-鿿])", "第一", s)
-    s = re.sub(r"\b(2nd|II)\s?(?=[぀-鿿])", "第二", s)
-    return "".join(c for c in s if unicodedata.category(c) != "So" and c not in "★☆†※♪")
+    s = re.sub(r"(?<![A-Za-z\d])(1st|I)\s?(?=[぀-鿿])", "第一", s)
+    s = re.sub(r"(?<![A-Za-z\d])(2nd|II)\s?(?=[぀-鿿])", "第二", s)
+    return _ORNAMENT.sub("", s)
+
+
+@lru_cache(maxsize=1)
+def _kind_rules():
+    """Exact kinds at the end and in front, and the kinds that bear a slip by the characters they may end with."""
+    each = "|".join(KINDS)
+    rooms = "|".join(dict.fromkeys([*ROOMS, *(r[:i] + r[i + 1 :] for r in ROOMS if len(r) > 2 for i in range(len(r)))]))
+    return re.compile(f"(?<=.)({each})$"), re.compile(f"^({each})(?=..)"), re.compile(f"(?<=..)({rooms})$"), [k for k in KINDS if len(k) > 2]
 
 
-def _ends(s: str, kinds: Iterable[str]) -> tuple[str, str | None]:
+def _ends(s: str) -> tuple[str, str | None]:
     """The name without rooms and kinds at its ends, and the kind that says most; a kind may carry one slip."""
+    behind, before, room, slippery = _kind_rules()
     kind = None
     for _ in range(3):
-        before = s
-        for room in ROOMS:
-            n = next((n for n in (len(room), len(room) - 1) if len(s) > n + 2 and (s[-n:] == room or len(room) > 2 and s[-n:] in {room[:i] + room[i + 1 :] for i in range(len(room))})), 0)
-            s = s[: len(s) - n]
-        for k in kinds:
-            if s.endswith(k) and len(s) > len(k):
-                s = s[: -len(k)]
-            elif s.startswith(k) and len(s) > len(k) + 1:
-                s = s[len(k) :]
-            elif n := next((n for n in (len(k), len(k) + 1, len(k) - 1) if len(k) > 2 and n > 1 and len(s) > n and (len(k) > 3 or n == len(k)) and s[-n] in k and one_slip(s[-n:], k)), 0):
-                s = s[:-n]
-            else:
-                continue
-            kind = KINDS[k] if kind is None or KINDS[k] != "church" else kind
-            break
-        if s == before:
+        s = room.sub("", s)
+        k, m = None, behind.search(s)
+        for x in slippery:  # a longer kind with a slip goes before a shorter one without
+            if len(x) > (len(m[1]) if m else 0) and s[-1:] in x[-2:]:
+                n = next((n for n in (len(x), len(x) + 1, len(x) - 1) if n > 1 and len(s) > n and (len(x) > 3 or n == len(x)) and s[-n] in x and one_slip(s[-n:], x)), 0)
+                if n:
+                    s, k = s[:-n], x
+                    break
+        if k is None and m:
+            s, k = s[: m.start()], m[1]
+        elif k is None and (m := before.search(s)):
+            s, k = s[m.end() :], m[1]
+        if k is None:
             break
+        kind = KINDS[k] if kind is None or KINDS[k] != "church" else kind
     return s, kind
 
 
@@ -178,11 +188,14 @@ def parts(text: str | None, affiliations: tuple[str, ...] = ()) -> tuple[str | N
         if _CJK.search(x):
             bare = re.sub(r"(?<=[぀-鿿])\s*[A-Za-z][A-Za-z\s.'\-]*$", "", x).strip()
             words = bare.split()
+            while len(words) > 1 and words[0].lower().strip(".") in LATIN_KINDS:
+                words = words[1:]
+                bare = " ".join(words)
             if len(words) > 1 and _BODY.search(words[0]):
                 bare = " ".join(words[1:])
             solid = _SOLID.sub("", bare)
             for d in affiliations:
-                if solid == d or not d:
+                if solid == d or not d or not (d[0] in solid[:2] or d[1:2] and d[1] in solid[:2] or solid.endswith(d)):
                     continue
                 n = next((n for n in (len(d), len(d) - 1, len(d) + 1) if (len(d) > 3 or n == len(d)) and (solid.startswith(d) if len(d) < 4 else within_one(solid[:n], d))), 0)
                 if n and len(solid) > n + 1:
@@ -191,7 +204,7 @@ def parts(text: str | None, affiliations: tuple[str, ...] = ()) -> tuple[str | N
                     solid = solid[: -len(d)]
             if inside and (_BODY.search(solid) or any(within_one(solid, d) or sorted(solid) == sorted(d) for d in affiliations if len(d) > 1)):
                 continue
-            core, k = _ends(solid, KINDS)
+            core, k = _ends(solid)
             if k is None and (m := re.search("|".join(KINDS), core)) and m.start() > 1 and 0 < len(core) - m.end() <= 6:
                 spots.append(fold_name(core[m.end() :]))  # the place behind the kind
                 core, k = core[: m.start()], KINDS[m[0]]
