@@ -138,7 +138,8 @@ def fold(text: str) -> str:
 @lru_cache(maxsize=1)
 def _kind_rules():
     """Exact kinds at the end and in front, and the kinds that bear a slip by the characters they may end with."""
-    each = "|".join(KINDS)
+    doubled = {k[: i + 1] + k[i:] for k in KINDS if len(k) == 2 for i in (0, 1)}
+    each = "|".join([*KINDS, *doubled])
     rooms = "|".join(dict.fromkeys([*ROOMS, *(r[:i] + r[i + 1 :] for r in ROOMS if len(r) > 2 for i in range(len(r)))]))
     return re.compile(f"(?<=.)({each})$"), re.compile(f"^({each})(?=..)"), re.compile(f"(?<=..)({rooms})$"), [k for k in KINDS if len(k) > 2]
 
@@ -152,14 +153,14 @@ def _ends(s: str) -> tuple[str, str | None]:
         k, m = None, behind.search(s)
         for x in slippery:  # a longer kind with a slip goes before a shorter one without
             if len(x) > (len(m[1]) if m else 0) and s[-1:] in x[-2:]:
-                n = next((n for n in (len(x), len(x) + 1, len(x) - 1) if n > 1 and len(s) > n and (len(x) > 3 or n == len(x)) and s[-n] in x and one_slip(s[-n:], x)), 0)
+                n = next((n for n in (len(x), len(x) + 1, len(x) - 1) if n > 1 and len(s) > n and (len(x) > 3 or n == len(x)) and s[-n] in x and (one_slip(s[-n:], x) or s[-n] == x[0] and s[-1] == x[-1] and within_one(s[-n:], x))), 0)
                 if n:
                     s, k = s[:-n], x
                     break
         if k is None and m:
-            s, k = s[: m.start()], m[1]
+            s, k = s[: m.start()], m[1] if m[1] in KINDS else next(k for k in KINDS if len(k) == 2 and set(k) == set(m[1]))
         elif k is None and (m := before.search(s)):
-            s, k = s[m.end() :], m[1]
+            s, k = s[m.end() :], m[1] if m[1] in KINDS else next(k for k in KINDS if len(k) == 2 and set(k) == set(m[1]))
         if k is None:
             break
         kind = KINDS[k] if kind is None or KINDS[k] != "church" else kind
