@@ -1,68 +1,77 @@
 """Main text of web pages: flat text blocks, word counts and link densities of a block and its neighbours, a decision tree.
 
-The text has no markup left, so the link density of a line is the share of its characters that lie in phrases sites link with
-(menu and footer words between separators). Each non-blank line is a block; its features are its own, its neighbours' and what
-came before on the page. The tree is fitted on a small labelled table: pages that ``labelled_pages`` composes from invented
-parts, a bounded number given as a parameter. Pages are independent, so the operator is one map over the corpus without a
-shuffle.
+The text has no markup left, so what sites link with is learned from the corpus itself: phrases (lines, or the pieces between
+separators, with figures folded) that stand on many sites, and lines that stand on a good part of one site's pages. The link
+density of a line is the share of its characters in such phrases. Each non-blank line is a block; its features are word count,
+link density, recurrence and shape of the line and of its neighbours and its place on the page, and none of them knows a word.
+The tree is fitted on a small labelled table: pages that ``labelled_sites`` composes from random syllables, a bounded number
+given as a parameter.
+
+Two combinable aggregations gather the recurrence. Phrases on at least LEAST_SHARE of the sites are at most mean distinct
+phrases of a site / LEAST_SHARE, whatever the size of the corpus, and are sent to all tasks; the lines a site repeats on
+LEAST_REPEAT of its pages are at most its mean lines a page / LEAST_REPEAT and are joined to its pages.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parvis.llm.tree import Tree
+from parvis.session import cut
 
-# Words that sites of this kind link with (fixed values).
-MENU = "ホーム 教会案内 教会学校 週報 お知らせ リンク集 献金について 説教集 アクセス ブログ 信仰告白 礼拝案内 牧師紹介 結婚式 年間行事 お問い合わせ はじめての方へ 集会のご案内 採用情報|Home|About|News|Events|Sermons|Worship|Staff|Give|FAQ|Access|Blog|Contact|Calendar|Ministries|Newcomers"
-FOOT = "ページの先頭へ 前の記事へ 次の記事へ プライバシーポリシー シェアする ツイート LINEで送る サイトマップ 無断転載を禁じます 印刷用ページ 同意する メニュー|Privacy policy|Share|Tweet|Email|Previous|Next|All rights reserved|Sitemap|Log in|Back to top|Menu|Menu ☰|OK, got it|Accept all|Reject|Manage preferences"
-SIDE = "お知らせ一覧 人気の記事 アーカイブ 最近の投稿 カテゴリー 関連ページ タグ|Archives|Categories|Recent posts|Tags|Popular|You may also like"
-LINKS = frozenset(w.lower() for part in (MENU, FOOT) for group in part.split("|") for w in (group.split(" ") if ord(group[0]) > 0x3000 else [group]))
-SIDES = frozenset(w.lower() for group in SIDE.split("|") for w in (group.split(" ") if ord(group[0]) > 0x3000 else [group]))
+LEAST_SHARE, LEAST_REPEAT = 0.002, 0.3
+#: A phrase that prose follows this often is a heading rather than a link.
+OPENS = 0.4
+#: ... unless it stands on more than this share of the further pages of its sites.
+STEADY = 0.6
 
-_SPLIT = re.compile(r"\s*[|｜/／>＞»›·]\s*|　+|\s{2,}")
+_SPLIT = re.compile(r"\s*[|｜/／>＞»›·•]\s*|　+|\s{2,}")
 _LEAD = re.compile(r"^[\s・\-*■□●○>＞◆▶►•–—]+")
+_DIGITS = re.compile(r"\d+")
 _TIME = re.compile(r"\d{1,2}[:：]\d{2}")
-_ARCHIVE = re.compile(r"^(\d{4}年\d{1,2}月|\d{1,2}/\d{4}|\d{4}[/-]\d{1,2})\s*[(（]\d+[)）]$")
-_OWNER = re.compile(r"©|\(c\)|copyright|powered by|all rights|転載|(TEL|Tel|電話)[\s:：]*[\d(]", re.I)
-_NOTICE = re.compile(r"cookie|クッキー|small files on your device|アクセス解析|閲覧を続ける|by browsing", re.I)
-_ERROR = re.compile(r"not found|見つかりません|^\s*(404|403|500|503)\b|error", re.I)
-_STANDING = re.compile(r"地域に開かれた|どなたでもどうぞお越し|open to all|everyone is welcome", re.I)
 _FINAL = re.compile(r"[。．.!?！？」』”\")）〜~]$")
 _CUT = re.compile(r"(…|\.\.\.|‥)$")
-_CRUMB = re.compile(r"\s[>＞»›/]\s")
-_NAME = re.compile(r"(?:©|\(c\)|copyright)[\s\d(cC)]*([^.©]{2,40}?)\s*(?:\. All Rights.*)?$|^(.{2,40}?)\s+(?:TEL|Tel)\b", re.I)
+_SENTENCE = re.compile(r"[。！？]|[.!?](?=\s|$|\")")
+_OWNER = re.compile(r"©|\(c\)|copyright|\b(tel|fax)\b", re.I)  # marks of the publisher that hold in any language
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
-FEATURES = ("words", "density", "density_before", "density_after", "words_before", "words_after", "final", "cut", "truncated", "time", "archive", "owner", "notice", "error", "standing", "side", "crumb", "name", "listed", "heading", "after_foot", "in_side", "item_before", "item_after", "sentences", "after_body", "marked", "prose")
+FEATURES = (
+    "words", "density", "common", "opens", "steady", "repeats", "final", "cut", "sentences", "time", "digits", "pieces", "owner", "titled", "bullet", "comma",
+    "words_before", "density_before", "repeats_before", "final_before", "cut_before", "words_after", "density_after", "repeats_after", "final_after", "cut_after",
+    "place", "prose_before", "prose_after", "since_prose", "shut_before", "shut_after", "side_before", "headed",
+)
 
 
-@lru_cache(maxsize=1 << 16)
-def _own(line: str) -> tuple[float, ...]:
-    """Features of one stripped line by itself: words, density, final, cut, truncated, time, archive, owner, notice, error, standing, side, crumb, listed, sentences."""
-    bare = _LEAD.sub("", line)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+@lru_cache(maxsize=1 << 17)
+def _own(line: str) -> tuple:
+    """What a stripped line is by itself: (key, keys of its pieces and their lengths, shape features, is it prose)."""
+    bare = _LEAD.sub("", line) or line
     cjk = len(_CJK.findall(line))
-    words = len(line.split()) if cjk < 0.3 * len(line) else cjk / 2
-    parts = [p for p in _SPLIT.split(bare) if p]
-    if len(parts) <= 1 and " " in bare:
-        tokens = bare.split(" ")
-        parts = tokens if sum(t.lower() in LINKS for t in tokens) > 1 else parts
-    linked = sum(len(p) for p in parts if p.strip(" ☰").lower() in LINKS or p.lower() in LINKS)
-    density = linked / max(1, sum(map(len, parts)))
-    final, cut = bool(_FINAL.search(line)), bool(_CUT.search(line))
-    archive, side = bool(_ARCHIVE.match(line)), bare.lower() in SIDES
-    time, owner = bool(_TIME.search(line)), bool(_OWNER.search(line))
-    long = len(line) >= 24 if cjk >= 0.3 * len(line) else words >= 5
-    sentences = len(re.findall(r"[。！？]|[.!?](?=\s|$|\")", line))
-    truncated = not final and not cut and density == 0 and not archive and not owner and not side and not time and (long or "、" in line or "," in line)
-    return (words, density, final, cut, truncated, time, archive, owner, bool(_NOTICE.search(line)), bool(_ERROR.search(line)), bool(_STANDING.search(line)), side, bool(_CRUMB.search(line)), bare != line, sentences)
+    wide = cjk >= 0.3 * len(line)
+    words = cjk / 2 if wide else len(line.split())
+    sentences = len(_SENTENCE.findall(line))
+    pieces = [p for p in _SPLIT.split(bare) if p]
+    if len(pieces) == 1 and wide and " " in bare and not sentences and not _TIME.search(bare):
+        pieces = bare.split()
+    fold = lambda x: _hash(_DIGITS.sub("0", x).casefold().strip(" ☰"))
+    keys = tuple((fold(p), len(p)) for p in pieces)
+    final, ends = bool(_FINAL.search(line)), bool(_CUT.search(line))
+    digits = sum(c.isdigit() for c in line) / max(1, len(line))
+    shape = (final, ends, min(sentences, 4), bool(_TIME.search(line)), digits, min(len(pieces), 6), bool(_OWNER.search(line)), bare != line, "、" in line or "," in line)
+    return fold(bare), keys, min(words, 40), shape, final and sentences > 0 and words >= 6
 
 
 def lines_of(content: str | None) -> list[tuple[int, str]]:
@@ -70,155 +79,270 @@ def lines_of(content: str | None) -> list[tuple[int, str]]:
     return [(n, s) for n, x in enumerate((content or "").split("\n")) if (s := x.strip(" \t\r　\xa0﻿"))]
 
 
-def features(content: str | None, title: str | None = None) -> tuple[list[int], np.ndarray]:
+def phrases(content: str | None) -> dict[int, bool]:
+    """Keys of the page's lines and their pieces, and whether prose follows the line; 0 stands for the page itself."""
+    own = [_own(s) for _, s in lines_of(content)]
+    out: dict[int, bool] = {0: False}
+    for i, (whole, pieces, _, _, prose) in enumerate(own):
+        if prose and len(pieces) == 1 and own[i][2] >= 20:
+            out[whole] = False
+            continue
+        follows = len(pieces) == 1 and i + 1 < len(own) and own[i + 1][4]
+        for k in {whole, *(k for k, _ in pieces)}:
+            out[k] = out.get(k, False) or follows
+    return out
+
+
+class Known:
+    """Phrases of many sites: how often prose follows them, and the share of the pages of their sites they stand on."""
+
+    def __init__(self, rows: list[tuple[int, float, float]]) -> None:
+        self.of = {k: (opens, steady) for k, opens, steady in rows}
+
+
+def features(content: str | None, title: str | None, known: Known, repeated: frozenset[int] | set[int]) -> tuple[list[int], np.ndarray]:
     """Line numbers and one row of FEATURES per non-blank line."""
     blocks = lines_of(content)
-    k = len(blocks)
-    out = np.zeros((k, len(FEATURES)))
-    if not k:
-        return [], out
+    n = len(blocks)
+    if not n:
+        return [], np.zeros((0, len(FEATURES)))
     own = [_own(s) for _, s in blocks]
-    names = {m.group(1) or m.group(2) for _, s in blocks if (m := _NAME.search(s))}
-    names = {x.strip() for x in names if x and ".example" not in x}
-    heads = {_key(title)} - {""}
-    for (_, s), o in zip(blocks, own):
-        if o[12]:
-            heads.add(_key(_CRUMB.split(s)[-1]))
-    dense = [o[1] for o in own]
-    item = [bool(o[3] or o[4] or o[6] or o[11]) for o in own]
-    foot = side = body = 0
-    for i, ((_, s), o) in enumerate(zip(blocks, own)):
-        is_foot = (o[1] >= 0.5 and _LEAD.sub("", s).strip().lower().split("　")[0] in _FEET) or o[7]
-        named = 2 * (s in names) + any(s.startswith(x) for x in names)
-        if o[11] or o[6]:
-            side = 1
-        elif side and o[14] >= 2 and o[2] and not o[3] and not o[10]:
-            side = 0
-        marked = o[1] >= 0.5 or o[3] or o[4] or any(o[6:13])
-        out[i] = (min(o[0], 30), o[1], dense[i - 1] if i else 1, dense[i + 1] if i + 1 < k else 1, min(own[i - 1][0], 30) if i else 0, min(own[i + 1][0], 30) if i + 1 < k else 0, o[2], o[3], o[4], o[5], o[6], o[7], o[8], o[9], o[10], o[11], o[12], named, o[13], _key(s) in heads, foot, side, item[i - 1] if i else 0, item[i + 1] if i + 1 < k else 0, min(o[14], 3), body, marked, o[2] and o[14] >= 1 and not marked)
-        foot = max(foot, is_foot and o[7] + (body > 0))
-        if o[14] >= 1 and o[2] and not (o[3] or o[8] or o[10] or o[7]) or o[5]:
-            body = 1
-    return [n for n, _ in blocks], out
-
-
-_FEET = frozenset(w.lower() for group in FOOT.split("|") for w in (group.split(" ") if ord(group[0]) > 0x3000 else [group])) - {"menu", "menu ☰", "メニュー", "同意する", "ok, got it", "accept all"}
-
-
-def _key(text: str | None) -> str:
-    return re.sub(r"[\s\d　]+$", "", text or "").strip()
-
-
-def labelled_pages(count: int = 2000, seed: int = 7) -> list[tuple[str, str, list[bool]]]:
-    """The small labelled table: (title, content, is the line body), composed of invented parts."""
+    name = re.sub(r"[\s\d　]+$", "", title or "").strip().casefold()
+    base = np.zeros((n, 16))
+    for i, ((_, s), (whole, pieces, words, shape, _)) in enumerate(zip(blocks, own)):
+        linked = total = 0
+        for k, size in pieces:
+            total += size
+            hit = known.of.get(k)
+            if (hit and (hit[0] < OPENS or hit[1] > STEADY)) or k in repeated:
+                linked += size
+        hit = known.of.get(whole)
+        opens, steady = hit or (0.0, 0.0)
+        titled = bool(name) and re.sub(r"[\s\d　]+$", "", _SPLIT.split(_LEAD.sub("", s))[-1]).strip().casefold() == name
+        base[i] = (words, linked / max(1, total), hit is not None, opens >= OPENS and steady <= STEADY, round(steady, 1), whole in repeated, *shape[:7], titled, *shape[7:])
+    prose = np.array([o[4] for o in own]) & (base[:, 1] < 0.5) & (base[:, 5] == 0)
+    ends = np.zeros((1, 16))
+    before, after = np.concatenate([ends, base[:-1]]), np.concatenate([base[1:], ends])
+    side = [0, 1, 5, 6, 7]
+    seen = np.cumsum(prose) - prose
+    left = prose.sum() - seen - prose
+    at = np.arange(n)
+    last = np.maximum.accumulate(np.where(prose, at, -1))
+    since = np.where(last >= 0, at - last, 50)
+    # lines before and after that links or repeated lines fill
+    dense = (base[:, 1] >= 0.5) | (base[:, 5] > 0)
+    shut = np.cumsum(dense) - dense
+    # a list of teasers: the nearest heading above that opens no prose, or figures in brackets, without prose of several sentences since
+    lead = (dense & (base[:, 0] < 12)) | (base[:, 7] > 0)
+    long = prose & (base[:, 8] >= 2)
+    opened = np.maximum.accumulate(np.where(lead, at, -1))
+    closed = np.maximum.accumulate(np.where(long, at, -1))
+    in_side = (opened > closed).astype(float) * np.minimum(at - opened, 9)
+    headed = np.concatenate([[0], base[:-1, 13]])
+    out = np.column_stack([base, before[:, side], after[:, side], np.round(at / n, 1), np.minimum(seen, 5), np.minimum(left, 5), np.minimum(since, 50), np.minimum(shut, 20), np.minimum(dense.sum() - shut - dense, 20), in_side, headed])
+    return [k for k, _ in blocks], out
+
+
+def _gather(count: dict, site, content: str) -> None:
+    """Adds a page to (site, phrase): rows, rows where prose follows, bit set of the different contents."""
+    bit = 1 << (_hash(content or "") & 63)
+    for k, follows in phrases(content).items():
+        c = count.setdefault((site, k), [0, 0, 0])
+        c[0] += 1
+        c[1] += follows
+        c[2] |= bit
+
+
+#: Sites of at most so many rows count their different contents by a bit set, so that a page fetched again isn't two.
+FEW = 32
+
+
+def _pages(c: list[int], site: list[int]) -> int:
+    return c[2].bit_count() if site[0] <= FEW else c[0]
+
+
+def _recurring(pages: list[tuple[str, str]]) -> tuple[Known, dict[str, set[int]]]:
+    """The recurrence tables of a small corpus of (site, content), as ``recurrence`` works them out for a large one."""
+    count: dict[tuple[str, int], list[int]] = {}
+    for site, content in pages:
+        _gather(count, site, content)
+    total = {s: _pages(c, c) for (s, k), c in count.items() if k == 0}
+    sites, n, opens, more, held = Counter(), Counter(), Counter(), Counter(), Counter()
+    repeated: dict[str, set[int]] = {}
+    for (s, k), c in count.items():
+        if k:
+            own = _pages(c, count[s, 0])
+            sites[k] += 1
+            n[k] += c[0]
+            opens[k] += c[1]
+            more[k] += own - 1
+            held[k] += total[s] - 1
+            if own >= 2 and own >= LEAST_REPEAT * total[s]:
+                repeated.setdefault(s, set()).add(k)
+    least = max(3, LEAST_SHARE * len(total))
+    return Known([(k, opens[k] / n[k], more[k] / max(1, held[k])) for k, h in sites.items() if h >= least]), repeated
+
+
+def recurrence(pages: DataFrame) -> tuple[list[tuple[int, float, float]], DataFrame]:
+    """(phrases of many sites, (site, repeated: what the site repeats)) of pages with page_id, site, content."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: dict[tuple[int, int], list[int]] = {}
+            for site, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _gather(met, site, content)
+            if met:
+                keys, values = np.array(list(met), np.int64), np.array(list(met.values()), np.uint64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys.T, *values.T)], ["site", "k", "n", "opens", "bits"])
+
+    met = pages.select("site", "content").mapInArrow(scan, "site bigint, k bigint, n bigint, opens bigint, bits bigint")
+    met = cut(met.groupBy("site", "k").agg(F.sum("n").alias("n"), F.sum("opens").alias("opens"), F.bit_or("bits").alias("bits")))
+    totals = cut(met.where("k = 0").select("site", F.col("n").alias("rows"), F.when(F.col("n") <= FEW, F.bit_count("bits")).otherwise(F.col("n")).alias("pages")))
+    sites = totals.count()
+    least = max(3, LEAST_SHARE * sites)
+    held = met.where("k != 0").join(totals, "site").withColumn("own", F.when(F.col("rows") <= FEW, F.bit_count("bits")).otherwise(F.col("n")))
+    wide = held.groupBy("k").agg(F.count("*").alias("sites"), (F.sum("opens") / F.sum("n")).alias("opens"), (F.sum(F.col("own") - 1) / F.greatest(F.sum(F.col("pages") - 1), F.lit(1))).alias("steady")).where(F.col("sites") >= least)
+    known = [(r.k, r.opens, r.steady) for r in wide.collect()]  # at most mean phrases of a site / LEAST_SHARE rows
+    repeated = held.where("own >= 2").where(F.col("own") >= LEAST_REPEAT * F.col("pages")).groupBy("site").agg(F.collect_set("k").alias("repeated"))
+    return known, repeated
+
+
+def _word(pick: random.Random, cjk: bool) -> str:
+    if cjk:
+        return "".join(chr(pick.choice([pick.randint(0x4E00, 0x6FFF), pick.randint(0x3042, 0x3093)])) for _ in range(pick.randint(1, 3)))
+    return "".join(pick.choice("bdfgklmnprstvz") + pick.choice("aeiou") for _ in range(pick.randint(1, 3))) + pick.choice(["", "n", "s", "r"])
+
+
+class _Pool:
+    """Random phrases of one language that the sites of a composed corpus share."""
+
+    def __init__(self, pick: random.Random, cjk: bool) -> None:
+        self.pick, self.cjk, self.joint = pick, cjk, "" if cjk else " "
+        some = lambda few, many, low, high: [self.phrase(low, high) for _ in range(pick.randint(few, many))]
+        self.menu, self.foot, self.sides, self.heads, self.meetings, self.errors, self.buttons = some(14, 30, 1, 3), some(7, 15, 1, 3), some(3, 9, 1, 3), some(4, 14, 1, 3), some(4, 9, 1, 3), some(1, 3, 2, 4), some(1, 4, 1, 2)
+        self.closings = [self.phrase(1, 2), f"（{self.phrase(1, 1)}）", self.phrase(1, 3)]
+        self.notices = [self.sentence(8, 14) + self.joint + self.sentence(4, 8) for _ in range(5)]
+        self.openings, self.invitations = [self.phrase(4, 7) for _ in range(3)], [self.sentence(4, 7) for _ in range(3)]
+        self.stock = [self.sentence(7, 16) for _ in range(60)]  # sentences that several writers use
+
+    def phrase(self, low: int, high: int) -> str:
+        words = [_word(self.pick, self.cjk) for _ in range(self.pick.randint(low, high))]
+        return self.joint.join(words) if self.cjk else self.joint.join(words).capitalize()
+
+    def sentence(self, low: int = 7, high: int = 18) -> str:
+        words = [_word(self.pick, self.cjk) for _ in range(self.pick.randint(low, high))]
+        if self.pick.random() < 0.5:
+            words[len(words) // 2] += "、" if self.cjk else ","
+        quoted = self.pick.random() < 0.08
+        text = self.joint.join(words)
+        text = text if self.cjk else text.capitalize()
+        end = self.pick.choice("。。。？" if self.cjk else "...?")
+        return f"「{text}」{_word(self.pick, True)}{end}" if quoted and self.cjk else f'"{text}," {_word(self.pick, False)}.' if quoted else text + end
+
+
+def labelled_sites(pages: int = 6000, seed: int = 7) -> list[tuple[str, str, str, list[bool]]]:
+    """The small labelled table: (site, title, content, is the line body), of about ``pages`` pages on a sixth as many sites."""
     pick = random.Random(seed)
-    ja, en = _parts()
-    out = []
-    for _ in range(count):
-        p = ja if pick.random() < 0.7 else en
-        name = pick.choice(p["names"])
-        title = pick.choice(p["heads"]) + (f" {pick.randint(2, 400)}" if pick.random() < 0.4 else "")
-        lines: list[tuple[str, bool]] = []
-        no = lambda *x: lines.extend((s, False) for s in x)
-        notice = [pick.choice(p["notices"])] * (pick.random() < 0.5) + [pick.choice(p["buttons"])] * (pick.random() < 0.4)
-        menu = pick.sample(p["menu"], pick.randint(1, 10))
-        style = pick.random()
-        if style < 0.4:
-            menu = [pick.choice(["", "- ", "・ ", "■ ", "> ", "* "]) * (style < 0.2) + m for m in menu]
-        elif style < 0.9:
-            menu = [pick.choice([" | ", " / ", "　", "｜", " » "]).join(menu)] * (style < 0.8)
-        else:
-            menu = [" ".join(menu[: len(menu) // 2]), " ".join(menu[len(menu) // 2 :])]
-        crumb = pick.choice([" > ", " / ", " » "]).join([pick.choice(p["menu"]), pick.choice(p["menu"]), title])
-        notice_first, error = pick.random() < 0.5, pick.random() < 0.06
-        front = [notice * notice_first, [name] * (pick.random() < 0.7), [p["menu_button"]] * (pick.random() < 0.2), menu, [crumb] * (pick.random() < 0.5)]
-        if pick.random() < 0.3:
-            pick.shuffle(front)
-        no(*(x for part in front for x in part if x))
-        side: list[tuple[str, bool]] = []
-        if pick.random() < 0.75:
-            side.append((pick.choice(p["sides"]), False))
-            for _ in range(pick.randint(1, 6)):
-                s = pick.choice(p["sentences"])
-                cut = max(6, int(len(s) * pick.uniform(0.3, 0.95)))
-                kind = pick.random()
-                side.append((p["archive"](pick) if kind < 0.6 else s[:cut] + "…" if kind < 0.8 else s + "…" if kind < 0.82 else s if kind < 0.84 else s[:cut], False))
-        first, start = pick.random() < 0.45, len(lines)
-        if error:
-            no(pick.choice(p["errors"]))
-        elif pick.random() < 0.93:
-            if pick.random() < 0.6:
-                lines.append((title, True))
-            for _ in range(pick.randint(1, 6)):
-                kind = pick.random()
-                if kind < 0.55:
-                    lines.append((p["joint"].join(pick.choice(p["sentences"]) for _ in range(pick.choice([1, 1, 2, 3, 4, 7]))), True))
-                elif kind < 0.75:
-                    lines += [(f"{pick.choice(p['bullets'])}{pick.choice(p['meetings'])} {pick.randint(6, 20)}:{pick.choice(['00', '15', '30'])}{p['from']}", True) for _ in range(pick.randint(1, 5))]
-                else:
-                    lines.append((pick.choice(p["heads"]), True))
-            if pick.random() < 0.3:
-                lines.append((pick.choice(p["closings"]), True))
-        at = pick.randint(start, len(lines)) if first else len(lines)
-        lines[at:at] = side
-        back = [[x] for x in pick.sample(p["foot"], pick.randint(0, 6))]
-        if pick.random() < 0.7:
-            back.append([pick.choice([f"© {pick.randint(2005, 2025)} {name}", f"Copyright(C) {name}. All Rights Reserved.", f"{name} TEL 0{pick.randint(10, 99)}-555-{pick.randint(1000, 9999)}", f"(c){pick.randint(2005, 2025)} site-{pick.randint(100, 999)}.example"])])
-        back.append([p["standing"](name, pick.choice(p["sentences"]))] * (pick.random() < 0.3))
-        back.append(notice * (not notice_first))
-        if pick.random() < 0.3:
-            pick.shuffle(back)
-        no(*(x for part in back for x in part))
-        out.append((title, "\n".join(s for s, _ in lines), [b for _, b in lines]))
+    pools = [_Pool(pick, k % 3 < 2) for k in range(9)]
+    out: list[tuple[str, str, str, list[bool]]] = []
+    while len(out) < pages:
+        p = pick.choice(pools)
+        name, site = p.phrase(2, 4), f"s{len(out)}"
+        menu, style, mark = pick.sample(p.menu, pick.randint(2, 12)), pick.random(), pick.random()
+        if pick.random() < 0.6:  # most sites keep one order, and many end with the same entry
+            menu = [m for m in p.menu[:-1] if m in menu] + [p.menu[-1]] * (pick.random() < 0.6)
+        menu = menu or [p.menu[0]]
+        notice, button, notice_first = pick.choice(p.notices), pick.choice(p.buttons), pick.random() < 0.5
+        standing = pick.choice([name + pick.choice(p.openings) + ("。" if p.cjk else ". "), ""]) + p.joint + p.sentence() + p.joint + pick.choice(p.invitations)
+        owner = pick.choice([f"© {pick.randint(2005, 2025)} {name}", f"Copyright(C) {name}. {p.foot[0]}.", f"{name} TEL 0{pick.randint(10, 99)}-555-{pick.randint(1000, 9999)}", f"(c){pick.randint(2005, 2025)} {_word(pick, False)}.example", name])
+        has = {k: pick.random() < s for k, s in (("name", 0.75), ("notice", 0.55), ("crumb", 0.5), ("standing", 0.35), ("owner", 0.75), ("shuffle", 0.2), ("first", 0.45), ("side", 0.75), ("button", 0.5))}
+        fresh = [p.sentence() for _ in range(60)]
+        for _ in range(pick.choice([1, 2, 3, 5, 8, 12])):
+            out.append(_page(pick, p, site, name, menu, style, mark, notice, button, notice_first, standing, owner, has, fresh))
     return out
 
 
-def _parts() -> tuple[dict, dict]:
-    """Invented parts of Japanese and English pages."""
-    words = lambda text, cjk: [w for g in text.split("|") if (ord(g[0]) > 0x3000) == cjk for w in (g.split(" ") if cjk else [g])]
-    ja = {
-        "names": ["丘の上教会", "第二ひかり町キリスト教会", "みどり野伝道所", "南ひばり福音教会"], "heads": ["ごあいさつ", "集会の記録", "牧師室より", "活動報告", "今週の説教から", "子どもたちの様子", "礼拝のご案内", "交通のご案内"],
-        "notices": ["当サイトではクッキーを使用しています。続けると同意したものとみなします。", "利便性向上のためCookieを利用します。詳しくは方針をご覧ください。", "アクセス解析の情報を集めることがあります。設定は変更できます。"], "buttons": ["同意する"], "menu_button": "メニュー",
-        "menu": words(MENU, True), "sides": words(SIDE, True), "foot": [*(w for w in words(FOOT, True) if w not in ("同意する", "メニュー", "シェアする", "ツイート", "前の記事へ")), "前の記事へ　次の記事へ", "シェアする　ツイート　LINEで送る"], "errors": ["ページが見つかりません", "お探しのページは見つかりませんでした。"],
-        "sentences": ["夏の朝、子どもたちは庭で花に水をやりました。", "どうして待つことはこれほど難しいのでしょうか。", "「赦しは静かなものです」と長老は語りました。", "坂の途中のパン屋さんから、焼きたてのパンが届きました。", "風の強い一日でしたが、二十人ほどが集まり、讃美歌を歌いました。", "会堂の屋根の修理には30万円ほどかかる見込みです。"],
-        "joint": "", "bullets": ["", "・", "○", "- "], "meetings": ["主日礼拝", "祈祷会", "教会学校", "聖書研究会", "夕拝"], "from": "〜", "closings": ["アーメン", "以上", "感謝をこめて", "（続く）"],
-        "archive": lambda r: f"{r.randint(2015, 2026)}年{r.randint(1, 12)}月 ({r.randint(1, 30)})", "standing": lambda n, s: f"{n}は地域に開かれた群れです。{s}どなたでもどうぞお越しください。",
-    }
-    en = {
-        "names": ["Hilltop Church", "北みどり教会", "Second Harbour Chapel"], "heads": ["Report", "Our story", "This week", "Service times", "Getting here", "From the pastor"],
-        "notices": ["We use cookies to improve your visit. By browsing on you accept them.", "This site stores small files on your device; see our policy."], "buttons": ["OK, got it", "Accept all | Reject | Manage preferences"], "menu_button": "Menu ☰",
-        "menu": words(MENU, False), "sides": words(SIDE, False), "foot": ["Privacy policy", "Sitemap", "Share  Tweet  Email", "Previous | Next", "Back to top", "Log in", "All rights reserved", "Powered by PageMill"], "errors": ["Page not found", "404 Not Found"],
-        "sentences": ["On a bright morning the children watered the flowers in the yard.", "Why is waiting so hard for all of us?", '"forgiveness is a quiet thing," said an elder.', "Fresh bread arrived from the bakery down the hill, and the choir shared it.", "Repairs to the roof will cost about 30 thousand yen."],
-        "joint": " ", "bullets": ["", "- ", "* "], "meetings": ["Morning worship", "Prayer meeting", "Bible study", "Choir practice"], "from": "", "closings": ["Amen", "（続く）", "With thanks", "以上"],
-        "archive": lambda r: f"{r.randint(1, 12):02d}/{r.randint(2015, 2026)} ({r.randint(1, 30)})", "standing": lambda n, s: f"{n} is a community open to all. {s}",
-    }
-    return ja, en
-
-
-@lru_cache(maxsize=1)
-def fitted(count: int = 2000, depth: int = 16) -> Tree:
-    """The tree, fitted on ``count`` labelled pages."""
+def _page(pick, p, site, name, menu, style, mark, notice, button, notice_first, standing, owner, has, fresh) -> tuple[str, str, str, list[bool]]:
+    title = pick.choice(p.heads) + (f" {pick.randint(2, 400)}" if pick.random() < 0.4 else "")
+    lines: list[tuple[str, bool]] = []
+    told = ([notice] if has["notice"] and pick.random() < 0.9 else []) + ([button] if has["button"] else [])
+    shown = menu if pick.random() < 0.6 else [m for m in menu if pick.random() < 0.7] or menu[-1:]
+    if style < 0.45:
+        top = [(pick.choice(["- ", "・ ", "■ ", "> ", "* "]) if mark < 0.5 else "") + m for m in shown]
+    elif style < 0.85:
+        top = [pick.choice([" | ", " / ", "　", "｜", " » "]).join(shown)]
+    else:
+        half = max(1, len(shown) // 2)
+        top = [x for x in (" ".join(shown[:half]), " ".join(shown[half:])) if x]
+    crumb = pick.choice([" > ", " / ", " » "]).join([pick.choice(p.menu), pick.choice(p.menu), title])
+    front = [told * notice_first, [name] * has["name"], top, [crumb] * has["crumb"]]
+    if has["shuffle"]:
+        pick.shuffle(front)
+    lines += [(x, False) for part in front for x in part if x]
+    side: list[tuple[str, bool]] = []
+    if has["side"]:
+        side.append((pick.choice(p.sides), False))
+        for _ in range(pick.randint(1, 7)):
+            s = pick.choice(p.stock if pick.random() < 0.3 else fresh)
+            at, kind = max(5, int(len(s) * pick.uniform(0.3, 0.95))), pick.random()
+            archive = f"{pick.randint(2015, 2026)}年{pick.randint(1, 12)}月 ({pick.randint(1, 30)})" if p.cjk else f"{pick.randint(1, 12):02d}/{pick.randint(2015, 2026)} ({pick.randint(1, 30)})"
+            side.append((archive if kind < 0.5 else s[:at] + "…" if kind < 0.72 else s + "…" if kind < 0.75 else s if kind < 0.79 else s[:at], False))
+    start, empty = len(lines), pick.random()
+    if empty < 0.06:
+        lines += [(pick.choice(p.errors), False)]
+    elif empty < 0.95:
+        if pick.random() < 0.6:
+            lines.append((title, True))
+        for _ in range(pick.randint(1, 9)):
+            kind = pick.random()
+            if kind < 0.6:
+                lines.append((p.joint.join(pick.choice(p.stock if pick.random() < 0.12 else fresh) for _ in range(pick.choice([1, 1, 2, 3, 4, 6]))), True))
+            elif kind < 0.78:
+                lines += [(f"{pick.choice(['', '・', '○', '- '])}{pick.choice(p.meetings)} {pick.randint(6, 20)}:{pick.choice(['00', '15', '30', '45'])}{'〜' if p.cjk else ''}", True) for _ in range(pick.randint(1, 5))]
+            else:
+                lines.append((pick.choice(p.heads), True))
+        if pick.random() < 0.3:
+            lines.append((pick.choice(p.closings), True))
+    at = start if has["first"] and pick.random() < 0.6 else pick.randint(start, len(lines)) if has["first"] else len(lines)
+    lines[at:at] = side
+    back = [[x] for x in pick.sample(p.foot, pick.randint(0, min(7, len(p.foot))))]
+    if pick.random() < 0.3:
+        back.append([pick.choice(["　", "  ", " | "]).join(pick.sample(p.foot, 3))])
+    back += [[owner] * has["owner"], [standing] * has["standing"], told * (not notice_first)]
+    if has["shuffle"] or pick.random() < 0.3:
+        pick.shuffle(back)
+    lines += [(x, False) for part in back for x in part]
+    if pick.random() < 0.3:  # blank lines between blocks
+        lines = [y for x in lines for y in (x, *([("", False)] if pick.random() < 0.15 else []))]
+    return site, title, "\n".join(s for s, _ in lines), [b for _, b in lines]
+
+
+def table_of(pages: list[tuple[str, str, str, list[bool]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of labelled pages, with the recurrence of their own corpus."""
+    known, repeated = _recurring([(s, c) for s, _, c, _ in pages])
     rows, labels = [], []
-    for n, (title, content, body) in enumerate(labelled_pages(count)):
-        _, x = features(content, title if n % 2 else None)
+    for n, (site, title, content, body) in enumerate(pages):
+        numbers, x = features(content, title if n % 2 else None, known, repeated.get(site, set()))
         rows.append(x)
-        labels += body
-    return Tree(depth).fit(np.concatenate(rows), np.array(labels, float))
+        labels += [body[k] for k in numbers]
+    return np.concatenate(rows), np.array(labels, float)
 
 
-def body_lines(content: str | None, title: str | None, tree: Tree) -> list[int]:
-    numbers, x = features(content, title)
-    return [numbers[i] for i in np.flatnonzero(tree.score(x) >= 0.5)] if numbers else []
+@lru_cache(maxsize=1)
+def fitted(count: int = 6000, depth: int = 13, least: int = 8) -> Tree:
+    """The tree, fitted on about ``count`` labelled pages."""
+    return Tree(depth, least).fit(*table_of(labelled_sites(count)))
 
 
 class _Scan:
-    def __init__(self, tree: Tree, text: bool) -> None:
-        self.tree, self.text = tree, text
+    def __init__(self, tree: Tree, known, text: bool) -> None:
+        self.tree, self.known, self.text = tree, known, text
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(self.known.value)
         for batch in batches:
-            titles, contents = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            made = [features(c, t) for c, t in zip(contents, titles)]
+            titles, contents, repeated = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            made = [features(c, t, known, set(r or ())) for c, t, r in zip(contents, titles, repeated)]
             score = self.tree.score(np.concatenate([x for _, x in made])) if made else np.zeros(0)
             kept, at = [], 0
             for numbers, x in made:
@@ -235,21 +359,29 @@ class _Scan:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array([n for k in kept for n in k], pa.int32())], ["page_id", "line_no"])
 
 
-def _pages(pages: DataFrame, page_id: str, title: str | None, content: str) -> DataFrame:
+def _prepared(pages: DataFrame, page_id: str, title: str | None, content: str, url: str | None) -> tuple[DataFrame, list]:
+    """page_id, title, content and what the page's site repeats; and the phrases of many sites."""
     name = F.col(title).cast("string") if title and title in pages.columns else F.lit(None).cast("string")
-    return pages.select(F.col(page_id).alias("page_id"), name.alias("title"), F.col(content).cast("string").alias("content"))
+    host: Column = F.regexp_extract(F.lower(F.col(url)), r"^[a-z]+://([^/?#]+)", 1) if url and url in pages.columns else F.lit("")
+    site = F.xxhash64(F.coalesce(F.nullif(host, F.lit("")), F.concat(F.lit("page:"), F.col(page_id).cast("string"))))
+    own = pages.select(F.col(page_id).alias("page_id"), name.alias("title"), F.col(content).cast("string").alias("content"), site.alias("site"))
+    known, repeated = recurrence(own.where("content is not null"))
+    return own.join(repeated, "site", "left").select("page_id", "title", "content", "repeated"), known
 
 
-def find_body_lines(pages: DataFrame, *, page_id: str = "page_id", title: str | None = "title", content: str = "content") -> DataFrame:
+def find_body_lines(pages: DataFrame, *, page_id: str = "page_id", title: str | None = "title", content: str = "content", url: str | None = "url") -> DataFrame:
     """(page_id, line_no) of the non-blank lines of the page's own body; lines are split at \\n and counted from 0.
 
-    Null, empty and blank content give no row; every input row counts, repeated ones too.
+    Null, empty and blank content give no row; every input row counts, repeated ones too. Pages without a readable url are
+    sites of their own.
     """
     kind = pages.schema[page_id].dataType.simpleString()
-    return _pages(pages, page_id, title, content).where("content is not null").mapInArrow(_Scan(fitted(), False), f"page_id {kind}, line_no int")
+    full, known = _prepared(pages.where(F.col(content).isNotNull()), page_id, title, content, url)
+    return full.mapInArrow(_Scan(fitted(), pages.sparkSession.sparkContext.broadcast(known), False), f"page_id {kind}, line_no int")
 
 
-def extract_body(pages: DataFrame, *, page_id: str = "page_id", title: str | None = "title", content: str = "content") -> DataFrame:
+def extract_body(pages: DataFrame, *, page_id: str = "page_id", title: str | None = "title", content: str = "content", url: str | None = "url") -> DataFrame:
     """One row per page: page_id, body (its own lines joined by \\n; null for null content) and their number."""
     kind = pages.schema[page_id].dataType.simpleString()
-    return _pages(pages, page_id, title, content).mapInArrow(_Scan(fitted(), True), f"page_id {kind}, body string, body_lines int")
+    full, known = _prepared(pages, page_id, title, content, url)
+    return full.mapInArrow(_Scan(fitted(), pages.sparkSession.sparkContext.broadcast(known), True), f"page_id {kind}, body string, body_lines int")
