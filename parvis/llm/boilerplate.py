@@ -38,9 +38,6 @@ _SPLIT = re.compile(r"\s*[|｜/／>＞»›·•]\s*|　+|\s{2,}")
 _LEAD = re.compile(r"^[\s・\-*■□●○>＞◆▶►•–—]+")
 _DIGITS = re.compile(r"\d+")
 _TIME = re.compile(r"\d{1,2}[:：]\d{2}")
-_FINAL = re.compile(r"[。．.!?！？」』”\")）〜~]$")
-_CUT = re.compile(r"(…|\.\.\.|‥)$")
-_SENTENCE = re.compile(r"[。！？]|[.!?](?=\s|$|\")")
 _OWNER = re.compile(r"©|\(c\)|copyright|\b(tel|fax)\b", re.I)  # marks of the publisher that hold in any language
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
@@ -55,23 +52,38 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+_MARKS = frozenset("・-*■□●○>＞◆▶►•–— \t")
+_ENDS = frozenset("。．.!?！？」』”\")）〜~")
+_NO_DIGITS = {c: None for c in map(ord, "0123456789０１２３４５６７８９")}
+
+
+def _fold(text: str) -> int:
+    return _hash(_DIGITS.sub("0", text).casefold().strip(" ☰"))
+
+
 @lru_cache(maxsize=1 << 17)
 def _own(line: str) -> tuple:
-    """What a stripped line is by itself: (key, keys of its pieces and their lengths, shape features, is it prose)."""
-    bare = _LEAD.sub("", line) or line
-    cjk = len(_CJK.findall(line))
-    wide = cjk >= 0.3 * len(line)
-    words = cjk / 2 if wide else len(line.split())
-    sentences = len(_SENTENCE.findall(line))
-    pieces = [p for p in _SPLIT.split(bare) if p]
-    if len(pieces) == 1 and wide and " " in bare and not sentences and not _TIME.search(bare):
-        pieces = bare.split()
-    fold = lambda x: _hash(_DIGITS.sub("0", x).casefold().strip(" ☰"))
-    keys = tuple((fold(p), len(p)) for p in pieces)
-    final, ends = bool(_FINAL.search(line)), bool(_CUT.search(line))
-    digits = sum(c.isdigit() for c in line) / max(1, len(line))
-    shape = (final, ends, min(sentences, 4), bool(_TIME.search(line)), digits, min(len(pieces), 6), bool(_OWNER.search(line)), bare != line, "、" in line or "," in line)
-    return fold(bare), keys, min(words, 40), shape, final and sentences > 0 and words >= 6
+    """What a stripped line is by itself: (key, keys of its pieces and their lengths, words, shape features, is it prose, bare)."""
+    bare = (_LEAD.sub("", line) or line) if line[0] in _MARKS else line
+    size, spaces = len(line), line.count(" ")
+    wide = not line.isascii() and spaces * 14 < size + 10 and bool(_CJK.search(line))  # a script without spaces between words
+    words = size / 2 if wide else spaces + 1
+    sentences = line.count("。") + line.count("！") + line.count("？") if wide else 0
+    if not wide or not sentences:
+        sentences += line.count(". ") + line.count("? ") + line.count("! ") + line.endswith((".", "?", "!", '."', '?"', '!"'))
+    final = line[-1] in _ENDS
+    timed = ":" in line or "：" in line
+    if final and sentences and words >= 20:  # running prose has no pieces
+        pieces = [bare]
+    else:
+        pieces = [p for p in _SPLIT.split(bare) if p]
+        if len(pieces) == 1 and wide and " " in bare and not sentences and not timed:
+            pieces = bare.split()
+    digits = size - len(line.translate(_NO_DIGITS))
+    key = _fold(bare)
+    keys = ((key, len(bare)),) if len(pieces) == 1 else tuple((_fold(p), len(p)) for p in pieces)
+    shape = (final, line.endswith(("…", "...", "‥")), min(sentences, 4), timed and bool(_TIME.search(line)), digits / size, min(len(pieces), 6), size < 160 and bool(_OWNER.search(line)), bare is not line, "、" in line or "," in line)
+    return key, keys, min(words, 40), shape, final and sentences > 0 and words >= 6, bare
 
 
 def lines_of(content: str | None) -> list[tuple[int, str]]:
@@ -83,8 +95,8 @@ def phrases(content: str | None) -> dict[int, bool]:
     """Keys of the page's lines and their pieces, and whether prose follows the line; 0 stands for the page itself."""
     own = [_own(s) for _, s in lines_of(content)]
     out: dict[int, bool] = {0: False}
-    for i, (whole, pieces, _, _, prose) in enumerate(own):
-        if prose and len(pieces) == 1 and own[i][2] >= 20:
+    for i, (whole, pieces, words, _, prose, _) in enumerate(own):
+        if prose and len(pieces) == 1 and words >= 20:
             out[whole] = False
             continue
         follows = len(pieces) == 1 and i + 1 < len(own) and own[i + 1][4]
@@ -100,47 +112,68 @@ class Known:
         self.of = {k: (opens, steady) for k, opens, steady in rows}
 
 
-def features(content: str | None, title: str | None, known: Known, repeated: frozenset[int] | set[int]) -> tuple[list[int], np.ndarray]:
-    """Line numbers and one row of FEATURES per non-blank line."""
-    blocks = lines_of(content)
-    n = len(blocks)
-    if not n:
-        return [], np.zeros((0, len(FEATURES)))
-    own = [_own(s) for _, s in blocks]
-    name = re.sub(r"[\s\d　]+$", "", title or "").strip().casefold()
-    base = np.zeros((n, 16))
-    for i, ((_, s), (whole, pieces, words, shape, _)) in enumerate(zip(blocks, own)):
-        linked = total = 0
-        for k, size in pieces:
-            total += size
-            hit = known.of.get(k)
-            if (hit and (hit[0] < OPENS or hit[1] > STEADY)) or k in repeated:
-                linked += size
-        hit = known.of.get(whole)
-        opens, steady = hit or (0.0, 0.0)
-        titled = bool(name) and re.sub(r"[\s\d　]+$", "", _SPLIT.split(_LEAD.sub("", s))[-1]).strip().casefold() == name
-        base[i] = (words, linked / max(1, total), hit is not None, opens >= OPENS and steady <= STEADY, round(steady, 1), whole in repeated, *shape[:7], titled, *shape[7:])
-    prose = np.array([o[4] for o in own]) & (base[:, 1] < 0.5) & (base[:, 5] == 0)
-    ends = np.zeros((1, 16))
-    before, after = np.concatenate([ends, base[:-1]]), np.concatenate([base[1:], ends])
-    side = [0, 1, 5, 6, 7]
-    seen = np.cumsum(prose) - prose
-    left = prose.sum() - seen - prose
+def _plain(text: str) -> str:
+    return text.rstrip("0123456789 　").strip().casefold()
+
+
+def features(contents: list[str | None], titles: list[str | None], known: Known, repeated: list) -> tuple[list[list[int]], np.ndarray]:
+    """Line numbers of each page and one row of FEATURES per non-blank line of all pages, in their order."""
+    numbers, rows, sizes, prose = [], [], [], []
+    of = known.of
+    for content, title, again in zip(contents, titles, repeated):
+        blocks = lines_of(content)
+        numbers.append([n for n, _ in blocks])
+        sizes.append(len(blocks))
+        again = frozenset(again or ())
+        name = _plain(title or "")
+        for _, s in blocks:
+            whole, pieces, words, shape, is_prose, bare = _own(s)
+            linked = total = 0
+            for k, size in pieces:
+                total += size
+                hit = of.get(k)
+                if (hit and (hit[0] < OPENS or hit[1] > STEADY)) or k in again:
+                    linked += size
+            hit = of.get(whole)
+            opens, steady = hit or (0.0, 0.0)
+            repeats = whole in again
+            titled = bool(name) and len(bare) < 200 and _plain(bare).endswith(name) and _plain(_SPLIT.split(bare)[-1]) == name
+            density = linked / total if total else 0.0
+            rows.append((words, density, hit is not None, opens >= OPENS and steady <= STEADY, round(steady, 1), repeats, *shape[:7], titled, *shape[7:]))
+            prose.append(is_prose and density < 0.5 and not repeats)
+    if not rows:
+        return numbers, np.zeros((0, len(FEATURES)))
+    base, prose, sizes = np.array(rows, float), np.array(prose), np.array(sizes)
+    n = len(base)
     at = np.arange(n)
-    last = np.maximum.accumulate(np.where(prose, at, -1))
-    since = np.where(last >= 0, at - last, 50)
-    # lines before and after that links or repeated lines fill
-    dense = (base[:, 1] >= 0.5) | (base[:, 5] > 0)
-    shut = np.cumsum(dense) - dense
-    # a list of teasers: the nearest heading above that opens no prose, or figures in brackets, without prose of several sentences since
-    lead = (dense & (base[:, 0] < 12)) | (base[:, 7] > 0)
-    long = prose & (base[:, 8] >= 2)
-    opened = np.maximum.accumulate(np.where(lead, at, -1))
-    closed = np.maximum.accumulate(np.where(long, at, -1))
-    in_side = (opened > closed).astype(float) * np.minimum(at - opened, 9)
-    headed = np.concatenate([[0], base[:-1, 13]])
-    out = np.column_stack([base, before[:, side], after[:, side], np.round(at / n, 1), np.minimum(seen, 5), np.minimum(left, 5), np.minimum(since, 50), np.minimum(shut, 20), np.minimum(dense.sum() - shut - dense, 20), in_side, headed])
-    return [k for k, _ in blocks], out
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    first, end = start[page], start[page + 1]
+    before, after = np.zeros_like(base), np.zeros_like(base)
+    before[1:], after[:-1] = base[:-1], base[1:]
+    before[at == first], after[at == end - 1] = 0, 0
+
+    def so_far(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many flags the page has before and after each line."""
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[at] - total[first], total[end] - total[at + 1]
+
+    def latest(flags: np.ndarray) -> np.ndarray:
+        """The last flagged line of the page up to each line, or -1."""
+        found = np.maximum.accumulate(np.where(flags, at, -1))
+        return np.where(found >= first, found, -1)
+
+    seen, left = so_far(prose)
+    last = latest(prose)
+    since = np.where(last >= 0, np.minimum(at - last, 50), 50)
+    dense = (base[:, 1] >= 0.5) | (base[:, 5] > 0)  # links or lines the site repeats
+    shut, rest = so_far(dense)
+    # a list of teasers: below a short line of links or a cut line, without prose of several sentences since
+    opened = latest((dense & (base[:, 0] < 12)) | (base[:, 7] > 0))
+    in_side = np.where(opened > latest(prose & (base[:, 8] >= 2)), np.minimum(at - opened, 9), 0)
+    side = [0, 1, 5, 6, 7]
+    place = np.round((at - first) / sizes[page], 1)
+    return numbers, np.column_stack([base, before[:, side], after[:, side], place, np.minimum(seen, 5), np.minimum(left, 5), since, np.minimum(shut, 20), np.minimum(rest, 20), in_side, before[:, 13]])
 
 
 def _gather(count: dict, site, content: str) -> None:
@@ -320,12 +353,8 @@ def _page(pick, p, site, name, menu, style, mark, notice, button, notice_first,
 def table_of(pages: list[tuple[str, str, str, list[bool]]]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of labelled pages, with the recurrence of their own corpus."""
     known, repeated = _recurring([(s, c) for s, _, c, _ in pages])
-    rows, labels = [], []
-    for n, (site, title, content, body) in enumerate(pages):
-        numbers, x = features(content, title if n % 2 else None, known, repeated.get(site, set()))
-        rows.append(x)
-        labels += [body[k] for k in numbers]
-    return np.concatenate(rows), np.array(labels, float)
+    numbers, x = features([c for _, _, c, _ in pages], [t if n % 2 else None for n, (_, t, _, _) in enumerate(pages)], known, [repeated.get(site) for site, *_ in pages])
+    return x, np.array([body[k] for (_, _, _, body), lines in zip(pages, numbers) for k in lines], float)
 
 
 @lru_cache(maxsize=1)
@@ -342,12 +371,11 @@ class _Scan:
         known = Known(self.known.value)
         for batch in batches:
             titles, contents, repeated = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            made = [features(c, t, known, set(r or ())) for c, t, r in zip(contents, titles, repeated)]
-            score = self.tree.score(np.concatenate([x for _, x in made])) if made else np.zeros(0)
-            kept, at = [], 0
-            for numbers, x in made:
-                kept.append([n for n, s in zip(numbers, score[at : at + len(numbers)]) if s >= 0.5])
-                at += len(numbers)
+            numbers, x = features(contents, titles, known, repeated)
+            good, kept, at = self.tree.score(x) >= 0.5, [], 0
+            for lines in numbers:
+                kept.append([n for n, g in zip(lines, good[at : at + len(lines)]) if g])
+                at += len(lines)
             if self.text:
                 bodies = []
                 for c, k in zip(contents, kept):
