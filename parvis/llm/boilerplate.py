@@ -54,7 +54,6 @@ def _hash(text: str) -> int:
 
 _MARKS = frozenset("・-*■□●○>＞◆▶►•–— \t")
 _ENDS = frozenset("。．.!?！？」』”\")）〜~")
-_NO_DIGITS = {c: None for c in map(ord, "0123456789０１２３４５６７８９")}
 
 
 def _fold(text: str) -> int:
@@ -79,7 +78,7 @@ def _own(line: str) -> tuple:
         pieces = [p for p in _SPLIT.split(bare) if p]
         if len(pieces) == 1 and wide and " " in bare and not sentences and not timed:
             pieces = bare.split()
-    digits = size - len(line.translate(_NO_DIGITS))
+    digits = sum(map(line.count, "0123456789")) if size < 160 else 0
     key = _fold(bare)
     keys = ((key, len(bare)),) if len(pieces) == 1 else tuple((_fold(p), len(p)) for p in pieces)
     shape = (final, line.endswith(("…", "...", "‥")), min(sentences, 4), timed and bool(_TIME.search(line)), digits / size, min(len(pieces), 6), size < 160 and bool(_OWNER.search(line)), bare is not line, "、" in line or "," in line)
@@ -100,8 +99,11 @@ def phrases(content: str | None) -> dict[int, bool]:
             out[whole] = False
             continue
         follows = len(pieces) == 1 and i + 1 < len(own) and own[i + 1][4]
-        for k in {whole, *(k for k, _ in pieces)}:
-            out[k] = out.get(k, False) or follows
+        if follows or whole not in out:
+            out[whole] = follows
+        if len(pieces) > 1:
+            for k, _ in pieces:
+                out.setdefault(k, False)
     return out
 
 
@@ -113,7 +115,7 @@ class Known:
 
 
 def _plain(text: str) -> str:
-    return text.rstrip("0123456789 　").strip().casefold()
+    return text.rstrip("0123456789 　").strip()
 
 
 def features(contents: list[str | None], titles: list[str | None], known: Known, repeated: list) -> tuple[list[list[int]], np.ndarray]:
@@ -128,17 +130,19 @@ def features(contents: list[str | None], titles: list[str | None], known: Known,
         name = _plain(title or "")
         for _, s in blocks:
             whole, pieces, words, shape, is_prose, bare = _own(s)
-            linked = total = 0
-            for k, size in pieces:
-                total += size
-                hit = of.get(k)
-                if (hit and (hit[0] < OPENS or hit[1] > STEADY)) or k in again:
-                    linked += size
-            hit = of.get(whole)
+            hit, repeats = of.get(whole), whole in again
             opens, steady = hit or (0.0, 0.0)
-            repeats = whole in again
-            titled = bool(name) and len(bare) < 200 and _plain(bare).endswith(name) and _plain(_SPLIT.split(bare)[-1]) == name
-            density = linked / total if total else 0.0
+            if len(pieces) == 1:
+                density = float(repeats or hit is not None and (opens < OPENS or steady > STEADY))
+            else:
+                linked = total = 0
+                for k, size in pieces:
+                    total += size
+                    found = of.get(k)
+                    if k in again or found and (found[0] < OPENS or found[1] > STEADY):
+                        linked += size
+                density = linked / total if total else 0.0
+            titled = bool(name) and name in bare and len(bare) < 200 and _plain(_SPLIT.split(bare)[-1]) == name
             rows.append((words, density, hit is not None, opens >= OPENS and steady <= STEADY, round(steady, 1), repeats, *shape[:7], titled, *shape[7:]))
             prose.append(is_prose and density < 0.5 and not repeats)
     if not rows:
