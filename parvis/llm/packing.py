@@ -3,7 +3,7 @@
 Only the histogram reaches the driver, at most one count per size up to the capacity. There the configuration LP (one
 variable per way to fill a container) is solved by multiplicative weights: in each round the sizes have prices, a knapsack
 dynamic program finds the best filling at these prices, and the prices of the sizes it covers fall. The fractional solution
-is rounded down; what is left over is filled greedily, also on counts. The outcome is a table of runs "ranks r.. of size s go
+is rounded down, twice; what is left over is filled by the same knapsack pricing, also on counts. The outcome is a table of runs "ranks r.. of size s go
 to containers b.., a each", whose length depends on the capacity only. The items then find their container by the rank
 within their size, which is worked out in two salted levels, so that no size, however frequent, is ranked in one task.
 """
@@ -111,21 +111,61 @@ def fillings(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     return np.array(patterns), np.array(amount) / max(1e-9, float(np.median(cover)))
 
 
-def greedy(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
-    """(containers, pattern) that pack the counts, largest first, in bulk."""
-    out, left = [], left.copy()
-    order = np.argsort(-sizes)
+def bounded_knapsack(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is taken, at most counts times, in the dearest filling of the capacity."""
+    best = np.zeros(capacity + 1)
+    parts, kept = [], []
+    for j in np.flatnonzero(counts > 0):
+        n, k = int(min(counts[j], capacity // sizes[j])), 1
+        while n > 0:  # copies in powers of two
+            m = min(k, n)
+            w = m * int(sizes[j])
+            more = best[:-w] + m * prices[j] if w else best
+            better = np.zeros(capacity + 1, bool)
+            better[w:] = more > best[w:] + 1e-12
+            best[w:] = np.where(better[w:], more, best[w:])
+            parts.append((j, m, w))
+            kept.append(better)
+            n, k = n - m, k * 2
+    taken, c = np.zeros(len(sizes), np.int64), capacity
+    for (j, m, w), better in zip(reversed(parts), reversed(kept)):
+        if better[c]:
+            taken[j] += m
+            c -= w
+    return taken
+
+
+def rounded(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[int, np.ndarray]], int]:
+    """(containers, filling) that pack the counts, and how many of the containers the LP's own fillings make.
+
+    The fractional solution is rounded down, the LP solved again for what is left and rounded down again. What then remains,
+    a few containers per size whatever the corpus, is filled one by one with the dearest filling of what is there, by the same
+    knapsack pricing with large sizes dearer for their room. (More rounds of the LP leave a rest that fills worse.)
+    """
+    chosen, left = [], counts.copy()
+    from_lp = 0
+    for n in range(2):
+        here = np.flatnonzero(left)
+        if not len(here):
+            break
+        patterns, amount = fillings(sizes[here], left[here], capacity, rounds if n == 0 else max(60, rounds // 4))
+        for i in np.argsort(-amount):
+            used = patterns[i] > 0
+            times = min(int(amount[i] + 1e-9), int((left[here][used] // patterns[i][used]).min()))
+            if times > 0:
+                taken = np.zeros(len(sizes), np.int64)
+                taken[here] = patterns[i]
+                chosen.append((times, taken))
+                left = left - times * taken
+                from_lp += times
+    prices = sizes * (1 + 0.3 * sizes / capacity)
     while left.any():
-        taken, free = np.zeros(len(sizes), np.int64), capacity
-        for j in order:
-            if left[j] and sizes[j] <= free:
-                taken[j] = min(left[j], free // sizes[j])
-                free -= taken[j] * sizes[j]
+        taken = bounded_knapsack(sizes, left, prices, capacity)
         used = taken > 0
         times = int((left[used] // taken[used]).min())
-        out.append((times, taken))
-        left -= times * taken
-    return out
+        chosen.append((times, taken))
+        left = left - times * taken
+    return chosen, from_lp
 
 
 def plan(counts_by_size: dict[int, int], capacity: int, units: int = 512, rounds: int = 500) -> tuple[np.ndarray, int]:
@@ -145,22 +185,9 @@ def plan(counts_by_size: dict[int, int], capacity: int, units: int = 512, rounds
         return np.zeros((0, 4), np.int64), 0
     sizes = np.array(sorted(classes), np.int64)
     counts = np.array([classes[int(s)] for s in sizes], np.int64)
-    patterns, amount = fillings(sizes, counts, room, rounds)
-    best = None
-    for scale in (1.0, 0.9, 0.75, 0.0):
-        chosen, left = [], counts.copy()
-        for i in np.argsort(-amount):
-            used = patterns[i] > 0
-            times = min(int(amount[i] * scale), int((left[used] // patterns[i][used]).min()))
-            if times > 0:
-                chosen.append((times, patterns[i]))
-                left = left - times * patterns[i]
-        chosen += greedy(sizes, left, room)
-        total = sum(t for t, _ in chosen)
-        if best is None or total < best[0]:
-            best = total, chosen
+    chosen, _ = rounded(sizes, counts, room, rounds)
     runs, rank, container = [], np.zeros(len(sizes), np.int64), 0
-    for times, taken in best[1]:
+    for times, taken in chosen:
         for j in np.flatnonzero(taken):
             runs.append((sizes[j], rank[j], container, taken[j]))
             rank[j] += times * taken[j]

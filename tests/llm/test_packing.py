@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -36,6 +37,34 @@ def test_knapsack_is_optimal():
         assert taken @ sizes <= 30 and abs(taken @ prices - best[30]) < 1e-9
 
 
+def test_bounded_knapsack_is_optimal():
+    r = random.Random(4)
+    for _ in range(30):
+        sizes, counts = np.array(sorted(r.sample(range(1, 15), 4))), np.array([r.randint(0, 5) for _ in range(4)])
+        prices = np.array([r.random() for _ in sizes])
+        best = max(sum(a * p for a, p in zip(t, prices)) for t in itertools.product(*(range(n + 1) for n in counts)) if sum(a * x for a, x in zip(t, sizes)) <= 25)
+        taken = packing.bounded_knapsack(sizes, counts, prices, 25)
+        assert taken @ sizes <= 25 and (taken <= counts).all() and abs(taken @ prices - best) < 1e-9
+
+
+def test_rounding_is_no_worse_than_largest_first():
+    r = np.random.default_rng(5)
+    for n in (60, 600, 6000):
+        drawn = np.minimum(512, np.maximum(1, r.lognormal(4.2, 0.9, n))).astype(int)
+        sizes, counts = np.unique(drawn, return_counts=True)
+        chosen, from_lp = packing.rounded(sizes, counts, 512, 300)
+        assert (sum(t * p for t, p in chosen) == counts).all() and max(p @ sizes for _, p in chosen) <= 512
+        total, left, plain = sum(t for t, _ in chosen), counts.copy(), 0
+        while left.any():
+            free = 512
+            for j in np.argsort(-sizes):
+                k = min(left[j], free // sizes[j])
+                left[j], free = left[j] - k, free - k * sizes[j]
+            plain += 1
+        assert total <= plain + 1 and total <= -(-int(sizes @ counts) // 512) + 2
+        assert n < 6000 or from_lp > 0.6 * total
+
+
 def test_plan_covers_all_counts():
     counts = {100: 50, 300: 7, 513: 20, 1700: 3, 2048: 2, 0: 9}
     runs, containers = packing.plan(counts, 2048)
