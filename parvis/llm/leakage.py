@@ -3,10 +3,13 @@
 An item counts as leaked into a document when a running passage of more than half of the item stands in it with at most
 ``rate`` character slips. Texts are compared as their letters and digits after NFKC and case folding.
 
-A passage of h = half + 1 characters that carries at most e slips keeps at least (whole pieces - e) of its pieces intact, so
+The budget of e slips holds for the passage, of which only its least length h is known, not where in the item it lies; hence the
+pieces are cut for twice the slips and hits are counted, rather than e + 1 pieces of the whole item with one hit. A passage of
+h = half + 1 characters that carries at most e slips keeps at least (whole pieces - e) of its pieces intact, so
 the piece length is set to make that number positive; only documents that reach it are aligned. The alignment is extended
 from an intact piece along furthest-reaching diagonals to find how much of the item the passage spans, and the passage is
-accepted by its Myers bit-parallel distance.
+accepted by its Myers bit-parallel distance. Where that finds nothing, every passage of the least length is measured, so the
+short cuts of the alignment lose no passage.
 """
 
 from __future__ import annotations
@@ -167,11 +170,34 @@ class Index:
                 distance = myers(passage, doc[max(0, d + s - left[1] - slips) : d + s + right[1] + slips])
                 if distance <= self.rate * span + 1:
                     best = (span, len(item), distance)
+            if best is None:  # the alignment lost its way: every passage of the least length, exactly
+                low, high = max(0, diagonals[j] - slips), diagonals[k - 1] + len(item) + slips
+                best = shortest_passage(item, doc[low:high], half, int(self.rate * half))
             if best and best[0] == len(item):
                 break
         return best
 
 
+def shortest_passage(item: str, region: str, half: int, slips: int, edge: int = 12) -> tuple[int, int, int] | None:
+    """(half, item length, distance) of a passage of ``half`` characters that stands in the region with at most so many slips,
+    its first and last ``edge`` characters among them with at most two each; None where there is none.
+
+    All passages are tried: moving one by a character changes its distance by two at most, so those between are skipped
+    that can't come down to the slips.
+    """
+    at = 0
+    while at + half <= len(item):
+        passage = item[at : at + half]
+        distance = myers(passage, region)
+        if distance <= slips:
+            if myers(passage[:edge], region) <= 2 and myers(passage[-edge:], region) <= 2:
+                return half, len(item), distance
+            at += 1
+        else:
+            at += max(1, (distance - slips + 1) // 2)
+    return None
+
+
 def _anchors(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """First, middle and last piece of the cluster by place in the item, on the diagonal most of the pieces share."""
     by_place = sorted(found, key=lambda x: x[1])

@@ -9,6 +9,7 @@ back to the documents.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parvis.session import cut
+
 TYPES = ("prose", "list", "table", "junk")
 
 # Character classes.
@@ -40,8 +43,8 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class, function-character mark and bullet mark of each code point of the first plane; the rest is OTHER."""
     table = np.full(0x10000, OTHER, np.uint8)
     for cp in range(0x10000):
-        if not 0xD800 <= cp <= 0xDFFF and chr(cp).isalpha():
-            table[cp] = LETTER
+        if not 0xD800 <= cp <= 0xDFFF and (chr(cp).isalpha() or 0x900 <= cp < 0xFE00 and unicodedata.category(chr(cp))[0] == "M"):
+            table[cp] = LETTER  # with the vowel signs of scripts that write them as marks
     for low, high, kind in ((0x41, 0x5A, LATIN), (0x61, 0x7A, LATIN), (0xC0, 0x24F, LATIN), (0x1E00, 0x1EFF, LATIN), (0xFF21, 0xFF3A, LATIN), (0xFF41, 0xFF5A, LATIN), (0x30, 0x39, DIGIT), (0xFF10, 0xFF19, DIGIT), (0x3041, 0x309F, HIRA), (0x30A1, 0x30FA, KATA), (0x30FC, 0x30FF, KATA), (0xFF66, 0xFF9F, KATA), (0x3400, 0x4DBF, HAN), (0x4E00, 0x9FFF, HAN), (0xF900, 0xFAFF, HAN), (0xAC00, 0xD7AF, HANGUL), (0x1100, 0x11FF, HANGUL), (0x3130, 0x318F, HANGUL)):
         table[low : high + 1] = kind
     table[0xD7], table[0xF7] = OTHER, OTHER
@@ -56,11 +59,24 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def _word_codes() -> np.ndarray:
-    return np.unique(np.array([_pack(w) for w in WORDS.split() if len(w) <= 4], np.int64))
+    """Rolling hashes of the common words, of any length."""
+    return np.unique(np.array([_code(w) for w in WORDS.split()], np.int64))
+
 
+_BASE = 1_000_003
 
-def _pack(word: str) -> int:
-    return sum(ord(ch) << 16 * i for i, ch in enumerate(word))
+
+def _code(word: str) -> int:
+    """Polynomial hash modulo 2^64 of the letters, as a signed number; the length is part of it by the leading one."""
+    h = 1
+    for ch in word:
+        h = (h * _BASE + ord(ch)) & 0xFFFFFFFFFFFFFFFF
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+@lru_cache(maxsize=1)
+def _longest_word() -> int:
+    return max(map(len, WORDS.split()))
 
 
 FIELDS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "n_lines", "end_ratio", "common_ratio", "prose_ratio", "bullet_ratio", "cell_ratio", "short_ratio", "repeat_ratio", "squeeze_ratio", "letter_ratio", "number_ratio", "wild_ratio")
@@ -99,19 +115,20 @@ def _statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
         return total[stop] - total[first]
 
     ink = (kind != SPACE) & (kind != BREAK) & (low != 9)
-    count = {k: per_line(kind == k) for k in (DIGIT, LATIN, HIRA, KATA, HAN, HANGUL, END, CELL, OTHER, COMMA)}
+    count = {k: per_line(kind == k) for k in (DIGIT, LATIN, HIRA, KATA, HAN, HANGUL, LETTER, END, CELL, OTHER, COMMA)}
     chars, marks = per_line(ink), per_line(mark[low])
     # words: runs of letters of scripts that are written with spaces
     alpha = (kind == LATIN) | (kind == LETTER) | (kind == HANGUL)
     edge = np.diff(np.concatenate([[0], alpha.view(np.int8), [0]]))
     w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     length = w1 - w0
-    short = np.flatnonzero(length <= 4)
-    code = np.zeros(len(short), np.int64)
+    short = np.flatnonzero(length <= _longest_word())
+    code = np.ones(len(short), np.int64)
     lower = _lower()[low]
-    for i in range(4):
-        use = length[short] > i
-        code[use] += lower[w0[short[use]] + i] << 16 * i
+    with np.errstate(over="ignore"):
+        for i in range(_longest_word()):
+            use = np.flatnonzero(length[short] > i)
+            code[use] = code[use] * _BASE + lower[w0[short[use]] + i]
     common = np.zeros(len(cp), bool)
     common[w0[short[np.isin(code, _word_codes())]]] = True
     begins = np.zeros(len(cp), bool)
@@ -141,7 +158,7 @@ def _statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
     head = np.minimum(head, len(cp) - 1)
     starts_bullet = (bullet[low[head]] | ((kind[head] == DIGIT))) & (head < stop)
     # prose evidence
-    letters = count[LATIN] + count[HIRA] + count[KATA] + count[HAN] + count[HANGUL]
+    letters = count[LATIN] + count[HIRA] + count[KATA] + count[HAN] + count[HANGUL] + count[LETTER]
     safe = np.maximum(1, chars)
     kana = count[HIRA] + count[KATA]
     cjk = kana + count[HAN]
@@ -154,8 +171,10 @@ def _statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
     rate, counted = commons / np.maximum(1, words), numbers / np.maximum(1, words)
     plain = (words >= 4) & (numbers == 0) & ~starts_bullet & (length_mean >= 2) & (length_mean <= 9)
     latin = (((words >= 3) & (rate >= 0.12) & (counted <= 0.2)) | ((words >= 8) & (rate >= 0.04) & (counted <= 0.13)) | plain) & (wilds < 0.25 * np.maximum(1, lengthies)) & (count[LATIN] >= 0.5 * letters)
+    # other scripts: no word list speaks for them, so running lines of words without figures do
+    spoken = (count[LETTER] >= 0.5 * letters) & (((words >= 3) & (length_mean >= 2) & (length_mean <= 12) & (counted <= 0.2)) | ((words < 3) & (count[LETTER] >= 12))) & ~starts_bullet
     tail_number = (last_kind == DIGIT) & (chars < 80)
-    prose = (ja | zh | ko | latin) & few_digits & ~tabular & ~tail_number & (letters / safe >= 0.6)
+    prose = (ja | zh | ko | latin | spoken) & few_digits & ~tabular & ~tail_number & (letters / safe >= 0.6)
     # repeated lines, by two sums over their characters
     line_of = np.repeat(np.arange(len(stop)), stop - first + 1)
     place = np.arange(len(cp)) - first[line_of]
@@ -281,14 +300,16 @@ def fit(counts: dict[int, int], rounds: int = 60, trust: float = 0.3) -> dict[in
     return {int(p): x for p, x in zip(patterns, post)}
 
 
-def text_types(stats: DataFrame) -> DataFrame:
-    """Adds text_type and the posterior of each of TYPES (p_prose, ...) to the statistics.
+def text_types(stats: DataFrame, keep: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Adds text_type and the posterior of each of TYPES (p_prose, ...) to doc_id and the statistics in ``keep``.
+
+    The texts are read once: the outcomes are checkpointed before they are counted.
 
     Only the counts per pattern reach the driver; there are at most prod(outcomes) = 768 patterns. An empty table gives an
     empty result.
     """
     spark = stats.sparkSession
-    voted = votes(stats)
+    voted = cut(votes(stats).drop(*[f for f in FIELDS if f not in keep]))
     counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     post = fit(counts)
     rows = [(p, TYPES[int(x.argmax())], *(float(v) for v in x)) for p, x in post.items()]

@@ -159,7 +159,7 @@ def p9_item_report(spark, d):
 @query
 def p10_found(spark, d):
     """Documents whose posterior text type isn't natural prose."""
-    return quality.text_types(quality.text_statistics(table(spark, d, "documents"))).where("p_prose < 0.5").select("doc_id")
+    return quality.text_types(quality.text_statistics(table(spark, d, "documents")), keep=()).where("p_prose < 0.5").select("doc_id")
 
 
 @query
@@ -171,5 +171,5 @@ def p10_statistics(spark, d):
 @query
 def p10_type_counts(spark, d):
     """Documents and mean confidence per text type."""
-    types = quality.text_types(quality.text_statistics(table(spark, d, "documents")))
+    types = quality.text_types(quality.text_statistics(table(spark, d, "documents")), keep=())
     return types.groupBy("text_type").agg(F.count("*").alias("documents"), F.avg(F.greatest("p_prose", "p_list", "p_table", "p_junk")).alias("mean_confidence"))

@@ -75,3 +75,29 @@ def test_keys_of_any_kind(spark, kind):
     d = spark.createDataFrame([(1, ITEM), (2, "x")], "doc_id bigint, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
     items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
     assert [(str(r["doc_id"]), str(r["item_id"])) for r in leakage.find_leaks(d, items).collect()] == [("1", "7")]
+
+
+def test_random_slips_lose_no_passage():
+    """Passages of a little more than half with slips up to the rate, anywhere in the item, in any surroundings."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    lost = 0
+    for n in range(150):
+        item = " ".join(r.choice(words) for _ in range(r.randint(25, 60)))
+        folded = leakage.fold(item)
+        half = len(folded) // 2 + 1
+        length = int(len(folded) * 0.56)
+        at = r.randint(0, len(folded) - length)
+        passage = slip(folded[at : at + length], r, int(0.07 * half * r.random()))
+        doc = " ".join(r.choice(words) for _ in range(80)) + passage + " ".join(r.choice(words) for _ in range(80))
+        lost += not list(leakage.Index([(1, item)], leakage.RATE).search(doc))
+    assert lost == 0
+
+
+def test_shortest_passage_against_all_windows():
+    r = random.Random(2)
+    for _ in range(60):
+        item = "".join(r.choice("abcd") for _ in range(60))
+        region = slip(item[r.randint(0, 20) :][:40], r, r.randint(0, 6)) + "".join(r.choice("abcd") for _ in range(20))
+        want = any(leakage.myers(item[i : i + 31], region) <= 3 and leakage.myers(item[i : i + 12], region) <= 2 and leakage.myers(item[i + 19 : i + 31], region) <= 2 for i in range(30))
+        assert (leakage.shortest_passage(item, region, 31, 3) is not None) == want

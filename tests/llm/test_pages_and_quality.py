@@ -99,3 +99,20 @@ def test_statistics_do_not_depend_on_the_batch():
 def test_statistics_of_a_known_text():
     s = quality.statistics(["Hello world.\nBye\n\n12 34"])
     assert (s["n_words"][0], s["n_lines"][0], round(float(s["end_ratio"][0]), 3)) == (3, 3, 0.333)
+
+
+OTHER_SCRIPTS = [
+    "В воскресенье дети собрали листья в саду за церковью. Соседи принесли хлеб и остались на долгий разговор о жизни и вере.", "Την Κυριακή τα παιδιά μάζεψαν φύλλα στον κήπο πίσω από την εκκλησία. Οι γείτονες έφεραν ψωμί.", "في يوم الأحد جمع الأطفال الأوراق في الحديقة خلف الكنيسة وأحضر الجيران الخبز وبقوا للحديث.",
+    "ในวันอาทิตย์เด็กๆ เก็บใบไม้ในสวนหลังโบสถ์ เพื่อนบ้านนำขนมปังมาและอยู่คุยกันนาน", "रविवार को बच्चों ने गिरजाघर के पीछे बगीचे में पत्ते इकट्ठे किए और पड़ोसी रोटी लाए।", "Dimanche les enfants ont ramassé des feuilles dans le jardin derrière l'église, et les voisins ont apporté du pain.",
+]
+
+
+def test_prose_of_other_scripts(spark):
+    rows = [(i, t * 3) for i, t in enumerate(OTHER_SCRIPTS)] + [(50, "12 | 44 | 9\n" * 20)]
+    got = quality.text_types(quality.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string")), keep=()).collect()
+    assert {r["doc_id"] for r in got if r["p_prose"] >= 0.5} == set(range(len(OTHER_SCRIPTS)))
+
+
+def test_common_words_of_any_length():
+    s = quality.statistics(["which những orang", "xhich nhxng oranq"])
+    assert float(s["common_ratio"][0]) == 1.0 and float(s["common_ratio"][1]) == 0.0
