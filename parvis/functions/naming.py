@@ -244,22 +244,25 @@ def account_exclusion(name: Column, description: Column) -> Column:
 
 
 def resolve_slug_collisions(rows: DataFrame, *, key: str, slug: str, prefixes: str) -> DataFrame:
-    """(key, slug): slugs made unique by location prefixes, in key order within each group of equal slugs.
+    """(key, slug): slugs made unique over all rows, by location prefixes where names collide.
 
-    Each row tries its candidate prefixes (array), then its key. Groups are rows of one slug; the choice within a group is
-    sequential, between groups independent, since a prefixed slug begins with its own group's prefix and is checked at the end.
+    A slug of one row stays. Rows of a shared slug propose their first prefix, then the next, at last their key: in each round a
+    proposal that no earlier round gave away goes to its least key, the others propose again. Every round is an anti-join and
+    an arg-min, so that no task holds a group, and the longest prefix list bounds the rounds. Keys must be unique.
     """
-
-    def settle(p: pd.DataFrame) -> pd.DataFrame:
-        if len(p) == 1:
-            return p[["key", "slug"]]
-        used, out = set(), []
-        for k, s, options in p.sort_values("key")[["key", "slug", "prefixes"]].itertuples(index=False):
-            choice = next((f"{o}-{s}" for o in (options if options is not None else ()) if o and f"{o}-{s}" not in used), f"{s}-{k}")
-            used.add(choice)
-            out.append((k, choice))
-        return pd.DataFrame(out, columns=["key", "slug"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    own = rows.select(F.col(key).alias("key"), F.col(slug).alias("slug"), F.col(prefixes).alias("prefixes"))
-    return own.groupBy("slug").applyInPandas(settle, f"key {kind}, slug string")
+    from parvis.session import cut
+
+    own = cut(rows.select(F.col(key).alias("key"), F.col(slug).alias("base"), F.coalesce(F.col(prefixes), F.array().cast("array<string>")).alias("options")))
+    shared = own.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base")
+    done = cut(own.join(shared, "base", "left_anti").select("key", F.col("base").alias("slug")))
+    left = own.join(shared, "base", "left_semi").withColumn("options", F.concat(F.transform(F.filter("options", lambda o: o.isNotNull() & (o != "")), lambda o: F.concat(o, F.lit("-"), F.col("base"))), F.array(F.concat("base", F.lit("-"), F.col("key").cast("string")))))
+    turn = 0
+    left = cut(left.select("key", "options"))
+    while not left.isEmpty():
+        at = F.lit(turn)
+        last = F.element_at("options", -1)  # beyond the list: the key's own slug, made longer until it is free
+        proposed = left.select("key", "options", F.when(at < F.size("options"), F.get("options", at)).otherwise(F.concat(last, F.repeat(F.lit("-x"), F.greatest(at - F.size("options") + 1, F.lit(1))))).alias("slug"))
+        free = proposed.join(done.select("slug"), "slug", "left_anti")
+        won = cut(free.groupBy("slug").agg(F.min("key").alias("key")).select("key", "slug"))
+        done, left, turn = cut(done.unionByName(won)), cut(left.join(won.select("key"), "key", "left_anti")), turn + 1
+    return done

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -24,9 +26,13 @@ def unique_gate(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, by: list[str], key: str, sample: int = 20) -> DataFrame:
-    """Keys on more than one row, with the surplus and the first row keys."""
-    ranked = rows.groupBy(*by, key).agg(F.count("*").alias("c"))
-    return ranked.groupBy(*by).agg(F.sum("c").alias("copies"), F.slice(F.sort_array(F.collect_set(key)), 1, sample).alias("sample")).where("copies > 1")
+    """Keys on more than one row, with the surplus and the first row keys. Of a hot key each task keeps ``sample`` rows only."""
+    counted = rows.groupBy(*by, key).agg(F.count("*").alias("c"))
+    copies = counted.groupBy(*by).agg(F.sum("c").alias("copies")).where("copies > 1")
+    few = top_per_group(counted, by, [F.col(key)], sample).where(F.col(key).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(key)).alias("sample"))
+    same = [F.col(f"c.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
+    joined = copies.alias("c").join(few.alias("s"), reduce(lambda x, y: x & y, same), "left")
+    return joined.select(*[f"c.{b}" for b in by], "c.copies", F.coalesce("s.sample", F.array()).alias("sample"))
 
 
 def row_hash(columns: list[Column]) -> Column:
@@ -34,13 +40,14 @@ def row_hash(columns: list[Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def content_hash(rows: DataFrame, key: str, columns: list[Column], buckets: int = 4096) -> DataFrame:
-    """One hash for a table that doesn't depend on row order: rows are hashed, then buckets of rows in key order, then the buckets.
+def content_hash(rows: DataFrame, columns: list[Column], digits: int = 3) -> DataFrame:
+    """(hash, rows): one hash for a table that doesn't depend on row order.
 
-    No task holds more than a bucket of hashes.
+    Rows are hashed, hashes put into buckets by their first hex digits, each bucket hashed in sorted order, then the buckets. No
+    task holds more than one of 16 ** digits buckets of hashes; repeated rows count.
     """
-    hashed = rows.select(F.col(key).alias("k"), row_hash(columns).alias("h"))
-    inner = hashed.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.count("*").alias("n"))
+    hashed = rows.select(row_hash(columns).alias("h"))
+    inner = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
     return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
@@ -58,5 +65,19 @@ def winner_margin(rows: DataFrame, by: list[str], score: str, tie: list[str], ma
 
 
 def round_robin(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """Turn of each row: the first of every group, then the second of every group, and so on."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Turn of each row: the first of every group, then the second of every group, and so on.
+
+    Rows are spread by ranges of (group, order) and ranked within each range; a range's rank starts after the rows of its
+    group in the ranges before it. So a group that holds a third of all rows is ranked by many tasks.
+    """
+    from parvis.session import cut
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.withColumn("_order", F.struct(*order))
+    ranged = cut(named.repartitionByRange(parts, F.col(group), F.col("_order")).withColumn("_range", F.spark_partition_id()))
+    inner = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_range").orderBy("_order")))
+    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_ahead"))
+    met = inner.join(ahead, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return met.select(*rows.columns, (F.col("_ahead") + F.col("_rank")).cast("int").alias("turn"))

@@ -161,12 +161,12 @@ SELECT CAST(count(p.id) AS BIGINT) AS matched, count(*) AS all, round(coalesce(c
 
 @query
 def token_frequency(spark, d):
-    """The 200 most frequent words of all documents."""
+    """How often each word stands in all documents, by falling frequency."""
     t = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")).where("token != ''")
-    return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(200)
+    return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token")
 
 
-oracle("token_frequency", r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents) WHERE token != '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+oracle("token_frequency", r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents) WHERE token != '' GROUP BY 1 ORDER BY 2 DESC, 1")
 
 
 @query
@@ -195,12 +195,14 @@ SELECT language, count(*) FILTER (has) AS translated, count(*) FILTER (NOT has)
 
 @query
 def catalog_hash(spark, d):
-    """Order-independent hash of the denominations, and the number of rows."""
-    t = table(spark, d, "denominations")
-    return dedupe.content_hash(t, "denominationId", [F.col("denominationId"), F.col("name"), F.col("englishName")]).select("rows", F.length("hash").alias("digits"))
+    """Order-independent hash of the churches, and the number of rows."""
+    return dedupe.content_hash(table(spark, d, "churches"), [F.col(c) for c in ("church_row_id", "id", "name", "englishName", "denominationId", "address")])
 
 
-oracle("catalog_hash", "SELECT count(*) AS rows, CAST(64 AS INT) AS digits FROM denominations")
+oracle("catalog_hash", """
+WITH h AS (SELECT sha256(to_json({'church_row_id': church_row_id, 'id': id, 'name': name, 'englishName': englishName, 'denominationId': denominationId, 'address': address})) AS h FROM churches),
+b AS (SELECT substring(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS s, count(*) AS n FROM h GROUP BY 1)
+SELECT sha256(string_agg(s, '' ORDER BY b)) AS hash, CAST(sum(n) AS BIGINT) AS rows FROM b""")
 
 
 @query

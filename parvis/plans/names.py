@@ -40,6 +40,22 @@ SELECT denominationId, trim(regexp_replace(regexp_replace(trim(name), '教会$',
  CASE WHEN regexp_full_match(e, '[a-z][a-z0-9.-]*') THEN upper(e) ELSE e END AS en FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(englishName), ' Church$', ''), ' Denomination$', '')) AS e FROM denominations)""")
 
 
+@query
+def address_areas(spark, d):
+    """Codes of the prefecture and municipality that the addresses of the directory name."""
+    j = table(spark, d, "jma_churches").where("`住所` is not null").select("jma_row_id", F.regexp_replace("住所", "[ 　]", "").alias("address"))
+    got = A.decompose(j, key="jma_row_id", text="address", areas=table(spark, d, "geonames"))
+    return got.where("prefecture_code is not null").select(F.col("key").alias("jma_row_id"), "prefecture_code", "municipality_code")
+
+
+# by whole names: the area is the longest name of the gazetteer behind postcode and prefecture
+oracle("address_areas", r"""
+WITH j AS (SELECT jma_row_id, regexp_replace(translate(translate(regexp_replace("住所", '[ 　]', '', 'g'), '０１２３４５６７８９', '0123456789'), '−ー―‐‑–—ｰ－', '---------'), '^〒?[0-9]{3}-[0-9]{4}', '') AS t FROM jma_churches WHERE "住所" IS NOT NULL),
+p AS (SELECT j.*, g.code AS pc, substring(t, length(g.name) + 1) AS r FROM j JOIN geonames g ON g.type = 'PREFECTURE' AND starts_with(t, g.name)),
+m AS (SELECT jma_row_id, arg_max(g.code, length(g.name)) AS mc FROM p JOIN geonames g ON g.type = 'MUNICIPALITY' AND g.prefectureCode = pc AND starts_with(r, g.name) GROUP BY 1)
+SELECT p.jma_row_id, pc AS prefecture_code, mc AS municipality_code FROM p LEFT JOIN m USING (jma_row_id)""")
+
+
 @query
 def structured_addresses(spark, d):
     """Addresses of the churches cut into parts, with area codes."""
@@ -121,6 +137,15 @@ def page_slugs(spark, d):
     return N.resolve_slug_collisions(rows, key="id", slug="slug", prefixes="prefixes").withColumnRenamed("key", "id")
 
 
+oracle("page_slugs", r"""
+WITH c AS (SELECT id, arg_min({'e': englishName, 'a': address}, church_row_id) AS r FROM churches GROUP BY 1),
+s AS (SELECT id, trim(regexp_replace(replace(regexp_replace(lower(strip_accents(r.e)), '[''’]', '', 'g'), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') AS s, replace(regexp_extract(r.a, '([0-9]{3}-?[0-9]{4})', 1), '-', '') AS z FROM c WHERE r.e IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY s) AS k FROM s WHERE s != ''),
+one AS (SELECT id, s AS slug FROM n WHERE k = 1),
+two AS (SELECT min(id) AS id, z || '-' || s AS slug FROM n WHERE k > 1 AND z != '' AND z || '-' || s NOT IN (SELECT slug FROM one) GROUP BY 2)
+SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT id, s || '-' || id AS slug FROM n WHERE k > 1 AND id NOT IN (SELECT id FROM two)""")
+
+
 def _norm(c):
     return F.regexp_replace(F.lower(c), r"[\s　・･,，.。()（）]", "")
 

@@ -10,6 +10,9 @@ from parvis.plans.registry import oracle, query
 from parvis.session import table
 
 
+MOST_PREFECTURES = 1_000
+
+
 @query
 def church_details(spark, d):
     """Every church record with its denomination's name, its pages and its hosts."""
@@ -142,7 +145,9 @@ def one_to_one(spark, d):
 @query
 def romanised_addresses(spark, d):
     """Native and romanised spellings of one postal code that are 0.9 alike."""
-    g = table(spark, d, "geonames").where("type = 'PREFECTURE'").select("name", F.col("translations")["en"].alias("en")).where("en is not null").limit(100).collect()
+    g = table(spark, d, "geonames").where("type = 'PREFECTURE'").select("name", F.col("translations")["en"].alias("en")).where("en is not null").limit(MOST_PREFECTURES + 1).collect()
+    if len(g) > MOST_PREFECTURES:
+        raise ValueError(f"more than {MOST_PREFECTURES} prefectures")
     p = table(spark, d, "place_candidates").select("place_row_id", "address", F.regexp_replace(F.regexp_extract("address", r"(\d{3}-\d{4})", 1), "-", "").alias("p")).where("p != ''")
     latin = ~F.col("address").rlike("[\\u3040-\\u30FF\\u3400-\\u9FFF]")
     a, b = p.where(~latin).select("p", F.col("place_row_id").alias("a"), F.col("address").alias("x")), p.where(latin).select("p", F.col("place_row_id").alias("b"), F.col("address").alias("y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parvis.functions import text as X
+from parvis.functions import address, text as X
 from parvis.operators import dedupe, places, search, spatial
 from parvis.plans.registry import oracle, query
 from parvis.session import cut, table
@@ -16,8 +16,10 @@ def church_documents(spark, d):
     """One document per church id: the fields that are searched, the codes of its areas, its place."""
     c = dedupe.keep_first(table(spark, d, "churches"), ["id"], [F.col("church_row_id")])
     dn = table(spark, d, "denominations").select("denominationId", F.concat_ws(" ", "name", "englishName").alias("denomination"))
-    g = table(spark, d, "geonames").where("type in ('PREFECTURE', 'MUNICIPALITY')").select("code", F.col("name").alias("area"), F.concat_ws(" ", F.map_values("translations")).alias("translated"))
-    where = c.select("id", F.explode(F.array_compact(F.array(F.nullif(F.regexp_extract("address", "([^都道府県市町村\\s〒0-9０-９、-]{1,4}[都道府県])", 1), F.lit("")), F.nullif(F.regexp_extract(F.regexp_replace("address", "^.*?[都道府県]", ""), "([^都道府県市町村\\s]{1,5}?[市町村])", 1), F.lit(""))))).alias("area")).join(g, "area").groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("area_codes"), F.concat_ws(" ", F.sort_array(F.collect_set("translated"))).alias("area_names"))
+    geo = table(spark, d, "geonames")
+    g = geo.where("type in ('PREFECTURE', 'MUNICIPALITY')").select("code", F.concat_ws(" ", F.map_values("translations")).alias("translated"))
+    codes = address.area_codes(c, key="id", text="address", areas=geo).select(F.col("key").alias("id"), F.explode("codes").alias("code"))
+    where = codes.join(g, "code").groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("area_codes"), F.concat_ws(" ", F.sort_array(F.collect_set("translated"))).alias("area_names"))
     joined = c.join(dn, "denominationId", "left").join(where, "id", "left")
     return joined.select(
         F.col("id").alias("doc"), "name", F.col("englishName").alias("name_local"), X.to_simplified(F.col("name")).alias("name_canonical"), X.to_hiragana(F.col("name")).alias("name_reading"), F.lit(None).cast("string").alias("minister"),

@@ -20,7 +20,7 @@ def write_index(docs: DataFrame, path: str, *, key: str, fields: list[str], lang
 def logical_export(rows: DataFrame, path: str, *, key: str) -> dict:
     """Rows as JSON lines in key order over range partitions, and a manifest of count and order-independent hash."""
     rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    h = content_hash(rows, key, [F.col(c) for c in sorted(rows.columns)]).first()
+    h = content_hash(rows, [F.col(c) for c in sorted(rows.columns)]).first()
     return {"rows": h["rows"], "hash": h["hash"]}
 
 

@@ -83,7 +83,7 @@ class Catalog:
             for name, (rows, key) in tables.items():
                 rows.write.parquet(f"{base}/{name}")
                 written = self.spark.read.parquet(f"{base}/{name}")
-                h = content_hash(written, key, [F.col(c) for c in sorted(written.columns)]).first()
+                h = content_hash(written, [F.col(c) for c in sorted(written.columns)]).first()
                 known[name] = {"hash": h["hash"], "rows": h["rows"], "key": key}
             old = self.manifest(before) if before is not None else None
             done = Manifest(sequence, "COMMITTED", known, old is None or old.tables != known)
@@ -105,6 +105,6 @@ class Catalog:
             return False
         for name, said in known.tables.items():
             rows = self.spark.read.parquet(f"{self.folder}/revisions/{sequence}/{name}")
-            if content_hash(rows, said["key"], [F.col(c) for c in sorted(rows.columns)]).first()["hash"] != said["hash"]:
+            if content_hash(rows, [F.col(c) for c in sorted(rows.columns)]).first()["hash"] != said["hash"]:
                 return False
         return True

@@ -18,10 +18,10 @@ def test_content_hash_ignores_order(spark):
     rows = [(i, f"v{i}") for i in range(50)]
     a = spark.createDataFrame(rows, "k int, v string")
     b = spark.createDataFrame(rows[::-1], "k int, v string").repartition(3)
-    h = lambda d: dedupe.content_hash(d, "k", [F.col("k"), F.col("v")]).first()["hash"]
+    h = lambda d: dedupe.content_hash(d, [F.col("k"), F.col("v")]).first()["hash"]
     assert h(a) == h(b)
     assert h(a) != h(a.withColumn("v", F.when(F.col("k") == 3, "z").otherwise(F.col("v"))))
-    assert dedupe.content_hash(a.where("false"), "k", [F.col("v")]).first()["rows"] == 0
+    assert dedupe.content_hash(a.where("false"), [F.col("v")]).first()["rows"] == 0
 
 
 def test_winner_needs_its_margin(spark):
