@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 EARTH_KM = 6371.0088
 CELL = 0.05  # degrees; the histogram has at most (46 - 20) * (154 - 122) / CELL ** 2 = 332,800 cells for the default domain
+MOST_CELLS = 1_000_000
 DOMAIN = (20.0, 46.0, 122.0, 154.0)
 
 
@@ -155,65 +156,78 @@ def _in_leaf(points: pd.DataFrame, triangles: pd.DataFrame) -> Iterator[tuple[np
 
 
 class _Leaves:
-    """The first hierarchy, over the histogram of the points."""
+    """The first hierarchy, over the histogram of the points; cells are squares of ``cell`` degrees."""
 
-    def __init__(self, cells: np.ndarray, weight: np.ndarray, leaf: float) -> None:
-        low = cells * CELL
-        self.tree = build(np.concatenate([low, low + CELL], 1), weight, leaf)
-        self.of = {}
-        for node in np.flatnonzero(self.tree.left < 0):
-            for i in self.tree.order[self.tree.first[node] : self.tree.last[node]]:
-                self.of[tuple(cells[i])] = (node, max(1, int(np.ceil(np.sqrt(weight[i] / leaf)))))
-        self.leaf = leaf
+    def __init__(self, cells: np.ndarray, weight: np.ndarray, leaf: float, cell: float = CELL) -> None:
+        low = cells * cell
+        self.cell = cell
+        self.tree = build(np.concatenate([low, low + cell], 1), weight, leaf)
+        node = np.full(len(cells), -1)
+        for n in np.flatnonzero(self.tree.left < 0):
+            node[self.tree.order[self.tree.first[n] : self.tree.last[n]]] = n
+        code = _code(cells)
+        order = np.argsort(code)
+        self.cells, self.code, self.node = cells[order], code[order], node[order]
+        self.parts = np.maximum(1, np.ceil(np.sqrt(weight[order] / leaf))).astype(np.int64)
+
+    def find(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf and number of parts of each cell; every cell is one of the histogram."""
+        at = np.searchsorted(self.code, _code(cells))
+        return self.node[at], self.parts[at]
+
+
+def _code(cells: np.ndarray) -> np.ndarray:
+    return (cells[:, 0] << 32) + cells[:, 1]
 
 
 def _points_scan(leaves):
     def scan(batches):
-        tree = leaves.value
+        known = leaves.value
         for b in batches:
-            cells = np.floor(b[["x", "y"]].to_numpy() / CELL).astype(np.int64)
-            got = [tree.of.get(tuple(c), (-1, 1)) for c in cells]
-            yield pd.DataFrame({"leaf": _unit(cells, b["x"].to_numpy(), b["y"].to_numpy(), got), "point": b["point"], "x": b["x"], "y": b["y"]})
+            xy = b[["x", "y"]].to_numpy()
+            cells = np.floor(xy / known.cell).astype(np.int64)
+            if len(cells):
+                yield pd.DataFrame({"leaf": _unit(cells, xy, *known.find(cells), known.cell), "point": b["point"], "x": b["x"], "y": b["y"]})
 
     return scan
 
 
-def _unit(cells: np.ndarray, x: np.ndarray, y: np.ndarray, got: list[tuple[int, int]]) -> list[str]:
+def _unit(cells: np.ndarray, xy: np.ndarray, node: np.ndarray, parts: np.ndarray, cell: float) -> np.ndarray:
     """Name of the unit of work: the leaf, and in a crowded cell the part of the cell."""
-    out = []
-    for (cx, cy), px, py, (node, parts) in zip(cells, x, y, got):
-        out.append(f"{node}" if parts == 1 else f"{cx}:{cy}:{int((px - cx * CELL) / CELL * parts)}:{int((py - cy * CELL) / CELL * parts)}")
+    out = node.astype(str).astype(object)
+    for k in np.flatnonzero(parts > 1):
+        (cx, cy), p = cells[k], parts[k]
+        out[k] = f"{cx}:{cy}:{int((xy[k, 0] - cx * cell) / cell * p)}:{int((xy[k, 1] - cy * cell) / cell * p)}"
     return out
 
 
 def _triangles_scan(leaves):
     def scan(batches):
         known = leaves.value
-        crowded = {}
-        for cell, (node, parts) in known.of.items():
-            if parts > 1:
-                crowded.setdefault(node, []).append((cell, parts))
+        crowded: dict[int, list] = {}
+        for k in np.flatnonzero(known.parts > 1):
+            crowded.setdefault(int(known.node[k]), []).append((known.cells[k], int(known.parts[k])))
+        hot = np.array(sorted(crowded), np.int64)
         for b in batches:
             c = b[["x1", "y1", "x2", "y2", "x3", "y3"]].to_numpy().reshape(-1, 3, 2)
             boxes = np.concatenate([c.min(1), c.max(1)], 1)
-            index, name = [], []
+            index, name = [np.zeros(0, np.int64)], [np.zeros(0, object)]
             for query, node in overlaps(known.tree, boxes):
-                for q, m in zip(query, node):
-                    if m not in crowded:
-                        index.append(q)
-                        name.append(f"{m}")
-                        continue
-                    for (cx, cy), parts in crowded[m]:
-                        step = CELL / parts
-                        x0, y0 = cx * CELL, cy * CELL
-                        i0, i1 = max(0, int((boxes[q, 0] - x0) / step) - 1), min(parts - 1, int((boxes[q, 2] - x0) / step) + 1)
-                        j0, j1 = max(0, int((boxes[q, 1] - y0) / step) - 1), min(parts - 1, int((boxes[q, 3] - y0) / step) + 1)
-                        for i in range(i0, i1 + 1):
-                            for j in range(j0, j1 + 1):
-                                index.append(q)
-                                name.append(f"{cx}:{cy}:{i}:{j}")
-            out = b.iloc[index].copy()
-            out.insert(0, "leaf", name)
+                query, node = np.asarray(query), np.asarray(node)
+                split = np.isin(node, hot)
+                index.append(query[~split])
+                name.append(node[~split].astype(str).astype(object))
+                for q, m in zip(query[split], node[split]):
+                    for (cx, cy), parts in crowded[int(m)]:
+                        step = known.cell / parts
+                        x0, y0 = cx * known.cell, cy * known.cell
+                        i = np.arange(max(0, int((boxes[q, 0] - x0) / step) - 1), min(parts - 1, int((boxes[q, 2] - x0) / step) + 1) + 1)
+                        j = np.arange(max(0, int((boxes[q, 1] - y0) / step) - 1), min(parts - 1, int((boxes[q, 3] - y0) / step) + 1) + 1)
+                        units = [f"{cx}:{cy}:{a}:{d}" for a in i for d in j]
+                        index.append(np.full(len(units), q))
+                        name.append(np.array(units, object))
+            out = b.iloc[np.concatenate(index)].copy()
+            out.insert(0, "leaf", np.concatenate(name))
             yield out
 
     return scan
@@ -265,12 +279,14 @@ def points_in_regions(points: DataFrame, triangles: DataFrame, *, leaf: int = 20
     """(point, region), each once, for points (point BIGINT, longitude, latitude) in the regions of the triangles.
 
     Null and non-finite coordinates lie in no region; empty inputs give an empty result. The histogram that reaches the driver
-    is bounded by the domain and CELL, points outside the domain are clamped to its rim cells in it.
+    has at most MOST_CELLS cells: they are CELL degrees wide, or as much wider as the extent of the points needs.
     """
     spark = points.sparkSession
     own = points.select("point", F.col("longitude").alias("x"), F.col("latitude").alias("y")).where("x between -180 and 180 and y between -90 and 90")
-    cells = own.groupBy(F.floor(F.col("x") / CELL).alias("i"), F.floor(F.col("y") / CELL).alias("j")).agg(F.count("*").alias("n")).toPandas()
-    leaves = spark.sparkContext.broadcast(_Leaves(cells[["i", "j"]].to_numpy(np.int64).reshape(-1, 2), cells["n"].to_numpy(float), leaf))
+    span = own.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    cell = max(CELL, float(np.sqrt((span[0] or 0.0) * (span[1] or 0.0) / MOST_CELLS)) * 1.01)
+    cells = own.groupBy(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")).agg(F.count("*").alias("n")).toPandas()
+    leaves = spark.sparkContext.broadcast(_Leaves(cells[["i", "j"]].to_numpy(np.int64).reshape(-1, 2), cells["n"].to_numpy(float), leaf, cell))
     placed = own.mapInPandas(_points_scan(leaves), "leaf string, point bigint, x double, y double")
     sent = triangles.mapInPandas(_triangles_scan(leaves), "leaf string, " + _TRIANGLE)
 

@@ -103,6 +103,16 @@ SELECT page_id, nullif(trim(regexp_extract(content, '(?:TEL|Tel|℡|電話(?:番
 FROM church_pages WHERE content IS NOT NULL AND regexp_matches(content, '(?:TEL|Tel|℡|電話(?:番号)?)[\s　]*[:：]?[\s　]*([0-9０-９()（）+\-ー－‐/\s　]{8,})')""")
 
 
+@query
+def church_emails(spark, d):
+    """E-mail addresses read back from running text that spells the sign out."""
+    c = table(spark, d, "churches").where("email is not null").select("church_row_id", F.concat(F.lit("お問い合わせは "), F.regexp_replace("email", "@", " [at] "), F.lit(" まで")).alias("t"))
+    return c.select("church_row_id", N.email(F.col("t")).alias("email"))
+
+
+oracle("church_emails", "SELECT church_row_id, email FROM churches WHERE email IS NOT NULL")
+
+
 @query
 def translated_names(spark, d):
     """Church names cut by a dictionary of area names and denominations and rendered in English."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from parvis.operators.dedupe import content_hash
@@ -45,8 +46,18 @@ class Catalog:
         finally:
             stream.close()
 
-    def _write(self, path: str, text: str) -> None:
-        stream = self._fs.create(self._path(path), True)
+    def _claim(self, path: str, text: str) -> bool:
+        """Creates the file unless there is one; False where another writer was first."""
+        try:
+            self._write(path, text, overwrite=False)
+        except Py4JJavaError:
+            if self._fs.exists(self._path(path)):
+                return False
+            raise
+        return True
+
+    def _write(self, path: str, text: str, overwrite: bool = True) -> None:
+        stream = self._fs.create(self._path(path), overwrite)
         try:
             stream.write(bytearray(text.encode()))
         finally:
@@ -74,10 +85,10 @@ class Catalog:
         if check and before != expected:
             raise Conflict(f"expected {expected}, found {before}")
         sequence = (before or 0) + 1
-        while self._fs.exists(self._path(f"{self.folder}/revisions/{sequence}")):
-            sequence += 1  # left by a writer that failed
+        # the number is taken by creating its manifest, which one writer only can do; numbers of failed writers are passed over
+        while not self._claim(f"{self.folder}/revisions/{sequence}/manifest.json", json.dumps(asdict(Manifest(sequence, "BUILDING", {})))):
+            sequence += 1
         base = f"{self.folder}/revisions/{sequence}"
-        self._write(f"{base}/manifest.json", json.dumps(asdict(Manifest(sequence, "BUILDING", {}))))
         try:
             known = {}
             for name, (rows, key) in tables.items():

@@ -138,3 +138,21 @@ def test_precedence_of_labels(spark):
 def test_best_of_chunks(spark):
     g = spark.createDataFrame([(1, "a", 0.9), (1, "a", 0.5), (1, "b", 0.88), (2, "c", 0.7)], "k int, value string, score double")
     assert {tuple(r) for r in official.best_of_chunks(g, key="k").collect()} == {(1, "a", 0.9, True), (2, "c", 0.7, False)}
+
+
+@pytest.mark.parametrize("text,want", [("三重県四日市市諏訪町1-5", "四日市市"), ("東京都東村山市本町1-2-3", "東村山市"), ("新潟県十日町市千歳町3", "十日町市"), ("東京都羽村市緑ヶ丘5", "羽村市"), ("広島県廿日市市下平良1", "廿日市市"), ("長野県大町市大町3887", "大町市"), ("東京都町田市森野2", "町田市"), ("千葉県市川市八幡1", "市川市"), ("北海道余市郡余市町朝日町26", "余市町"), ("奈良県吉野郡東吉野村小川99", "東吉野村"), ("東京都新宿区西新宿2", "新宿区")])
+def test_municipalities_are_whole(spark, text, want):
+    """By pattern where the gazetteer is empty, and by the gazetteer's longest name otherwise."""
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "k bigint, t string")
+    areas = spark.createDataFrame([("13", "東京都", "PREFECTURE", "13"), ("15", "新潟県", "PREFECTURE", "15"), ("1", "東村", "MUNICIPALITY", "13"), ("2", "東村山市", "MUNICIPALITY", "13"), ("3", "十日町市", "MUNICIPALITY", "15")], "code string, name string, type string, prefectureCode string")
+    for known in (areas, areas.where("false")):
+        got = {r["key"]: r["municipality"] for r in A.decompose(rows, key="k", text="t", areas=known).collect()}
+        assert got == {1: want, 2: None, 3: None}
+
+
+def test_slugs_are_unique_across_groups(spark):
+    rows = [(1, "grace", ["tokyo", "ueno"]), (2, "grace", ["tokyo", "ueno"]), (3, "grace", ["tokyo", "ueno"]), (4, "tokyo-grace", None), (5, "grace-3", []), (6, "grace-3", None), (7, "alone", ["x"])] + [(100 + i, "hot", ["a", f"p{i % 7}"]) for i in range(200)]
+    got = N.resolve_slug_collisions(spark.createDataFrame(rows, "k bigint, s string, p array<string>"), key="k", slug="s", prefixes="p").collect()
+    slugs = {r["key"]: r["slug"] for r in got}
+    assert len(got) == len(rows) == len(set(slugs.values()))
+    assert slugs[4] == "tokyo-grace" and slugs[7] == "alone" and slugs[1] == "ueno-grace" and slugs[100] == "a-hot"

@@ -189,3 +189,34 @@ def test_query_key_equals_row_key(spark):
 
     for t in ("　東京 教会 ", " Grace   Church ", "ＡＢ c", "a\u00a0b", "光 の　丘"):
         assert search.exact_key(t) == spark.createDataFrame([(t,)], "t string").select(exact_key(F.col("t")).alias("k")).first()["k"]
+
+
+def test_turns_of_a_hot_group(spark):
+    """A third of the rows in one group: ranks are exact and no task of the ranking holds the group."""
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"h{i % 40}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "k bigint, host string")
+    got = {r["k"]: r["turn"] for r in dedupe.round_robin(d, "host", [F.col("k")]).collect()}
+    seen, want = {}, {}
+    for k, h in rows:
+        seen[h] = seen.get(h, 0) + 1
+        want[k] = seen[h]
+    assert got == want
+    assert dedupe.round_robin(d.where("false"), "host", [F.col("k")]).count() == 0
+
+
+def test_duplicates_of_a_hot_key(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"v{i}") for i in range(900)] + [(0, "hot"), (1, None), (2, None)]
+    got = {r["v"]: (r["copies"], r["sample"]) for r in dedupe.duplicates(spark.createDataFrame(rows, "k bigint, v string"), ["v"], "k", 5).collect()}
+    assert got == {"hot": (301, [0, 3, 6, 9, 12]), None: (2, [1, 2])}
+
+
+def test_points_of_the_whole_world(spark):
+    """The histogram stays bounded by wider cells, the answer stays exact."""
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate([(x, y) for x in range(-179, 180, 9) for y in range(-89, 90, 9)])]
+    square = [(1, [(-50.0, -50.0), (50.0, -50.0), (50.0, 50.0), (0.0, 0.0), (-50.0, 50.0)])]
+    ring = spark.createDataFrame([(r, [{"longitude": x, "latitude": y} for x, y in c]) for r, c in square], "region bigint, ring array<struct<longitude:double,latitude:double>>")
+    points = spark.createDataFrame(pts, "point bigint, longitude double, latitude double")
+    held = {r["point"] for r in spatial.points_in_regions(points, spatial.triangulate_polygons(ring)).collect()}
+    want = {i for i, x, y in pts if -50 < x < 50 and -50 < y < 50 and not y > abs(x)}
+    edge = {i for i, x, y in pts if y == abs(x) or abs(x) == 50 or abs(y) == 50}
+    assert held - edge == want - edge
