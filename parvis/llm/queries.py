@@ -121,6 +121,24 @@ SELECT googleCid, max(value) FILTER (field = 'websiteUrl') AS websiteUrl, max(va
  array_to_string(list_sort(coalesce(list(value) FILTER (field = 'sourceLists'), [])), '|') AS sourceLists FROM ({ORACLES['p4_found']}) GROUP BY 1"""
 
 
+@query
+def p4_weighted(spark, d):
+    """Web address of each map id by the sum of votes that halve every 90 days, and the sum."""
+    c = table(spark, d, "place_candidates")
+    site = survivors.web_address(F.col("websiteUrl"))
+    long = survivors.votes(c, {"websiteUrl": (site, F.lower(survivors.trimmed(site)))}, group="googleCid", time=survivors.readable_time(F.col("resolvedAt")), second_time=F.col("ingested_at"), key=F.col("place_row_id"))
+    return survivors.winners(long, half_life_days=90).select(F.col("group").alias("googleCid"), F.lower(survivors.trimmed(F.col("value"))).alias("website"), F.round("votes", 6).alias("votes"))
+
+
+ORACLES["p4_weighted"] = r"""
+WITH r AS (SELECT googleCid, lower(trim(websiteUrl)) AS w, CASE WHEN regexp_matches(resolvedAt, '^\d{4}-\d{2}-\d{2}') THEN try_cast(resolvedAt AS TIMESTAMPTZ) END AS t, ingested_at AT TIME ZONE 'UTC' AS i, place_row_id FROM place_candidates
+  WHERE googleCid IS NOT NULL AND regexp_extract(lower(trim(websiteUrl)), '^https?://([a-z0-9\-]+(\.[a-z0-9\-]+)+)', 1) NOT IN ('')
+  AND NOT regexp_matches(regexp_extract(lower(trim(websiteUrl)), '^https?://([a-z0-9\-]+(\.[a-z0-9\-]+)+)', 1), '(^|\.)(google|goo|facebook|fb|instagram|twitter|x|youtube|youtu|line|tiktok|threads)\.[a-z.]+$')),
+v AS (SELECT *, pow(0.5, (epoch((SELECT max(coalesce(t, i)) FROM r)) - epoch(coalesce(t, i))) / 86400 / 90) * CASE WHEN t IS NULL THEN 0.5 ELSE 1 END AS vote FROM r),
+s AS (SELECT googleCid, w, sum(vote) AS votes, max((t IS NOT NULL, coalesce(t, i), place_row_id)) AS lead FROM v GROUP BY 1, 2)
+SELECT googleCid, arg_max(w, (votes, lead)) AS website, round(max(votes), 6) AS votes FROM s GROUP BY 1"""
+
+
 @query
 def p6_found(spark, d):
     """Rows of the two tables that name the same congregation."""
@@ -143,6 +161,18 @@ def p8_fill(spark, d):
     return full.groupBy(F.floor(F.col("tokens") * 20 / packing.CAPACITY).alias("twentieth")).agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
 
 
+@query
+def p8_invariants(spark, d):
+    """What must hold of the packing: every text packed, none split that fits, no container over its capacity."""
+    packed = cut(packing.pack(cut(packing.token_counts(table(spark, d, "documents")))))
+    over = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("s")).agg(F.count_if(F.col("s") > packing.CAPACITY).alias("over_capacity"))
+    texts = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens"))
+    return texts.agg(F.count("*").alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= packing.CAPACITY)).alias("split_though_fitting"), F.count_if(F.col("tokens") == 0).alias("empty")).crossJoin(over)  # one row each
+
+
+ORACLES["p8_invariants"] = "SELECT count(*) AS texts, 0::BIGINT AS split_though_fitting, count(*) FILTER (text = '') AS empty, 0::BIGINT AS over_capacity FROM documents WHERE text IS NOT NULL"
+
+
 @query
 def p9_found(spark, d):
     """(document, item) where more than half of the item stands in the document."""
@@ -168,6 +198,16 @@ def p10_statistics(spark, d):
     return quality.text_statistics(table(spark, d, "documents"))
 
 
+@query
+def p10_lines(spark, d):
+    """Characters and lines with ink of every document."""
+    return quality.text_statistics(table(spark, d, "documents")).select("doc_id", "n_chars", "n_lines")
+
+
+ORACLES["p10_lines"] = r"""
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[^\s\x{a0}\x{3000}\x{2000}-\x{200d}\x{feff}\x{ad}\x{202f}\x{205f}\x{2060}]'))) AS n_lines FROM documents"""
+
+
 @query
 def p10_type_counts(spark, d):
     """Documents and mean confidence per text type."""
