@@ -121,8 +121,11 @@ class Garbled:
             for end, (size, pairs) in self.automaton.iter(text):
                 for n in pairs:
                     hits.setdefault(n, []).append((end - size + 1, end + 1))
+            plain_bytes = not _CONTROL.search(text)  # without C1 controls a span needs its pair's number of hits
             for n, where in hits.items():
                 p = PAIRS[n]
+                if plain_bytes and p.unit and len(where) < (1 if p.true == "utf-8" else 2):
+                    continue
                 check = _single_span if p.unit else _multi_span
                 total = len({start for start, _ in where}) + (text[where[0][0] : where[0][0] + 2] in ("вЂ", "‚Ä"))  # no words begin so
                 found += [s for group in _join(where, 1 if p.unit else 5) if (s := check(text, group, p, total))]
@@ -223,6 +226,7 @@ def _grow(text: str, s: Span, edge: int) -> Span:
     return s
 
 
+_CONTROL = re.compile("[\x80-\x9f]")
 #: What no correct text holds: C1 controls, private-use and replacement characters. Their original is lost.
 _RESIDUE = re.compile("[\x80-\x84\x86-\x9f\ue000-\uf8ff\ufffd]+")
 #: A punctuation mark of EUC-JP read as half-width kana inside Latin text.
@@ -310,9 +314,10 @@ def _single_span(text: str, group: list[tuple[int, int]], p: Pair, total: int) -
         return Span(start, end, p.true, p.wrong, plain, faults > 0) if (control and kana + good >= 1 or kana >= 1 and hits >= 2 or hits >= 4) else None
     if p.true == "euc-jp":
         return Span(start, end, p.true, p.wrong, plain, faults > 0) if kana >= 2 or kana >= 1 and hits >= 3 else None
+    if hits < p.least or not any(not c.isalpha() for c in text[start:end]):
+        return None
     letters = sum(c.isalpha() for c in text if not c.isascii())
-    marks = sum(not c.isalpha() for c in text[start:end])
-    return Span(start, end, p.true, p.wrong, plain, faults > 0) if hits >= p.least and marks >= 1 and (end - start) >= 0.5 * max(1, letters) else None
+    return Span(start, end, p.true, p.wrong, plain, faults > 0) if (end - start) >= 0.5 * max(1, letters) else None
 
 
 _UTF8 = re.compile(rb"\xe3[\x80-\x83][\x80-\xbf]|[\xe2\xe4-\xed][\x80-\xbf]{2}|\xef[\xbc-\xbd][\x80-\xbf]|[\xc3-\xc6][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}")

@@ -130,13 +130,35 @@ def verdict(a: dict, b: dict, most: float = 0.75) -> bool:
     return assignment(tuple(a[c] for c in COMPONENTS), tuple(b[c] for c in COMPONENTS)) <= most
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [*COMPONENTS, "numbers", "postcode", "known"]
-    for batch in batches:
-        rows = batch.to_pylist()
-        ok = [verdict({c: r[f"a_{c}"] for c in names}, {c: r[f"b_{c}"] for c in names}) for r in rows]
-        kept = batch.filter(pa.array(ok, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+def _verdict(most: float = 0.75) -> Column:
+    """``verdict`` over columns a_* and b_*, so that pairs are judged within the JVM."""
+    c = F.col
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    differ = lambda x, y: F.filter(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
+    x, y = c("a_town2"), c("b_town2")
+    swapped = (F.length(x) == F.length(y)) & (F.levenshtein(x, y) == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))) & (F.size(differ(x, y)) == 2) & (F.element_at(differ(x, y), 2) - F.element_at(differ(x, y), 1) == 1)
+    slip = ((F.length(x) != F.length(y)) & (F.levenshtein(x, y) == 1)) | swapped
+    begins = (F.startswith(x, y) | F.startswith(y, x)) & (F.abs(F.length(x) - F.length(y)) <= 2) & (F.least(F.length(x), F.length(y)) > 1)
+
+    def cost(i: int, j: int) -> Column:
+        p, q = c(f"a_{COMPONENTS[i]}"), c(f"b_{COMPONENTS[j]}")
+        if i != j:
+            return F.when(p.isNull() | q.isNull() | (p == q), 0.6).otherwise(2.0)
+        same = F.when(p.isNull() | q.isNull(), 0.1).when(p == q, 0.0)
+        return (same.when(slip, 0.3).when(begins, 0.4) if i == 3 else same).otherwise(2.0)
+
+    costs = [[cost(i, j) for j in range(4)] for i in range(4)]
+    assigned = F.least(*[costs[0][p[0]] + costs[1][p[1]] + costs[2][p[2]] + costs[3][p[3]] for p in permutations(range(4))])
+    za, zb = c("a_postcode"), c("b_postcode")
+    zips = za.isNotNull() & zb.isNotNull()
+    wrong = F.when(zips, F.size(differ(za, zb))).otherwise(0)
+    near = yes(c("a_municipality2") == c("b_municipality2")) | (zips & ((wrong == 0) | ((wrong == 1) & x.eqNullSafe(y))))
+    clash = F.lit(False)
+    for f in COMPONENTS[:3]:
+        clash = clash | yes(c(f"a_{f}") != c(f"b_{f}"))
+    clash = clash | (yes(c("a_known")) & yes(c("b_known")) & ~x.eqNullSafe(y))
+    clash = clash | ((wrong > 1) & (~x.eqNullSafe(y) | (c("a_ward2").isNull() != c("b_ward2").isNull())))
+    return yes(c("a_numbers") == c("b_numbers")) & (c("a_numbers") != "") & ~clash & near & (assigned <= most)
 
 
 def same_plots(left: DataFrame, right: DataFrame, *, unit_veto: bool = False) -> DataFrame:
@@ -158,7 +180,7 @@ def same_plots(left: DataFrame, right: DataFrame, *, unit_veto: bool = False) ->
     columns = [*COMPONENTS, "numbers", "postcode", "known"]
     wide = candidates.join(forms.select(F.col("form").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns]), "a").join(forms.select(F.col("form").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns]), "b")
     wide = wide.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in columns])
-    pairs = wide.mapInArrow(_judge, "a bigint, b bigint")
+    pairs = wide.where(_verdict()).select("a", "b")
     rows = a.join(pairs, "a").join(b, "b")
     if unit_veto:
         rows = rows.where("u1 is null or u2 is null or u1 = u2")

@@ -43,6 +43,19 @@ def test_same_plots(spark):
     assert plots.same_plots(a.where("false"), b).count() == 0 and plots.same_plots(a, b.where("false")).count() == 0
 
 
+def test_judging_by_columns_is_the_same(spark):
+    """The Column expression against the plain function with all assignments tried, over random components."""
+    r = __import__("random").Random(8)
+    towns, codes = ["幸町", "幸幸町", "幸", "町幸", "台町北", "台北町", "港", "幸町北", None], ["1", "2", None]
+    one = lambda: {"prefecture": r.choice(codes), "municipality2": r.choice(codes), "ward2": r.choice(codes), "town2": r.choice(towns), "numbers": r.choice(["1-2", "1-2", "3", None]), "postcode": r.choice(["1234567", "1234567", "1234568", "1234578", None]), "known": r.choice([True, None])}
+    pairs = [(one(), one()) for _ in range(3000)]
+    names = list(pairs[0][0])
+    rows = [(k, *(a[n] for n in names), *(b[n] for n in names)) for k, (a, b) in enumerate(pairs)]
+    schema = "k int, " + ", ".join(f"{s}_{n} {'boolean' if n == 'known' else 'string'}" for s in "ab" for n in names)
+    got = {x["k"] for x in spark.createDataFrame(rows, schema).where(plots._verdict()).collect()}
+    assert got == {k for k, (a, b) in enumerate(pairs) if plots.verdict(a, b)} and len(got) > 50
+
+
 D = ("灯火ルーテル教会", "灯ルーテル", "単立")
 
 # Names of real congregations; each must yield forms though no word list knows them.
