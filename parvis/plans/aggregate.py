@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from parvis.functions import url as U
+from parvis.functions import address, url as U
 from parvis.operators import dedupe, graph, incremental, integrity, spatial
 from parvis.operators.resolve import cascade
 from parvis.plans.registry import oracle, query
@@ -369,6 +369,23 @@ def orphan_denominations(spark, d):
 oracle("orphan_denominations", "SELECT denominationId AS id FROM denominations WHERE denominationId NOT IN (SELECT denominationId FROM churches WHERE denominationId IS NOT NULL AND id IS NOT NULL)")
 
 
+@query
+def orphan_areas(spark, d):
+    """Municipalities that no address of the directory names."""
+    g = table(spark, d, "geonames")
+    j = table(spark, d, "jma_churches").where("`住所` is not null").select("jma_row_id", F.regexp_replace("住所", "[ 　]", "").alias("address"))
+    where = address.decompose(j, key="jma_row_id", text="address", areas=g).where("municipality_code is not null")
+    n = graph.nodes(g.where("type = 'MUNICIPALITY'"), F.col("code"), "Area")
+    return graph.orphans(n, graph.edges(where, F.col("key").cast("string"), F.col("municipality_code"), "IN"), ["Area"]).select("id")
+
+
+oracle("orphan_areas", r"""
+WITH j AS (SELECT jma_row_id, regexp_replace(translate(translate(regexp_replace("住所", '[ 　]', '', 'g'), '０１２３４５６７８９', '0123456789'), '−ー―‐‑–—ｰ－', '---------'), '^〒?[0-9]{3}-[0-9]{4}', '') AS t FROM jma_churches WHERE "住所" IS NOT NULL),
+p AS (SELECT j.*, g.code AS pc, substring(t, length(g.name) + 1) AS r FROM j JOIN geonames g ON g.type = 'PREFECTURE' AND starts_with(t, g.name)),
+m AS (SELECT jma_row_id, arg_max(g.code, length(g.name)) AS mc FROM p JOIN geonames g ON g.type = 'MUNICIPALITY' AND g.prefectureCode = pc AND starts_with(r, g.name) GROUP BY 1)
+SELECT code AS id FROM geonames WHERE type = 'MUNICIPALITY' AND code NOT IN (SELECT mc FROM m)""")
+
+
 @query
 def integrity_report(spark, d):
     ch, pl, pg = table(spark, d, "churches"), table(spark, d, "place_candidates"), table(spark, d, "church_pages")
@@ -401,13 +418,15 @@ oracle("integrity_report", " UNION ALL ".join([
 
 @query
 def dictionary_problems(spark, d):
-    """Problems in a dictionary made of area names and their first aliases."""
+    """Problems in a dictionary of area names and their first aliases, and of denominations in both directions."""
     g = table(spark, d, "geonames").select(F.col("name").alias("source"), F.get("aliases", F.lit(0)).alias("target")).where("target is not null")
-    return integrity.validate_dictionary(g)
+    n = table(spark, d, "denominations").select("name", "englishName")
+    both = n.select(F.col("name").alias("source"), F.col("englishName").alias("target")).unionByName(n.select(F.col("englishName").alias("source"), F.concat("name", F.when(F.length("name") > 7, F.lit(" ")).otherwise(F.lit(""))).alias("target")))
+    return integrity.validate_dictionary(g.unionByName(both))
 
 
 oracle("dictionary_problems", """
-WITH e AS (SELECT name AS source, aliases[1] AS target FROM geonames WHERE aliases[1] IS NOT NULL)
+WITH e AS (SELECT name AS source, aliases[1] AS target FROM geonames WHERE aliases[1] IS NOT NULL UNION ALL SELECT name, englishName FROM denominations UNION ALL SELECT englishName, name || CASE WHEN length(name) > 7 THEN ' ' ELSE '' END FROM denominations)
 SELECT source, 'padded' AS problem FROM e WHERE source != trim(source) OR target != trim(target) UNION SELECT source, 'blank' FROM e WHERE trim(source) = '' OR trim(target) = ''
 UNION SELECT source, 'repeated' FROM e GROUP BY source HAVING count(*) > 1 UNION SELECT a.source, 'circular' FROM e a JOIN e b ON a.target = b.source AND b.target = a.source""")
 

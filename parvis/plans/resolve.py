@@ -79,6 +79,17 @@ _FOLD = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[?#].*
 oracle("linked_accounts", f"SELECT DISTINCT account_row_id, churchId FROM social_accounts a JOIN (SELECT churchId, unnest(outgoingLinks) AS l FROM church_pages) p ON trim(a.url) != '' AND {_FOLD.format('a.url')} = {_FOLD.format('p.l')}")
 
 
+@query
+def linked_sites(spark, d):
+    """Churches whose website a crawled page links to, and the church of that page."""
+    a = table(spark, d, "churches").where("trim(websiteUrl) != ''").select("church_row_id", U.link_fold(F.col("websiteUrl")).alias("u"))
+    p = table(spark, d, "church_pages").select("churchId", F.explode("outgoingLinks").alias("l")).select("churchId", U.link_fold(F.col("l")).alias("u")).distinct()
+    return a.join(p, "u").select("church_row_id", "churchId").distinct()
+
+
+oracle("linked_sites", f"SELECT DISTINCT church_row_id, churchId FROM churches a JOIN (SELECT churchId, unnest(outgoingLinks) AS l FROM church_pages) p ON trim(a.websiteUrl) != '' AND {_FOLD.format('a.websiteUrl')} = {_FOLD.format('p.l')}")
+
+
 def _names(spark, d, name, key, column):
     n = F.regexp_replace(F.lower(F.col(column)), r"[\s　・･,，.。()（）]", "")
     return table(spark, d, name).select(F.col(key).alias("key"), n.alias("n")).where("n != ''")

@@ -113,6 +113,13 @@ def device_search(spark, d):
     return _run(spark, d, search.Request("教会", point=(35.1, 135.0), limit=50))
 
 
+# the query is a generic word only, so every church within the radius counts, by distance
+oracle("device_search", """
+WITH c AS (SELECT id, arg_min(location.latitude, church_row_id) AS la, arg_min(location.longitude, church_row_id) AS lo, arg_min({'l': location}, church_row_id).l AS l, arg_min({'n': name}, church_row_id).n AS name FROM churches GROUP BY id),
+d AS (SELECT id, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(l.latitude - 35.1) / 2), 2) + cos(radians(35.1)) * cos(radians(l.latitude)) * pow(sin(radians(l.longitude - 135.0) / 2), 2)))) AS km FROM c WHERE l.latitude IS NOT NULL AND l.longitude IS NOT NULL)
+SELECT id AS doc, 1.0::DOUBLE AS score, 3::INT AS tier, round(km, 4) AS distance_km FROM d WHERE km <= 50 ORDER BY km, id LIMIT 50""")
+
+
 @query
 def content_search(spark, d):
     """Words that only pages hold: the fallback tier."""

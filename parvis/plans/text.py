@@ -198,6 +198,10 @@ def slugs(spark, d):
     return table(spark, d, "churches").select("church_row_id", X.slug(F.col("englishName")).alias("slug"))
 
 
+oracle("slugs", r"""
+SELECT church_row_id, trim(regexp_replace(replace(regexp_replace(lower(strip_accents(englishName)), '[''’]', '', 'g'), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM churches""")
+
+
 @query
 def postal_prefecture(spark, d):
     """Postal code and prefecture at the head of each address."""
