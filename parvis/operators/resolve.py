@@ -40,6 +40,50 @@ def gram_candidates(left: DataFrame, right: DataFrame, *, key: str, text: str, m
     return top_per_group(shared, ["a"], [F.col("shared").desc(), F.col("b")], most).drop("rank")
 
 
+def among_gram_candidates(pairs: DataFrame, right: DataFrame, most: int = 80, proofs: tuple[int, ...] = (500, 4_000)) -> DataFrame:
+    """(x, y, b): the rows (b, y) of right whose name is paired with x in ``pairs`` (x, y) and that gram_candidates keeps for x.
+
+    Only the rank of these pairs is worked out, over distinct names. Names that share s of g bigrams with x have one of any
+    g - s + 1 of them; the rarest are taken. A pair is left out early where the names met by fewer of the rarest, of about so many
+    rows as ``proofs`` says, already hold ``most`` better rows; the rest is ranked among all names.
+    """
+    from parvis.session import cut
+
+    grams = lambda n: similarity.grams(F.col(n), 2)
+    asked = cut(pairs.select("x", "y").distinct().select("x", "y", F.size(F.array_intersect(grams("x"), grams("y"))).alias("shared")).where("shared > 0"))
+    names = cut(right.groupBy("y").agg(F.count("*").alias("n")).withColumn("ys", grams("y")))
+    ys = names.select("y", "n", "ys", F.explode("ys").alias("g"))
+    held = asked.select("x").distinct().select("x", F.explode(grams("x")).alias("g")).join(ys.groupBy("g").agg(F.count("*").alias("held")), "g", "left").fillna(0, ["held"])
+    upto = F.sum("held").over(Window.partitionBy("x").orderBy("held", "g").rowsBetween(Window.unboundedPreceding, 0))
+    listed = held.withColumn("upto", upto).groupBy("x").agg(F.array_sort(F.collect_list(F.struct("upto", "held", "g"))).alias("all"))
+    rarest = cut(listed.select("x", F.col("all.g").alias("xs"), F.col("all.upto").alias("upto")))
+
+    def met(open_: DataFrame, budget: int | None) -> DataFrame:
+        """(x, y, n, shared) of names that share as many bigrams with x as its last open pair, each once: at its first common bigram."""
+        own = open_.groupBy("x").agg(F.min("shared").alias("least")).join(rarest, "x")
+        enough = F.size("xs") - F.col("least") + 1
+        if budget is not None:
+            enough = F.least(enough, F.greatest(F.lit(1), F.size(F.filter("upto", lambda n: n <= budget))))
+        own = own.select("x", "xs", "least", F.slice("xs", F.lit(1), enough).alias("few")).select("*", F.explode("few").alias("g"))
+        first = F.get(F.array_intersect("few", "ys"), F.lit(0)) == F.col("g")
+        return own.join(ys, "g").where(first).select("x", "y", "n", "least", F.size(F.array_intersect("xs", "ys")).alias("shared")).where("shared >= least").drop("least")
+
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("x").orderBy(F.col("shared").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = lambda found, open_: found.groupBy("x", "shared").agg(F.sum("n").alias("n")).select("x", "shared", "n", (most - above).alias("room")).join(open_.select("x", "shared").distinct(), ["x", "shared"])
+    open_ = asked
+    for budget in proofs:
+        seen = open_.select("x", "shared", F.lit(0).alias("n")).distinct().unionByName(met(open_, budget).select("x", "shared", "n"))
+        open_ = cut(open_.join(levels(seen, open_).where("room > 0").select("x", "shared"), ["x", "shared"]).select("x", "y", "shared"))
+    full = cut(met(open_, None))
+    last = cut(levels(full, open_).where("room > 0"))
+    whole = open_.join(last.where("n <= room"), ["x", "shared"]).join(right, "y").select("x", "y", "b")
+    # ties for the last places go by key; no name fills more of them than ``most`` of its rows
+    leading = right.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("b"))).where(F.col("rank") <= most).drop("rank")
+    ties = full.drop("n").join(last.where("n > room").drop("n"), ["x", "shared"]).join(leading, "y")
+    ties = ties.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("b"))).where("rank <= room").select("x", "y", "b").join(open_.select("x", "y"), ["x", "y"], "left_semi")
+    return whole.unionByName(ties)
+
+
 def containing_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """(x, y): all pairs of non-blank names of which one equals or contains the other; left (x), right (y).
 
@@ -63,44 +107,48 @@ def containing_names(left: DataFrame, right: DataFrame) -> DataFrame:
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(x, y, name_score): all pairs of names whose fuzzy score is at least ``least`` (over 0); left (x), right (y).
 
-    Candidates by an equi-join of the rarest grams of x, as many as leave no such pair out, with all grams of y. Of g grams a
+    Candidates by an equi-join of the rarest grams of x with those of y, as many of each as leave no such pair out. Of g grams a
     dice score d needs d / (2 - d) * g shared, so one of any g - that + 1 is shared; k edits touch at most k characters and 2k
-    bigrams of x, so one of any k + 1 or 2k + 1 stays. Bigrams serve names of four characters or more, as in the score.
+    bigrams of a name, so one of any k + 1 or 2k + 1 stays. As both sides rank grams in one order, two names that share as many
+    also share one of the rarest of both. Bigrams serve names of four characters or more, as in the score.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     from parvis.session import cut
 
-    left, right = cut(left.where("x != ''").distinct()), cut(right.where("y != ''").distinct())
+    left, right = cut(left.where("trim(x) != ''").distinct()), cut(right.where("trim(y) != ''").distinct())
     bigram_edits = 4 * (2 * least - 1) >= 2  # else two names within the edits may share no bigram
 
     def keys(side: DataFrame, name: str, kinds: list[tuple[str, int, Column]]) -> DataFrame:
-        tagged = lambda k: lambda g: F.struct(F.lit(k).alias("k"), g.alias("g"))
-        each = [F.when(use, F.transform(similarity.grams(F.col(name), n), tagged(k))) for k, n, use in kinds]
-        held = F.explode(F.array_compact(F.array(*each))).alias("keys")
-        return side.select(name, held).select(name, F.size("keys").alias(f"{name}_grams"), F.explode("keys").alias("key")).select(name, f"{name}_grams", "key.k", "key.g")
+        gs = lambda n: similarity.grams(F.col(name), n)
+        number = lambda g: F.ascii(g).cast("bigint") * 2_097_152 + F.ascii(F.substring(g, 2, 1))  # noqa: E731  the code points of both characters; numbers intersect faster than strings
+        each = [F.when(use, F.struct(F.lit(k).alias("k"), gs(n).alias("keys"), F.transform(gs(2 if k in "be" else 1), number).alias("made"))) for k, n, use in kinds]
+        held = side.select(name, F.explode(F.array_compact(F.array(*each))).alias("of")).select(name, "of.*")
+        return held.select(name, "k", F.col("made").alias(f"{name}_made"), F.size("keys").alias(f"{name}_grams"), F.explode("keys").alias("g"))
 
     x, y = F.length("x"), F.length("y")
     both, one = (lambda n: n >= 4), (lambda n: n < 4)
     kinds = lambda n, own: [("s", 1, one(n) if own else F.lit(True)), ("l", 1, both(n) if own else one(n)), ("b", 2, both(n)), *([] if bigram_edits else [("e", 1, both(n))])]
     xs, ys = keys(left, "x", kinds(x, True)), keys(right, "y", kinds(y, False))
-    held = xs.join(ys.groupBy("k", "g").agg(F.count("*").alias("n")), ["k", "g"], "left").fillna(0, ["n"])
-    edits = F.floor((1 - least) / least * x + 1e-9)
-    shared = F.ceil(least / (2 - least) * F.col("x_grams") - 1e-9)
-    by_dice, by_edit = F.col("x_grams") - shared + 1, F.when(F.col("k") == "b", 2 * edits + 1).otherwise(edits + 1)
-    needed = F.when(F.col("k") == "e", by_edit).when((F.col("k") == "b") & F.lit(not bigram_edits), by_dice).otherwise(F.greatest(by_dice, by_edit))
-    rank = F.row_number().over(Window.partitionBy("x", "k").orderBy("n", "g"))
-    few = held.withColumn("rank", rank).where(F.col("rank") <= needed)
+    held = cut(ys.groupBy("k", "g").agg(F.count("*").alias("n")))
+
+    def rarest(side: DataFrame, name: str) -> DataFrame:
+        edits = F.floor((1 - least) / least * F.length(name) + 1e-9)
+        size = F.col(f"{name}_grams")
+        by_dice, by_edit = size - F.ceil(least / (2 - least) * size - 1e-9) + 1, F.when(F.col("k") == "b", 2 * edits + 1).otherwise(edits + 1)
+        needed = F.when(F.col("k") == "e", by_edit).when((F.col("k") == "b") & F.lit(not bigram_edits), by_dice).otherwise(F.greatest(by_dice, by_edit))
+        rank = F.row_number().over(Window.partitionBy(name, "k").orderBy("n", "g"))
+        return side.join(held, ["k", "g"], "left").fillna(0, ["n"]).withColumn("rank", rank).where(F.col("rank") <= needed).drop("n", "rank")
+
     in_reach = lambda a, b, share: F.least(a, b) >= share * F.greatest(a, b) - 1e-9
     may = in_reach(x, y, least) | in_reach(F.col("x_grams"), F.col("y_grams"), least / (2 - least))  # edit | dice
-    met = few.join(ys, ["k", "g"]).where((F.col("k") == "e") | may).select("x", "y")
-    spread = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y").distinct()  # few bytes, but costly to score
-    made = lambda side, n: cut(side.where(F.trim(n) != "").select(n, similarity.grams(F.col(n), 1).alias(f"{n}1"), similarity.grams(F.col(n), 2).alias(f"{n}2")))
-    full = spread.join(made(left, "x"), "x").join(made(right, "y"), "y")
-    dice = lambda n: 2.0 * F.size(F.array_intersect(f"x{n}", f"y{n}")) / F.greatest(F.size(f"x{n}") + F.size(f"y{n}"), F.lit(1))
-    score = F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.greatest(F.when(F.least(x, y) >= 4, dice(2)).otherwise(dice(1)), similarity.edit(F.col("x"), F.col("y"))))  # similarity.fuzzy, grams made once a name
-    return full.select("x", "y", score.alias("name_score")).where(F.col("name_score") >= least)
-
+    # scored where they meet: the pairs are many times the names, so that only those that pass are moved
+    met = rarest(xs, "x").join(rarest(ys, "y"), ["k", "g"]).where((F.col("k") == "e") | may)
+    dice = 2.0 * F.size(F.array_intersect("x_made", "y_made")) / F.greatest(F.size("x_made") + F.size("y_made"), F.lit(1))
+    edit = similarity.edit(F.col("x"), F.col("y"))
+    score = F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.greatest(dice, edit))  # similarity.fuzzy, grams made once a name
+    passes = (dice >= least) | (in_reach(x, y, least) & (edit >= least))
+    return met.where(passes).select("x", "y", score.alias("name_score")).distinct()
 
 
 def identities(left: DataFrame, right: DataFrame) -> DataFrame:

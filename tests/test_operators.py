@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parvis.operators import dedupe, graph, incremental, integrity, places, resolve, search, spatial
+from parvis.operators import dedupe, graph, incremental, integrity, places, resolve, search, social, spatial
 
 
 def test_keep_first_takes_the_first_in_order(spark):
@@ -220,3 +220,23 @@ def test_points_of_the_whole_world(spark):
     want = {i for i, x, y in pts if -50 < x < 50 and -50 < y < 50 and not y > abs(x)}
     edge = {i for i, x, y in pts if y == abs(x) or abs(x) == 50 or abs(y) == 50}
     assert held - edge == want - edge
+
+
+def test_estimates_rank_only_what_can_win(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(4, 6)))
+    heads = [word() for _ in range(9)]
+    names = [r.choice(heads) + r.choice(heads) for _ in range(60)]
+    churches = spark.createDataFrame([(b, r.choice(names) if b % 3 else r.choice(heads)) for b in range(400)], "church int, name string")
+    accounts = spark.createDataFrame([(a, r.choice(names) + r.choice(["", "x", "a"])) for a in range(60)], "account int, name string")
+    x, y = accounts.select(F.col("account").alias("key"), F.col("name").alias("t")), churches.select(F.col("church").alias("key"), F.col("name").alias("t"))
+    few = {most: {(g["a"], g["b"]) for g in resolve.gram_candidates(x, y, key="key", text="t", most=most).collect()} for most in (7, 80)}
+    pairs = accounts.select(F.col("name").alias("x")).join(churches.select(F.col("name").alias("y")).distinct(), F.expr("ascii(substring(x, 2)) = ascii(substring(y, 2))"))
+    said, second = dict(map(tuple, accounts.collect())), dict(map(tuple, churches.collect()))
+    for most, kept in few.items():
+        want = {(a, b) for a, b in kept if said[a][1] == second[b][1]}
+        got = {(a, g["b"]) for g in resolve.among_gram_candidates(pairs, churches.select(F.col("church").alias("b"), F.col("name").alias("y")), most, (20, 60)).collect() for a, n in said.items() if n == g["x"]}
+        assert got == want and got
+    monkeypatch.setattr(resolve, "gram_candidates", None)  # all names that share a bigram aren't paired
+    monkeypatch.setattr(social, "gram_candidates", None, raising=False)
+    assert social.merge_estimates(accounts, churches).count() > 0
