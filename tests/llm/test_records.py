@@ -251,3 +251,22 @@ def test_packed_automaton_finds_the_same():
     for t in TEXTS:
         bad = t.encode().decode("latin-1")
         assert g.spans(bad) == mojibake.automaton().spans(bad) and g.restore(bad) == (t, False)
+
+
+def _broadcasts(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def _profiles(spark):
+    fields = "'hikari' as main, 'church' as kind, 'A' as area, 't' as town, 5L as plot, '1-2' as numbers, 'h' as host, 35D as latitude, 139D as longitude"
+    return spark.range(1).selectExpr("id as entity", *fields.split(", "))
+
+
+def test_no_exploded_rows_are_gathered_in_the_driver(spark):
+    names = spark.createDataFrame([(1, "光の丘教会", None)], "nid bigint, name string, second string")
+    parsed = N.parse_names(names, ())
+    lexicon = spark.range(1).selectExpr("'p' as what", "concat('光', id) as word", "'光' as value")
+    profiles = _profiles(spark)
+    pairs = spark.range(1).selectExpr("id as a", "id as b", "3 as how", "1L as spread")
+    assert _broadcasts(N.rewrite_names(parsed, lexicon)) == 0
+    assert _broadcasts(congregations.same_names(pairs, profiles, profiles)) == 0
