@@ -174,19 +174,34 @@ def identities(left: DataFrame, right: DataFrame) -> DataFrame:
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment of (a, b, score): in each round the pairs that are best for both sides are taken.
 
-    Equal to taking pairs by falling score (ties by a, then b), as that order is the same for both sides; every round is a
-    pair of combinable aggregations, so no task sees all pairs. Every round takes at least the best pair left, so the rounds end.
+    Equal to taking pairs by falling score (ties by a, then b), as that order is the same for both sides; every round is made of
+    combinable aggregations, so no task sees all pairs. Where all best pairs of some rows of both sides have one score and join
+    each of them with each, as those of repeated rows do, all are taken at once, the first with the first and so on: nothing
+    else can take these rows before. Every round takes at least the best pair left, so the rounds end.
     """
-    from parvis.session import cut
+    from parvis.session import cut, large
+
+    left, taken = cut(pairs.select("a", "b", "score")), None
+
+    def best(own: str, other: str) -> DataFrame:
+        """Of each row its best score, the first row that has it with it, and the count and a hash of all that have."""
+        hashed = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(other)).alias("h"), F.bit_xor(F.xxhash64(F.lit(own), other)).alias("i"))
+        levels = left.groupBy(own, "score").agg(hashed.alias("all"), F.min(other).alias("first"))
+        return levels.groupBy(own).agg(F.max_by(F.struct("score", "all", "first"), "score").alias(f"of_{own}"))
+
+    def ranked(own: str, other: str) -> DataFrame:
+        """The place of each row among those with the same best rows, where all of these have the same best rows, too."""
+        whole = (F.count("*") == F.first(f"of_{own}.all.n")) & (F.min(f"of_{other}.all") == F.max(f"of_{other}.all"))
+        alike = edges.groupBy(own).agg(F.first(f"of_{own}.all").alias("all"), whole.alias("whole")).where("whole")
+        return alike.select(own, F.row_number().over(Window.partitionBy("all").orderBy(own)).alias(f"rank_{own}"))
 
-    left, taken = pairs.select("a", "b", "score"), None
-    order = lambda: F.struct(F.col("score"), F.struct((-F.col("a")).alias("x"), (-F.col("b")).alias("y")))
     while True:
-        best_a = left.groupBy("a").agg(F.max_by("b", order()).alias("b"))
-        best_b = left.groupBy("b").agg(F.max_by("a", order()).alias("a"))
-        won = cut(left.join(best_a, ["a", "b"]).join(best_b, ["a", "b"]))
+        edges = left.join(large(best("a", "b")), "a").join(large(best("b", "a")), "b").where("score = of_a.score and score = of_b.score")
+        edges = cut(edges)
+        both = edges.join(large(ranked("a", "b")), "a", "left").join(large(ranked("b", "a")), "b", "left")
+        won = cut(both.where("of_a.first = b and of_b.first = a or rank_a = rank_b").select("a", "b", "score"))
         taken = won if taken is None else taken.unionByName(won)
-        left = cut(left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
+        left = cut(left.join(large(won.select("a")), "a", "left_anti").join(large(won.select("b")), "b", "left_anti"))
         if left.isEmpty():
             return taken
 

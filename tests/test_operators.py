@@ -40,6 +40,17 @@ def test_mutual_best_equals_greedy(spark):
     assert got == want
 
 
+def test_mutual_best_takes_repeated_rows_at_once(spark, monkeypatch):
+    from parvis import session
+
+    cuts, cut = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: cuts.append(1) or cut(df))
+    pairs = [(10 * a + i, 10 * b + j, s) for a, b, s in ((1, 1, 0.9), (1, 2, 0.5), (2, 2, 0.5)) for i in range(8) for j in range(6)]
+    got = {(x["a"], x["b"]) for x in resolve.mutual_best(spark.createDataFrame(pairs, "a int, b int, score double")).collect()}
+    assert got == {(10 + i, 10 + i) for i in range(6)} | {(16, 20), (17, 21)} | {(20 + i, 22 + i) for i in range(4)}
+    assert len(cuts) <= 3 * 4 + 1  # a round for each pair of rows before
+
+
 def test_rules_must_agree_and_vetoes_count(spark):
     rows = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "gamma alpha"), (4, "none")], "id int, t string")
     rules = spark.createDataFrame([("A", "alpha", False), ("B", "beta", False), ("A", "gamma", True), ("C", "no", False)], "rule string, term string, veto boolean")
