@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parvis.operators.resolve import cascade, mutual_best
+from parvis.session import cut
 
 UNKNOWN = "NOT_DETERMINED"
 
@@ -16,6 +17,7 @@ def reconcile(churches: DataFrame, matches: DataFrame, authoritative: DataFrame)
     (denomination). Human labels stay and take their entry first; other churches take entries by falling score, the current
     label first among equals. A label of an authoritative list without a match is removed.
     """
+    matches = cut(matches)  # read three times, and often dear
     human = churches.where("human is not null").select("church", "human")
     fixed = matches.join(human, "church").where("denomination = human").groupBy("church").agg(F.max_by(F.struct("entry", "score"), F.struct("score", -F.col("entry"))).alias("m")).select("church", "m.entry", "m.score")
     open_ = matches.join(human.select("church"), "church", "left_anti").join(fixed.select("entry"), "entry", "left_anti")

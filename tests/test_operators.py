@@ -51,6 +51,16 @@ def test_mutual_best_takes_repeated_rows_at_once(spark, monkeypatch):
     assert len(cuts) <= 3 * 4 + 1  # a round for each pair of rows before
 
 
+def test_matches_are_worked_out_once(spark):
+    from parvis.operators import official
+
+    churches = spark.createDataFrame([(1, "A", None), (2, "A", None)], "church bigint, denomination string, human string")
+    matches = spark.range(1).selectExpr("id + 1 as church", "id as entry", "'B' as denomination", "0.9D as score")
+    got = official.reconcile(churches, matches, spark.createDataFrame([("A",)], "denomination string"))
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x["church"], x["after"]) for x in got.collect()} == {(1, "B"), (2, None)}
+
+
 def test_rules_must_agree_and_vetoes_count(spark):
     rows = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "gamma alpha"), (4, "none")], "id int, t string")
     rules = spark.createDataFrame([("A", "alpha", False), ("B", "beta", False), ("A", "gamma", True), ("C", "no", False)], "rule string, term string, veto boolean")
