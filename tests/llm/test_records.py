@@ -270,3 +270,8 @@ def test_no_exploded_rows_are_gathered_in_the_driver(spark):
     pairs = spark.range(1).selectExpr("id as a", "id as b", "3 as how", "1L as spread")
     assert _broadcasts(N.rewrite_names(parsed, lexicon)) == 0
     assert _broadcasts(congregations.same_names(pairs, profiles, profiles)) == 0
+
+
+def test_no_candidates_are_gathered_in_the_driver(spark):
+    met = spark.range(1).selectExpr("id as a", "id as b", "3 as how", "1L as spread")
+    assert _broadcasts(linkage.candidates(met, _profiles(spark), _profiles(spark))) == 0
