@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +12,8 @@ from parvis.functions import similarity
 
 
 MOST_RULES = 100_000
+GRAM_BUCKETS = 16_384
+GRAM_NUMBERS = 2**42
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, *, key: str, blocks: Callable[[], Column]) -> DataFrame:
@@ -84,24 +87,53 @@ def among_gram_candidates(pairs: DataFrame, right: DataFrame, most: int = 80, pr
     return whole.unionByName(ties)
 
 
+def gram_classes(rows: DataFrame, gram: Column) -> Callable[[Column], Column]:
+    """Classes of frequency of grams, in a table of GRAM_BUCKETS bytes: 0 where none of ``gram``'s bucket is in the rows, else one more
+    than four times the binary logarithm. An order by class, then by gram is the same for all rows and needs no join."""
+    bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BUCKETS)).cast("int")
+    held = bytearray(GRAM_BUCKETS)
+    for b, n in rows.select(bucket(gram).alias("b")).groupBy("b").agg(F.count("*")).collect():
+        held[b] = 1 + min(126, int(4 * math.log2(n)))
+    table = F.lit(bytes(held))
+    return lambda g: F.ascii(F.substring(table, bucket(g) + 1, F.lit(1)).cast("string"))
+
+
+def gram_numbers(c: Column, n: int) -> Column:
+    """The n-grams of a string, n at most 2, each as the number of its code points, under GRAM_NUMBERS."""
+    return F.transform(similarity.grams(c, n), lambda g: F.ascii(g).cast("bigint") * 2_097_152 + F.ascii(F.substring(g, 2, 1)))
+
+
+def ranked_grams(numbers: Column, classes: Callable[[Column], Column]) -> Column:
+    """The grams from the rarest to the most frequent, each with its class above its number."""
+    return F.array_sort(F.transform(numbers, lambda g: classes(g).cast("bigint") * GRAM_NUMBERS + g))
+
+
+def spread_names(side: DataFrame, name: str) -> DataFrame:
+    """The names, each once, over all tasks: few bytes, but much work each. Kept, as they are read more than once."""
+    from parvis.session import cut
+
+    return cut(side.select(name).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), name).distinct())
+
+
 def containing_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """(x, y): all pairs of non-blank names of which one equals or contains the other; left (x), right (y).
 
-    An equi-join of the whole shorter name with the substrings of the longer one, in both directions. Only substrings are made
-    whose first two characters begin a shorter name, of the lengths that such names have.
+    A name that holds the shorter one holds all its bigrams: the one that fewest names have joins it with them, in both directions.
     """
-    left, right = left.where("x != ''").distinct(), right.where("y != ''").distinct()
+    from parvis.session import large
+
+    left, right = spread_names(left.where("x != ''"), "x"), spread_names(right.where("y != ''"), "y")
 
     def within(long: DataFrame, x: str, short: DataFrame, y: str) -> DataFrame:
-        tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        heads = short.groupBy(F.substring(y, 1, 2).alias("head")).agg(F.collect_set(F.length(y)).alias("lengths"))
-        starts = long.repartition(tasks, x).select(x, F.explode(F.sequence(F.lit(1), F.length(x))).alias("i"))
-        head = lambda n: F.substring(F.col(x), F.col("i"), F.lit(n))
-        starts = starts.select(x, "i", F.explode(F.array_distinct(F.array(head(1), head(2)))).alias("head")).join(heads, "head")
-        parts = starts.select(x, "i", F.explode(F.filter("lengths", lambda n: n <= F.length(x) - F.col("i") + 1)).alias("n"))
-        return parts.select(x, F.substring(F.col(x), F.col("i"), F.col("n")).alias(y)).join(short, y).select("x", "y")
+        every = F.array_union(gram_numbers(F.col(x), 2), gram_numbers(F.col(x), 1))  # single ones for names of one character
+        held = gram_classes(long.select(F.explode(every).alias("g")), F.col("g"))
+        rarest = short.select(y, F.get(ranked_grams(gram_numbers(F.col(y), 2), held), F.lit(0)).alias("g")).where(F.col("g") >= GRAM_NUMBERS)
+        rarest = rarest.select(y, (F.col("g") % GRAM_NUMBERS).alias("g"))
+        asked = gram_classes(rarest, F.col("g"))
+        holders = long.select(x, F.explode(F.filter(every, lambda g: asked(g) > 0)).alias("g"))
+        return large(holders).join(large(rarest), "g").where(F.col(x).contains(F.col(y))).select("x", "y")
 
-    return within(left, "x", right, "y").union(within(right, "y", left, "x")).distinct()
+    return within(left, "x", right, "y").union(within(right, "y", left, "x").where("x != y"))
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -111,44 +143,58 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     dice score d needs d / (2 - d) * g shared, so one of any g - that + 1 is shared; k edits touch at most k characters and 2k
     bigrams of a name, so one of any k + 1 or 2k + 1 stays. As both sides rank grams in one order, two names that share as many
     also share one of the rarest of both. Bigrams serve names of four characters or more, as in the score.
+
+    Names move with their grams and their characters as 128 bits each (a character that recurs counts each time): bits that one
+    side lacks stand for at least as many members that it lacks. Of n grams in both a dice score d lets (1 - d) * n lack on either
+    side, k edits let 2k grams and k characters lack on each. Only pairs within that are scored.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
-    from parvis.session import cut
+    from parvis.session import large
 
-    left, right = cut(left.where("trim(x) != ''").distinct()), cut(right.where("trim(y) != ''").distinct())
+    left, right = spread_names(left.where("trim(x) != ''"), "x"), spread_names(right.where("trim(y) != ''"), "y")
     bigram_edits = 4 * (2 * least - 1) >= 2  # else two names within the edits may share no bigram
+    hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(128)).cast("int")
+    word = lambda hs, w: F.aggregate(hs, F.lit(0).cast("bigint"), lambda m, h: m.bitwiseOR(F.when(F.floor(h / 64) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)).otherwise(0)))
+
+    def bits(name: str) -> list[Column]:
+        c = F.col(name)
+        each = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: hashed(F.substring(c, i, F.lit(1)), i - F.length(F.replace(F.substring(c, F.lit(1), i), F.substring(c, i, F.lit(1)), F.lit("")))))
+        return [word(hs, w).alias(f"{name}_{kind}{w}") for kind, hs in (("grams", F.transform("made", lambda g: hashed(g))), ("chars", each)) for w in (0, 1)]
 
     def keys(side: DataFrame, name: str, kinds: list[tuple[str, int, Column]]) -> DataFrame:
-        gs = lambda n: similarity.grams(F.col(name), n)
-        number = lambda g: F.ascii(g).cast("bigint") * 2_097_152 + F.ascii(F.substring(g, 2, 1))  # noqa: E731  the code points of both characters; numbers intersect faster than strings
-        each = [F.when(use, F.struct(F.lit(k).alias("k"), gs(n).alias("keys"), F.transform(gs(2 if k in "be" else 1), number).alias("made"))) for k, n, use in kinds]
+        gs = lambda n: gram_numbers(F.col(name), n)
+        each = [F.when(use, F.struct(F.lit(k).alias("k"), gs(n).alias("keys"), gs(2 if k in "be" else 1).alias("made"))) for k, n, use in kinds]
         held = side.select(name, F.explode(F.array_compact(F.array(*each))).alias("of")).select(name, "of.*")
-        return held.select(name, "k", F.col("made").alias(f"{name}_made"), F.size("keys").alias(f"{name}_grams"), F.explode("keys").alias("g"))
+        return held.select(name, "k", "keys", F.size("made").alias(f"{name}_made"), F.length(name).alias(f"{name}_length"), *bits(name))
 
     x, y = F.length("x"), F.length("y")
     both, one = (lambda n: n >= 4), (lambda n: n < 4)
     kinds = lambda n, own: [("s", 1, one(n) if own else F.lit(True)), ("l", 1, both(n) if own else one(n)), ("b", 2, both(n)), *([] if bigram_edits else [("e", 1, both(n))])]
     xs, ys = keys(left, "x", kinds(x, True)), keys(right, "y", kinds(y, False))
-    held = cut(ys.groupBy("k", "g").agg(F.count("*").alias("n")))
+    held = gram_classes(ys.select(F.explode("keys").alias("g")), F.col("g"))
 
     def rarest(side: DataFrame, name: str) -> DataFrame:
         edits = F.floor((1 - least) / least * F.length(name) + 1e-9)
-        size = F.col(f"{name}_grams")
+        size = F.size("keys")
         by_dice, by_edit = size - F.ceil(least / (2 - least) * size - 1e-9) + 1, F.when(F.col("k") == "b", 2 * edits + 1).otherwise(edits + 1)
         needed = F.when(F.col("k") == "e", by_edit).when((F.col("k") == "b") & F.lit(not bigram_edits), by_dice).otherwise(F.greatest(by_dice, by_edit))
-        rank = F.row_number().over(Window.partitionBy(name, "k").orderBy("n", "g"))
-        return side.join(held, ["k", "g"], "left").fillna(0, ["n"]).withColumn("rank", rank).where(F.col("rank") <= needed).drop("n", "rank")
-
-    in_reach = lambda a, b, share: F.least(a, b) >= share * F.greatest(a, b) - 1e-9
-    may = in_reach(x, y, least) | in_reach(F.col("x_grams"), F.col("y_grams"), least / (2 - least))  # edit | dice
-    # scored where they meet: the pairs are many times the names, so that only those that pass are moved
-    met = rarest(xs, "x").join(rarest(ys, "y"), ["k", "g"]).where((F.col("k") == "e") | may)
-    dice = 2.0 * F.size(F.array_intersect("x_made", "y_made")) / F.greatest(F.size("x_made") + F.size("y_made"), F.lit(1))
-    edit = similarity.edit(F.col("x"), F.col("y"))
-    score = F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.greatest(dice, edit))  # similarity.fuzzy, grams made once a name
-    passes = (dice >= least) | (in_reach(x, y, least) & (edit >= least))
-    return met.where(passes).select("x", "y", score.alias("name_score")).distinct()
+        few = F.slice(ranked_grams(F.col("keys"), held), F.lit(1), needed.cast("int"))
+        return side.select("*", F.explode(few).alias("g")).drop("keys")
+
+    met = large(rarest(xs, "x")).join(large(rarest(ys, "y")), ["k", "g"])
+    c = F.col
+    lacks = lambda kind, a, b: F.bit_count(c(f"{a}_{kind}0").bitwiseAND(F.bitwise_not(f"{b}_{kind}0"))) + F.bit_count(c(f"{a}_{kind}1").bitwiseAND(F.bitwise_not(f"{b}_{kind}1")))
+    longer = F.greatest("x_length", "y_length")
+    edits = F.floor((1 - least) * longer + 1e-9).cast("int")
+    may_dice = lacks("grams", "x", "y") + lacks("grams", "y", "x") <= (1 - least) * (c("x_made") + c("y_made")) + 1e-9
+    may_edit = (F.abs(c("x_length") - c("y_length")) <= edits) & (lacks("chars", "x", "y") <= edits) & (lacks("chars", "y", "x") <= edits) & (lacks("grams", "x", "y") <= 2 * edits) & (lacks("grams", "y", "x") <= 2 * edits)
+    # scored where they meet: the pairs are many times the names, so that only those that pass are moved. Within explode the
+    # score isn't drawn into the join, where it would be worked out without compiled code
+    away = F.call_function("levenshtein", c("x"), c("y"), edits)  # -1 beyond
+    score = F.when(c("x") == c("y"), 1.0).otherwise(F.greatest(F.when(may_dice, similarity.dice(c("x"), c("y"))), F.when(may_edit & (away >= 0), 1.0 - away / longer)))  # similarity.fuzzy
+    scored = met.where(may_dice | may_edit).select("x", "y", F.explode(F.array(score)).alias("name_score"))
+    return scored.where(F.col("name_score") >= least).distinct()
 
 
 def identities(left: DataFrame, right: DataFrame) -> DataFrame:

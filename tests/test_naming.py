@@ -104,6 +104,25 @@ def test_name_joins_against_brute_force(spark, least):
     assert {tuple(q) for q in resolve.containing_names(left, right).collect()} == {(x, y) for x in xs for y in set(ys) if x in y or y in x}
 
 
+def test_name_joins_move_few_bytes(spark):
+    """The disk of account_links: what both joins write for shuffles stays below 25 times the names themselves."""
+    r = random.Random(3)
+    words = lambda n: sorted({"".join(chr(0x4E00 + r.randrange(400)) for _ in range(r.randrange(4, 10))) + r.choice(["教会", "キリスト教会", "伝道所"]) for _ in range(n)})
+    xs, ys = words(3_000), words(1_500)
+    left, right = spark.createDataFrame([(x,) for x in xs], "x string"), spark.createDataFrame([(y,) for y in ys], "y string")
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages() -> dict[int, int]:
+        context.listenerBus().waitUntilEmpty(30_000)
+        got = context.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteBytes() for i in range(got.size())}
+
+    last = max(stages(), default=-1)
+    resolve.containing_names(left, right).count()
+    resolve.similar_names(left, right, 0.8).count()
+    assert 0 < sum(n for k, n in stages().items() if k > last) < 25 * sum(len(n.encode()) for n in xs + ys)
+
+
 def test_identities_of_all_blocks(spark):
     """Rows without a postal code meet by name and by address; two known codes that differ rule a pair out."""
     at = "霧崎県高沢市幸町5-34-70"
