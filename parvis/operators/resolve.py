@@ -50,40 +50,46 @@ def among_gram_candidates(pairs: DataFrame, right: DataFrame, most: int = 80, pr
     g - s + 1 of them; the rarest are taken. A pair is left out early where the names met by fewer of the rarest, of about so many
     rows as ``proofs`` says, already hold ``most`` better rows; the rest is ranked among all names.
     """
-    from parvis.session import cut
+    from parvis.session import cut, large
 
-    grams = lambda n: similarity.grams(F.col(n), 2)
-    asked = cut(pairs.select("x", "y").distinct().select("x", "y", F.size(F.array_intersect(grams("x"), grams("y"))).alias("shared")).where("shared > 0"))
-    names = cut(right.groupBy("y").agg(F.count("*").alias("n")).withColumn("ys", grams("y")))
-    ys = names.select("y", "n", "ys", F.explode("ys").alias("g"))
-    held = asked.select("x").distinct().select("x", F.explode(grams("x")).alias("g")).join(ys.groupBy("g").agg(F.count("*").alias("held")), "g", "left").fillna(0, ["held"])
-    upto = F.sum("held").over(Window.partitionBy("x").orderBy("held", "g").rowsBetween(Window.unboundedPreceding, 0))
-    listed = held.withColumn("upto", upto).groupBy("x").agg(F.array_sort(F.collect_list(F.struct("upto", "held", "g"))).alias("all"))
-    rarest = cut(listed.select("x", F.col("all.g").alias("xs"), F.col("all.upto").alias("upto")))
+    c, numbers = F.col, lambda n: gram_numbers(F.col(n), 2)
+    bits = lambda n: [bit_word(F.transform(numbers(n), lambda g: bit_of(g)), w).alias(f"{n}_grams{w}") for w in (0, 1)]
+    asked = cut(pairs.select("x", "y").distinct().select("x", "y", F.size(F.array_intersect(numbers("x"), numbers("y"))).alias("shared")).where("shared > 0"))
+    names = cut(spread_names(right, "y", F.count("*").alias("n")).select("y", "n", numbers("y").alias("ys"), *bits("y")))
+    held = gram_classes(names.select(F.explode("ys").alias("g")), c("g"))
+    ranked = spread_names(asked, "x").select("x", ranked_grams(numbers("x"), held).alias("ranked"), *bits("x"))
+    rows = lambda g: F.when(g >= GRAM_NUMBERS, F.pow(F.lit(2.0), (F.floor(g / GRAM_NUMBERS) - 1) / 4)).otherwise(0.0)
+    upto = F.transform("ranked", lambda g, i: F.aggregate(F.slice("ranked", F.lit(1), i + 1), F.lit(0.0), lambda n, h: n + rows(h)))
+    rarest = cut(ranked.select("x", F.transform("ranked", lambda g: g % GRAM_NUMBERS).alias("xs"), upto.alias("upto"), "x_grams0", "x_grams1"))
 
     def met(open_: DataFrame, budget: int | None) -> DataFrame:
         """(x, y, n, shared) of names that share as many bigrams with x as its last open pair, each once: at its first common bigram."""
-        own = open_.groupBy("x").agg(F.min("shared").alias("least")).join(rarest, "x")
-        enough = F.size("xs") - F.col("least") + 1
+        own = large(open_.groupBy("x").agg(F.min("shared").alias("least"))).join(large(rarest), "x")
+        enough = F.size("xs") - c("least") + 1
         if budget is not None:
             enough = F.least(enough, F.greatest(F.lit(1), F.size(F.filter("upto", lambda n: n <= budget))))
-        own = own.select("x", "xs", "least", F.slice("xs", F.lit(1), enough).alias("few")).select("*", F.explode("few").alias("g"))
-        first = F.get(F.array_intersect("few", "ys"), F.lit(0)) == F.col("g")
-        return own.join(ys, "g").where(first).select("x", "y", "n", "least", F.size(F.array_intersect("xs", "ys")).alias("shared")).where("shared >= least").drop("least")
+        own = own.select("x", "xs", "least", "x_grams0", "x_grams1", F.posexplode(F.slice("xs", F.lit(1), enough)).alias("at", "g"))
+        wanted = gram_classes(own, c("g"))
+        ys = names.select("*", F.explode(F.filter("ys", lambda g: wanted(g) > 0)).alias("g"))
+        # bits that y lacks stand for at least as many of x's bigrams, and of x's g bigrams g - s may lack. Only pairs within that
+        # are compared, as numbers
+        near = large(own).join(large(ys), "g").where(lacking("x_grams", "y_grams") <= F.size("xs") - c("least"))
+        near = near.where((c("at") == 0) | ~F.arrays_overlap(F.slice("xs", F.lit(1), c("at")), "ys"))
+        return near.select("x", "y", "n", "least", F.size(F.array_intersect("xs", "ys")).alias("shared")).where("shared >= least").drop("least")
 
     above = F.coalesce(F.sum("n").over(Window.partitionBy("x").orderBy(F.col("shared").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = lambda found, open_: found.groupBy("x", "shared").agg(F.sum("n").alias("n")).select("x", "shared", "n", (most - above).alias("room")).join(open_.select("x", "shared").distinct(), ["x", "shared"])
+    levels = lambda found, open_: large(found.groupBy("x", "shared").agg(F.sum("n").alias("n")).select("x", "shared", "n", (most - above).alias("room"))).join(large(open_.select("x", "shared").distinct()), ["x", "shared"])
     open_ = asked
     for budget in proofs:
         seen = open_.select("x", "shared", F.lit(0).alias("n")).distinct().unionByName(met(open_, budget).select("x", "shared", "n"))
-        open_ = cut(open_.join(levels(seen, open_).where("room > 0").select("x", "shared"), ["x", "shared"]).select("x", "y", "shared"))
+        open_ = cut(large(open_).join(large(levels(seen, open_).where("room > 0").select("x", "shared")), ["x", "shared"]).select("x", "y", "shared"))
     full = cut(met(open_, None))
     last = cut(levels(full, open_).where("room > 0"))
-    whole = open_.join(last.where("n <= room"), ["x", "shared"]).join(right, "y").select("x", "y", "b")
+    whole = large(large(open_).join(large(last.where("n <= room")), ["x", "shared"])).join(large(right), "y").select("x", "y", "b")
     # ties for the last places go by key; no name fills more of them than ``most`` of its rows
     leading = right.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("b"))).where(F.col("rank") <= most).drop("rank")
-    ties = full.drop("n").join(last.where("n > room").drop("n"), ["x", "shared"]).join(leading, "y")
-    ties = ties.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("b"))).where("rank <= room").select("x", "y", "b").join(open_.select("x", "y"), ["x", "y"], "left_semi")
+    ties = large(large(full.drop("n")).join(large(last.where("n > room").drop("n")), ["x", "shared"])).join(large(leading), "y")
+    ties = large(ties.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("b"))).where("rank <= room").select("x", "y", "b")).join(large(open_.select("x", "y")), ["x", "y"], "left_semi")
     return whole.unionByName(ties)
 
 
@@ -108,11 +114,27 @@ def ranked_grams(numbers: Column, classes: Callable[[Column], Column]) -> Column
     return F.array_sort(F.transform(numbers, lambda g: classes(g).cast("bigint") * GRAM_NUMBERS + g))
 
 
-def spread_names(side: DataFrame, name: str) -> DataFrame:
+def bit_of(*c: Column) -> Column:
+    """Which of 128 bits stands for a value."""
+    return F.pmod(F.xxhash64(*c), F.lit(128)).cast("int")
+
+
+def bit_word(hs: Column, w: int) -> Column:
+    """The lower (w 0) or the upper 64 of the 128 bits numbered in ``hs``."""
+    return F.aggregate(hs, F.lit(0).cast("bigint"), lambda m, h: m.bitwiseOR(F.when(F.floor(h / 64) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)).otherwise(0)))
+
+
+def lacking(a: str, b: str) -> Column:
+    """How many of the 128 bits in columns a0, a1 are unset in b0, b1."""
+    return F.bit_count(F.col(f"{a}0").bitwiseAND(F.bitwise_not(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseAND(F.bitwise_not(f"{b}1")))
+
+
+def spread_names(side: DataFrame, name: str, *aggs: Column) -> DataFrame:
     """The names, each once, over all tasks: few bytes, but much work each. Kept, as they are read more than once."""
     from parvis.session import cut
 
-    return cut(side.select(name).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), name).distinct())
+    spread = side.select(name).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), name)
+    return cut(spread.groupBy(name).agg(*aggs) if aggs else spread.distinct())
 
 
 def containing_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -154,13 +176,11 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     left, right = spread_names(left.where("trim(x) != ''"), "x"), spread_names(right.where("trim(y) != ''"), "y")
     bigram_edits = 4 * (2 * least - 1) >= 2  # else two names within the edits may share no bigram
-    hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(128)).cast("int")
-    word = lambda hs, w: F.aggregate(hs, F.lit(0).cast("bigint"), lambda m, h: m.bitwiseOR(F.when(F.floor(h / 64) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)).otherwise(0)))
 
     def bits(name: str) -> list[Column]:
         c = F.col(name)
-        each = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: hashed(F.substring(c, i, F.lit(1)), i - F.length(F.replace(F.substring(c, F.lit(1), i), F.substring(c, i, F.lit(1)), F.lit("")))))
-        return [word(hs, w).alias(f"{name}_{kind}{w}") for kind, hs in (("grams", F.transform("made", lambda g: hashed(g))), ("chars", each)) for w in (0, 1)]
+        each = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: bit_of(F.substring(c, i, F.lit(1)), i - F.length(F.replace(F.substring(c, F.lit(1), i), F.substring(c, i, F.lit(1)), F.lit("")))))
+        return [bit_word(hs, w).alias(f"{name}_{kind}{w}") for kind, hs in (("grams", F.transform("made", lambda g: bit_of(g))), ("chars", each)) for w in (0, 1)]
 
     def keys(side: DataFrame, name: str, kinds: list[tuple[str, int, Column]]) -> DataFrame:
         gs = lambda n: gram_numbers(F.col(name), n)
@@ -184,7 +204,7 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     met = large(rarest(xs, "x")).join(large(rarest(ys, "y")), ["k", "g"])
     c = F.col
-    lacks = lambda kind, a, b: F.bit_count(c(f"{a}_{kind}0").bitwiseAND(F.bitwise_not(f"{b}_{kind}0"))) + F.bit_count(c(f"{a}_{kind}1").bitwiseAND(F.bitwise_not(f"{b}_{kind}1")))
+    lacks = lambda kind, a, b: lacking(f"{a}_{kind}", f"{b}_{kind}")
     longer = F.greatest("x_length", "y_length")
     edits = F.floor((1 - least) * longer + 1e-9).cast("int")
     may_dice = lacks("grams", "x", "y") + lacks("grams", "y", "x") <= (1 - least) * (c("x_made") + c("y_made")) + 1e-9

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parvis.functions import similarity
 from parvis.operators.dedupe import top_per_group, winner_margin
 from parvis.operators.resolve import among_gram_candidates, containing_names, similar_names
-from parvis.session import cut
+from parvis.session import cut, large
 
 
 def link_accounts(accounts: DataFrame, churches: DataFrame, links: DataFrame, *, shortlist: int = 3, threshold: float = 0.80, margin: float = 0.05, score: Column | None = None) -> DataFrame:
@@ -38,14 +38,14 @@ def merge_estimates(accounts: DataFrame, churches: DataFrame, *, least: float =
 
     A name that holds the other with both at least four characters counts 0.94; an estimate needs ``least`` and the margin.
     """
-    exact = accounts.join(churches, accounts["name"] == churches["name"]).select("account", "church", F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
-    rest = accounts.join(exact.select("account").distinct(), "account", "left_anti")
+    exact = accounts.join(large(churches), accounts["name"] == churches["name"]).select("account", "church", F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
+    rest = cut(accounts.join(large(exact.select("account").distinct()), "account", "left_anti"))
     named, known = rest.select(F.col("account").alias("a"), F.col("name").alias("x")), churches.select(F.col("church").alias("b"), F.col("name").alias("y"))
     # only pairs that reach ``least`` need their rank among the candidates
     holds = containing_names(named.select("x"), known.select("y")).where(F.least(F.length("x"), F.length("y")) >= 4).select("x", "y", F.lit(0.94).alias("score"))
     alike = similar_names(named.select("x"), known.select("y"), least).select("x", "y", F.col("name_score").alias("score"))
     # a pair that holds counts 0.94 whatever its likeness
     pairs = cut(holds.withColumn("h", F.lit(True)).unionByName(alike.withColumn("h", F.lit(False))).groupBy("x", "y").agg(F.max_by("score", "h").alias("score")).where(F.col("score") >= least))
-    scored = cut(among_gram_candidates(pairs, known).join(pairs, ["x", "y"])).join(named, "x")
+    scored = large(cut(large(among_gram_candidates(pairs, known)).join(large(pairs), ["x", "y"]))).join(large(named), "x")
     best = winner_margin(scored, ["a"], "score", ["b"], margin).select(F.col("a").alias("account"), F.col("b").alias("church"), F.lit("estimated").alias("kind"), "score")
     return exact.unionByName(best)

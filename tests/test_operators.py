@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parvis import session
 from parvis.operators import dedupe, graph, incremental, integrity, places, resolve, search, social, spatial
 
 
@@ -261,3 +262,19 @@ def test_estimates_rank_only_what_can_win(spark, monkeypatch):
     monkeypatch.setattr(resolve, "gram_candidates", None)  # all names that share a bigram aren't paired
     monkeypatch.setattr(social, "gram_candidates", None, raising=False)
     assert social.merge_estimates(accounts, churches).count() > 0
+
+
+def test_no_names_are_gathered_in_the_driver(spark, monkeypatch):
+    """The driver memory of account_estimates: Spark judges exploded and checkpointed names by the files they once came from."""
+    plans, kept = [], session.cut
+
+    def seen(df):
+        plans.append(df)
+        return kept(df)
+
+    monkeypatch.setattr(session, "cut", seen)
+    monkeypatch.setattr(social, "cut", seen)
+    accounts = spark.range(3).selectExpr("id as account", "concat('光の丘教会', id) as name")
+    churches = spark.range(3).selectExpr("id as church", "concat('光の丘教會', id) as name")
+    plans.append(social.merge_estimates(accounts, churches, margin=0.05))
+    assert len(plans) > 9 and not [p for p in plans if "Broadcast" in p._jdf.queryExecution().executedPlan().toString()]
